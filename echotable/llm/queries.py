@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echotable.llm import langid, packing, pii
 from echotable.llm.jaccard import jaccard_classes
 
 
@@ -14,5 +15,33 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-QUERIES = {"op2_ngram_jaccard": op2_ngram_jaccard}
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in a packed sequence of 2048 ids."""
+    pieces = packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return packing.digest(pieces).withColumnRenamed("id", "doc_id")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: base spans of personal data counted and digested, all spans listed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return pii.digest(docs, pii.fit(docs))
+
+
+def _learnable(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("held_out", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False)))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its predicted language and the posterior of it."""
+    docs = _learnable(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    model = langid.fit(docs.where("not held_out and doc_id is not null"))
+    return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {
+    "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_packing": op3_packing,
+    "op6_pii": op6_pii,
+    "op8_language_id": op8_language_id,
+}
 ORACLES: dict[str, str] = {}
