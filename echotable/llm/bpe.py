@@ -63,29 +63,27 @@ class Encoder:
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text (null: none)."""
-        words, out = self.words, []
+        words = self.words
         if len(words) > WORDS:
             words.reset()
         look = words.__getitem__
-        found = []
+        at: list[int] = []
+        heads, ends = [], []
         for text in texts:
             head, *rest = (text or "").split(" ")
-            at = np.array(list(map(look, rest)), np.int64)
-            found.append(None if rest and at.min() < 0 else (self.encode(head), at))
+            at.extend(map(look, rest))
+            heads.append(head)
+            ends.append(len(at))
         self._settle()
-        for text, got in zip(texts, found):
-            if got is None:
-                out.append(np.array(self.encode(text), np.int32))
-                continue
-            head, at = got
-            size = words.size[at]
-            total = int(size.sum())
-            ids = np.empty(len(head) + total, np.int32)
-            ids[: len(head)] = head
-            if total:
-                before = np.cumsum(size) - size
-                ids[len(head) :] = words.flat[np.repeat(words.start[at] - before, size) + np.arange(total)]
-            out.append(ids)
+        at, ends = np.array(at, np.int64), np.array(ends, np.int64)
+        size = np.append(words.size, 0)[at]  # a word that can't stand alone (-1) has none here
+        after = np.append(0, np.cumsum(size))
+        ids = words.flat[np.repeat(np.append(words.start, 0)[at] - after[:-1], size) + np.arange(after[-1])]
+        whole = np.zeros(len(texts), bool)
+        whole[np.searchsorted(ends, np.flatnonzero(at < 0), "right")] = True
+        out = []
+        for text, head, odd, a, b in zip(texts, heads, whole.tolist(), after[np.append(0, ends[:-1])].tolist(), after[ends].tolist()):
+            out.append(np.array(self.encode(text), np.int32) if odd else np.append(np.array(self.encode(head), np.int32), ids[a:b]))
         return out
 
 
