@@ -21,9 +21,10 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of every node that has an edge; component is its smallest node.
 
-    Null ends and self-loops are ignored; repeated edges count once. No edges: no rows.
+    Nodes may be of any type that has an order. Null ends and self-loops are ignored; repeated edges
+    count once. No edges: no rows.
     """
-    pair = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x <> y")
+    pair = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x <> y")
     now = scratch.save(pair.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
     mark = _mark(now)
     while mark[0]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotable.llm import langid, packing, pii
+from echotable.llm import langid, lines, packing, pii
 from echotable.llm.jaccard import jaccard_classes
 
 
@@ -21,6 +21,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(pieces).withColumnRenamed("id", "doc_id")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its lines, those removed as fuzzy copies, and a digest of what is left."""
+    docs = lines.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: base spans of personal data counted and digested, all spans listed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -41,6 +47,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_packing": op3_packing,
+    "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
     "op8_language_id": op8_language_id,
 }
