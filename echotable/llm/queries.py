@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotable.llm import langid, lines, packing, pii
+from echotable.llm import ann, langid, lines, neardup, packing, pii
 from echotable.llm.jaccard import jaccard_classes
 
 
@@ -44,11 +44,25 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vector: vectors of its label within cosine 0.98, its group, and whether it is kept."""
+    out = neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.withColumnRenamed("id", "vec_id")
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found of each vector whose id is divisible by 50."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_packing": op3_packing,
     "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
     "op8_language_id": op8_language_id,
+    "op9_embedding_neardup": op9_embedding_neardup,
+    "op10_nearest_neighbours": op10_nearest_neighbours,
 }
 ORACLES: dict[str, str] = {}
