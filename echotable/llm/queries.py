@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotable.llm import ann, langid, lines, neardup, packing, pii
+from echotable.llm import ann, chat, langid, lines, neardup, packing, pii
 from echotable.llm.jaccard import jaccard_classes
 
 
@@ -21,6 +21,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(pieces).withColumnRenamed("id", "doc_id")
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per maximal conversation: its turns rendered in order."""
+    return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its lines, those removed as fuzzy copies, and a digest of what is left."""
     docs = lines.dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
@@ -59,10 +64,28 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_packing": op3_packing,
+    "op4_chat_format": op4_chat_format,
     "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
     "op8_language_id": op8_language_id,
     "op9_embedding_neardup": op9_embedding_neardup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
 }
-ORACLES: dict[str, str] = {}
+_OP4 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), c AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, role, text) AS turns, count(*) AS n
+  FROM t GROUP BY conv_id
+), d AS (
+  SELECT turns, n, min(conv_id) AS conv_id FROM c GROUP BY turns, n
+)
+SELECT d.conv_id, d.n AS n_turns,
+       array_to_string(list_transform(d.turns, lambda x: '<|' || x.r || '|>' || chr(10) || x.t || '<|end|>' || chr(10)), '') AS text
+FROM d
+WHERE NOT EXISTS (
+  SELECT 1 FROM d AS e WHERE e.n > d.n AND e.turns[1] = d.turns[1] AND list_slice(e.turns, 1, d.n) = d.turns
+)
+"""
+
+ORACLES: dict[str, str] = {"op4_chat_format": _OP4}
