@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotable.llm import ann, chat, langid, lines, neardup, packing, pii
+from echotable.llm import ann, chat, langid, lines, neardup, packing, pii, suffix
 from echotable.llm.jaccard import jaccard_classes
 
 
@@ -38,6 +38,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(docs, pii.fit(docs))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: bytes removed as repeats of a smaller document, and a digest of the rest."""
+    out = suffix.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _learnable(docs: DataFrame) -> DataFrame:
     return docs.withColumn("held_out", F.coalesce(F.expr("crc32(cast(doc_id as string)) % 3 = 1"), F.lit(False)))
 
@@ -67,6 +73,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_line_dedup": op5_line_dedup,
     "op6_pii": op6_pii,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_language_id": op8_language_id,
     "op9_embedding_neardup": op9_embedding_neardup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
