@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotable.llm import ann, chat, langid, lines, neardup, packing, pii, suffix
+from echotable.llm import ann, chat, langid, lines, neardup, packing, pieces, pii, suffix
 from echotable.llm.jaccard import jaccard_classes
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its ids, and whether decoding them gives the text back."""
+    ids = pieces.encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = pieces.decode(ids)
+    same = F.coalesce(F.col("text"), F.lit("")) == F.col("decoded")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: size of its 5-word shingle set and its class at Jaccard 0.8."""
     out = jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -68,6 +76,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_packing": op3_packing,
     "op4_chat_format": op4_chat_format,
