@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from echotable.plans import compare
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (compare,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
