@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from echotable.plans import compare
+from echotable.plans import compare, serving
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (compare,):
+for _module in (compare, serving):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
