@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from echotable.plans import compare, serving
+from echotable.plans import compare, dataset, serving
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (compare, serving):
+for _module in (compare, serving, dataset):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
