@@ -19,6 +19,7 @@ boundary, and each chunk is then traced back by itself.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -35,11 +36,32 @@ from echotable.llm.storage import Scratch
 
 SPACE = "▁"
 #: Characters of a chunk; a longer text is giant. Words, and pairs of pieces, that a worker remembers.
-CHUNK, WORDS, PAIRS = 32_768, 400_000, 500_000
+CHUNK, WORDS, PAIRS = 32_768, 250_000, 300_000
 _NONE = -np.inf
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
+def pack(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+class _Words(dict):
+    """Packed ids by word, without the space in front; what was not used lately is forgotten."""
+
+    def __init__(self, model: Model):
+        self.model, self.older = model, {}
+
+    def __missing__(self, w: str) -> bytes:
+        got = self.older.get(w)
+        if got is None:
+            got = pack(self.model.word(SPACE + w))
+        if len(self) > WORDS:
+            self.older = dict(self)
+            self.clear()
+        self[w] = got
+        return got
+
+
 class Model:
     def __init__(self, path: str):
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -65,8 +87,10 @@ class Model:
         #: Pieces whose score is another's too, for which the order of merges isn't the rank alone.
         tied = {s for s, n in Counter(self.scores.values()).items() if n > 1}
         self.tied = {p for p in order if self.scores[p] in tied and len(p) > 1}
-        self.words: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.words = _Words(self)
+        self.reach = {}  # longest piece by its first two characters
+        for p in self.ids:
+            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, list[str]] = {}
 
@@ -179,20 +203,12 @@ class Model:
 
     def word(self, w: str) -> list[int]:
         """Ids of what lies between two hard cuts: a scan of one chunk."""
-        got = self.words.get(w)
-        if got is None:
-            if len(self.words) > WORDS:  # what was not used since goes with the older half
-                self.words, self.older = {}, self.words
-            got = self.older.get(w)
-            if got is None and self.bpe:
-                got = self._one_path(w)
-            elif got is None:
-                entry = {(0, 0): np.zeros(1)}
-                ends, back = self.scan(w, entry, len(w))
-                last = max((e for e in ends if e[1] == len(w)), key=lambda e: ends[e][0])
-                got = [i for s, t in self.trace(back, last, 0, entry) for i in self.name(w[s:t])]
-            self.words[w] = got
-        return got
+        if self.bpe:
+            return self._one_path(w)
+        entry = {(0, 0): np.zeros(1)}
+        ends, back = self.scan(w, entry, len(w))
+        last = max((e for e in ends if e[1] == len(w)), key=lambda e: ends[e][0])
+        return [i for s, t in self.trace(back, last, 0, entry) for i in self.name(w[s:t])]
 
     def _one_path(self, w: str) -> list[int]:
         """The scan from a single state of a BPE model.
@@ -200,9 +216,9 @@ class Model:
         Each place is reached by one edge at most, so the path is followed depth first, the longest
         edge first; a place that led nowhere is not tried again.
         """
-        ids, longest, follows, n = self.ids, self.longest, self.follows, len(w)
+        ids, reach, follows, n = self.ids, self.reach, self.follows, len(w)
         path, before, at, dead = [], "", 0, set()
-        q = min(n, longest)
+        q = min(n, reach.get(w[:2], 1))
         while at < n:
             while q > at:
                 piece = w[at:q]
@@ -212,7 +228,7 @@ class Model:
             if q > at:
                 path.append(piece)
                 before, at = piece, q
-                q = min(n, at + longest)
+                q = min(n, at + reach.get(w[at : at + 2], 1))
             else:
                 dead.add(at)
                 q = at - 1
@@ -220,20 +236,18 @@ class Model:
                 before = path[-1] if path else ""
         return [i for piece in path for i in self.name(piece)]
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids of a whole text."""
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a whole text as int32 bytes."""
         if not text:
-            return []
+            return b""
         if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
-            words = [w for w in _WORD.findall(escaped(text)) if w]
-        else:
-            words = [SPACE + w for w in text.split(" ")]
-        known, word = self.words, self.word
-        out: list[int] = []
-        for w in words:
-            got = known.get(w)
-            out += word(w) if got is None else got
-        return out
+            # more than one space in front of a word: not remembered
+            return b"".join([self.words[w[1:]] if w[1:2] != SPACE else pack(self.word(w)) for w in _WORD.findall(escaped(text)) if w])
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
+
+    def encode(self, text: str | None) -> list[int]:
+        """Ids of a whole text."""
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -366,9 +380,9 @@ def _add_ids(path: str, column: int, names: list[str]):
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                ids = [m.encode(t) for t in part.column(column).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)])
-                flat = np.fromiter((i for x in ids for i in x), np.int32, ends[-1])
+                ids = [m.packed(t) for t in part.column(column).to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                flat = np.frombuffer(b"".join(ids), np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], [*names, "ids"])
 
     return run
@@ -401,9 +415,16 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> Da
     """``rows`` with ``decoded``, the text of ``ids_col``; null ids give an empty text."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
-    @F.pandas_udf("string")
-    def text(ids: pd.Series) -> pd.Series:
+    keep = [c for c in rows.columns if c != "decoded"]
+    frame, column = rows.select(*keep), keep.index(ids_col)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema]
+
+    def run(batches):
         m = model(path)
-        return pd.Series(["" if x is None else m.decode(x) for x in ids], dtype=object)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                texts = [m.decode(x or ()) for x in part.column(column).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*keep, "decoded"])
 
-    return rows.withColumn("decoded", text(F.col(ids_col)))
+    return frame.mapInArrow(run, ", ".join([*kinds, "decoded string"]))
