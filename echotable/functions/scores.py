@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from echotable.functions.config import CRITICAL_CLASSES, PRIORITIES, QUALITIES, SEVERITIES, THRESHOLDS, resolve
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once per row, however often it is used inside lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def rank_of(value: Column, order: tuple[str, ...]) -> Column:
     """Place of a value in a fixed order, from 0; -1 where it isn't in it."""
     return F.coalesce(F.array_position(F.array(*[F.lit(x) for x in order]), value), F.lit(0)) - 1
@@ -26,8 +31,8 @@ def quality_at_least(value: Column, floor: Column) -> Column:
 def normalise(scores: Column) -> Column:
     """Scores that are NaN, infinite, null or negative as 0, the rest summing to 1; all zero: uniform."""
     clean = F.transform(scores, lambda x: F.when(x.isNull() | F.isnan(x) | (x < 0) | (x == float("inf")), F.lit(0.0)).otherwise(x.cast("double")))
-    total = F.aggregate(clean, F.lit(0.0), lambda a, x: a + x)
-    return F.when(total > 0, F.transform(clean, lambda x: x / total)).otherwise(F.transform(clean, lambda _: 1.0 / F.size(clean)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return let(clean, lambda c: let(total(c), lambda t: F.when(t > 0, F.transform(c, lambda x: x / t)).otherwise(F.transform(c, lambda _: 1.0 / F.size(c)))))
 
 
 def named(scores: Column, names: list[str] | tuple[str, ...]) -> Column:

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echotable.functions.scores import let
+
 #: Fingerprint words of 16 bits that serve as join bands.
 BANDS = 4
 
 
 def fingerprint(vector: Column) -> Column:
     """64-bit print of a vector: bit i is set where element i is over the median."""
-    ordered = F.array_sort(vector)
-    n = F.size(vector)
-    median = (F.element_at(ordered, (n / 2).cast("int")) + F.element_at(ordered, (n / 2).cast("int") + 1)) / 2
-    bits = F.transform(vector, lambda x, i: F.when(x > median, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    half = (F.size(vector) / 2).cast("int")
+    middle = lambda s: (F.element_at(s, half) + F.element_at(s, half + 1)) / 2
+    one = F.lit(1).cast("long")
+    bit = lambda m: F.transform(vector, lambda x, i: F.when(x > m, F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long")))
+    bits = let(F.array_sort(vector), lambda s: let(middle(s), bit))
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 

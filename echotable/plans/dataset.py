@@ -240,8 +240,8 @@ def x21(spark, d):
 
 
 def _prints(spark, d):
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    return D.table(spark, d, "embeddings").where("size(embedding) = 64").select("vec_id", "label", U.fingerprint(v).alias("print"))
+    v = D.table(spark, d, "embeddings").where("size(embedding) = 64").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
+    return v.select("vec_id", "label", U.fingerprint(F.col("v")).alias("print"))
 
 
 @query("j11_near_duplicates", """WITH m AS (SELECT vec_id, embedding, list_sort(embedding) AS s FROM embeddings WHERE len(embedding) = 64), p AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE > (s[32]::DOUBLE + s[33]::DOUBLE) / 2)::INT) AS b FROM m),

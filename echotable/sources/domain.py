@@ -155,8 +155,8 @@ def score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models' score vectors and the true class of each clip: ten elements each of an embedding."""
     def part(lo: int) -> F.Column:
         piece = F.transform(F.slice("embedding", lo, 10), lambda x: x.cast("double"))
-        low = F.array_min(piece)
-        return S.normalise(F.transform(piece, lambda x: (x - low) * (x - low) * (x - low) * (x - low) * (x - low) * (x - low)))
+        power = lambda y: y * y * y * y * y * y
+        return S.normalise(S.let(piece, lambda p: S.let(F.array_min(p), lambda low: F.transform(p, lambda x: power(x - low)))))
 
     v = table(spark, sf_dir, "embeddings").where("size(embedding) >= 20")
     truth = F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("label").cast("int") + 1)
