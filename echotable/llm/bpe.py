@@ -16,7 +16,7 @@ import public_tokenizers
 import tiktoken
 
 #: Words remembered by a worker.
-WORDS = 400_000
+WORDS = 200_000
 
 
 class _Words(dict):

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echotable.llm.hashing import mix
+from echotable.llm.storage import bounded_batches
 
 _LETTER = re.compile(r"[^\W\d_]")
 _SLOT = np.random.default_rng(7).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -82,7 +83,8 @@ def _count(orders, bits):
                 owner = names[index]
                 for name in set(names[np.unique(index)]):
                     total[name] += np.bincount(at[owner == name], minlength=1 << bits)
-        yield pd.DataFrame({"lang": list(total), "docs": [docs[k] for k in total], "counts": [v.tobytes() for v in total.values()]})
+        if total:
+            yield pd.DataFrame({"lang": list(total), "docs": [docs[k] for k in total], "counts": [v.tobytes() for v in total.values()]})
 
     return run
 
@@ -132,6 +134,7 @@ def fit(
     Rows with a null text or label are not used. No rows: a model that answers ``und``.
     More than ``max_languages`` labels raise an error: that bounds what is broadcast.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key).alias("k"))
     rows = rows.where("text is not null and lang is not null")
     n = labelled.where(F.col(lang_col).isNotNull()).count()
@@ -156,6 +159,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     A null text, or one without a letter, gives ``und`` with score 0.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = keep.index(text_col)
     frame = docs.select(*keep)

@@ -109,7 +109,8 @@ def near_duplicates(
     """``(id, n_links, component_id, kept)`` of each vector; partners have its label.
 
     Unusable vectors and those without a label link with nothing and are kept. Rows with a null id are
-    left out; rows that share an id are one vector, the sum of their links. Vectors of different
+    left out; equal rows count once; rows of one id with different vectors add up
+    their links. Vectors of different
     width link with none of another width. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
@@ -142,7 +143,7 @@ def near_duplicates(
     groups = connected_components(found.select("id", "star"), scratch, "id", "star")
     classes = classes.join(counts, F.col("rep") == F.col("id"), "left").join(groups, F.col("rep") == F.col("node"), "left")
     classes = classes.select("label", "v", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component"))
-    linked = rows.join(classes, ["label", "v"]).groupBy("id").agg(F.sum("links").alias("n_links"), F.min("component").alias("component"))
+    linked = rows.select("id", "label", "v").distinct().join(classes, ["label", "v"]).groupBy("id").agg(F.sum("links").alias("n_links"), F.min("component").alias("component"))
     every = vectors.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct().join(linked, "id", "left")
     component = F.coalesce("component", "id")
     return every.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echotable.llm.storage import bounded_batches
+
 KINDS = ("email", "ip", "card", "phone")
 _O = len(KINDS)
 _LABELS = len(KINDS) + 1
@@ -192,6 +194,7 @@ def _counts(pdfs):
 
 def fit(docs: DataFrame, text_col: str = "text", key: str = "doc_id", sample_docs: int = 20_000) -> tuple[np.ndarray, float]:
     """Potentials from about ``sample_docs`` documents that hold an @ or a digit, chosen by a hash of ``key``."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(text_col).alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 30)).alias("k")).where("text is not null")
     total = docs.count()
     if total > sample_docs:
@@ -213,6 +216,7 @@ def fit(docs: DataFrame, text_col: str = "text", key: str = "doc_id", sample_doc
 
 def find(docs: DataFrame, potentials: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii_added``: arrays of (kind, start, end); null text: empty."""
+    bounded_batches(docs.sparkSession)
     span = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long"))
 
     @F.pandas_udf(T.StructType().add("base", span).add("added", span))
@@ -231,6 +235,7 @@ def mask(docs: DataFrame, potentials: tuple[np.ndarray, float], text_col: str =
 
     Overlapping spans are replaced together, by the kind of the first. A null text stays null.
     """
+    bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series) -> pd.Series:

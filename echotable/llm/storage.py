@@ -26,10 +26,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _local[0]
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keep Arrow batches small: texts may be long, and a worker holds a batch several times over."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 class Scratch:
     """Parquet tables of one operator run, below one folder of their own."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/echotable-{name}-{uuid.uuid4().hex}"
         self._n = 0
