@@ -38,7 +38,7 @@ def measure(clips: DataFrame, samples: str = "samples", rate: str = "rate") -> D
         return pd.DataFrame([A.measure(np.asarray(v if v is not None else [], np.float32), int(k or 0)) for v, k in zip(x, r)])
 
     out = clips.withColumn("_m", values(samples, rate))
-    out = out.select(*clips.columns, "_m.*")
+    out = out.select(*[c for c in clips.columns if c not in (*_MEASURES, "longest_clip_run", "missing_samples")], "_m.*")
     return out.withColumn("problems", F.array_join(problems(), ",")).withColumn("verdict", verdict())
 
 

@@ -47,11 +47,10 @@ def rank_scores(scores: DataFrame, key: str = "event_id", model: str = "model")
 
 def align(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Two models' rows by key; keys of only one side are an error raised when the rows are read."""
-    keys = a.select(F.col(key).alias("_a")).join(b.select(F.col(key).alias("_b")), F.col("_a") == F.col("_b"), "full")
-    odd = keys.where("_a is null or _b is null").limit(1)
-    checked = a.join(b, key)
-    fault = odd.select(F.raise_error(F.concat(F.lit("unaligned key "), F.coalesce("_a", "_b").cast("string"))).cast("string").alias("_fault"))
-    return checked.join(F.broadcast(fault), F.lit(True), "left_anti")  # one row at most, and reading it raises
+    x, y = a.withColumn("_a", F.lit(True)), b.withColumn("_b", F.lit(True))
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    fault = F.raise_error(F.concat(F.lit("unaligned key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).cast("boolean")
+    return x.join(y, key, "full").where(F.when(both, F.lit(True)).otherwise(fault)).drop("_a", "_b")
 
 
 def rules_frame(spark, rules: list[dict] | None = None) -> DataFrame:
