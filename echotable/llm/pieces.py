@@ -88,9 +88,10 @@ class Model:
         tied = {s for s, n in Counter(self.scores.values()).items() if n > 1}
         self.tied = {p for p in order if self.scores[p] in tied and len(p) > 1}
         self.words = _Words(self)
-        self.reach = {}  # longest piece by its first two characters
+        self.reach: dict[str, int] = {}  # longest piece by its first three characters
         for p in self.ids:
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
+            if len(p) > 2:
+                self.reach[p[:3]] = max(self.reach.get(p[:3], 3), len(p))
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves: dict[str, list[str]] = {}
 
@@ -216,25 +217,33 @@ class Model:
         Each place is reached by one edge at most, so the path is followed depth first, the longest
         edge first; a place that led nowhere is not tried again.
         """
-        ids, reach, follows, n = self.ids, self.reach, self.follows, len(w)
-        path, before, at, dead = [], "", 0, set()
-        q = min(n, reach.get(w[:2], 1))
+        ids, reach, pairs, follows, n = self.ids, self.reach, self.pairs, self.follows, len(w)
+        path, before, at, dead = [], "", 0, None
+        q = min(n, reach.get(w[:3], 2))
         while at < n:
             while q > at:
                 piece = w[at:q]
-                if (q == at + 1 or piece in ids) and q not in dead and (not before or follows(before, piece)):
-                    break
+                if (piece in ids or q == at + 1) and (dead is None or q not in dead):
+                    if not before:
+                        break
+                    ok = pairs.get((before, piece))
+                    if follows(before, piece) if ok is None else ok:
+                        break
                 q -= 1
             if q > at:
                 path.append(piece)
                 before, at = piece, q
-                q = min(n, at + reach.get(w[at : at + 2], 1))
+                q = min(n, at + reach.get(w[at : at + 3], 2))
             else:
+                dead = dead or set()
                 dead.add(at)
                 q = at - 1
                 at -= len(path.pop())
                 before = path[-1] if path else ""
-        return [i for piece in path for i in self.name(piece)]
+        try:
+            return [ids[piece] for piece in path]
+        except KeyError:
+            return [i for piece in path for i in self.name(piece)]
 
     def packed(self, text: str | None) -> bytes:
         """Ids of a whole text as int32 bytes."""
