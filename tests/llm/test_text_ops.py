@@ -155,6 +155,44 @@ EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
+def edit_distance(a, b):
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        last = row
+    return last[-1]
+
+
+@pytest.mark.parametrize("n_words", [3, 8, 15, 30])
+def test_line_dedup_finds_lines_of_edit_similarity(spark, n_words):
+    """Against brute force: one replaced word, or one character in ten, in lines of unlike words."""
+    rng = random.Random(n_words)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8)))
+    texts = []
+    for i in range(60):
+        words = [word() for _ in range(n_words)]
+        texts.append(" ".join(words))
+        if i % 2:
+            words[rng.randrange(n_words)] = word()
+            texts.append(" ".join(words))
+        else:
+            chars = list(texts[-1])
+            for at in rng.sample(range(len(chars)), max(1, len(chars) // 10)):
+                chars[at] = rng.choice("abcdefghijklmnopqrstuvwxyz")
+            texts.append("".join(chars))
+    want = {i for i in range(1, len(texts), 2) if edit_distance(texts[i - 1], texts[i]) <= 0.2 * max(len(texts[i - 1]), len(texts[i])) and texts[i - 1] != texts[i]}
+    got = {r.doc: r.first_doc for r in lines.repeated_lines(frame(spark, list(enumerate(texts)))).collect()}
+    # indices 1, 5, 9 ... have scattered characters, 3, 7, 11 ... one replaced word
+    for kind, least in ((1, 0.35), (3, 0.9)):
+        some = {i for i in want if i % 4 == kind}
+        assert n_words == 3 and kind == 3 or len(some) >= 20
+        assert len(some & set(got)) >= least * len(some)
+    for i, first in got.items():
+        assert edit_distance(texts[i], texts[first]) <= 0.2 * max(len(texts[i]), len(texts[first]))
+
+
 def plain_spans(t):
     digits = lambda m: re.sub("[^0-9]", "", m[0])
     luhn = lambda d: sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
