@@ -269,3 +269,12 @@ def test_language_id(spark):
     assert [odd[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and odd[1].score == 0 and odd[4].lang_pred in model.names
     none = langid.fit(d.limit(0))
     assert langid.identify(d.limit(2), none).first().lang_pred == "und"
+
+
+def test_line_dedup_without_spaces_and_with_punctuation(spark):
+    rng = random.Random(3)
+    signs = "".join(chr(rng.randrange(0x4E00, 0x5600)) for _ in range(40))
+    url = "https://example.org/path/to/some/long/page-number-one"
+    rows = [(1, signs), (2, signs[:20] + "x" + signs[21:]), (3, url), (4, url[:25] + "z" + url[26:]), (5, "We reached the end."), (6, "we reached the end\t\r"), (7, "unlike all others")]
+    got = {r.doc: r.first_doc for r in lines.repeated_lines(frame(spark, rows)).collect()}
+    assert got == {2: 1, 4: 3, 6: 5}
