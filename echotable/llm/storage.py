@@ -2,8 +2,8 @@
 
 Intermediate results are cut from their lineage by writing Parquet below the folder that
 the cluster names in ``spark.checkpoint.dir``; every executor and the driver see it, so a
-lost executor costs a re-read and nothing else. Only where that setting is missing (tests,
-a laptop) a temporary folder is used.
+lost executor costs a re-read and nothing else. Where that setting is missing, a session on one
+machine (tests, a laptop) gets a temporary folder, and a cluster an error.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ _local: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder, or one temporary folder where none is set."""
+    """The cluster's checkpoint folder; one temporary folder where none is set and Spark runs in this process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _local:
         _local.append("file://" + tempfile.mkdtemp(prefix="echotable-"))
     return _local[0]
@@ -40,6 +42,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/echotable-{name}-{uuid.uuid4().hex}"
         self._n = 0
+        self._paths: set[str] = set()
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as a read of what was written."""
@@ -48,9 +51,19 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self._paths.add(path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that nothing will read again."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        self._delete(df._scratch_path)
+
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Remove all tables but these."""
+        for path in self._paths - {df._scratch_path for df in kept}:
+            self._delete(path)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._paths.discard(name)

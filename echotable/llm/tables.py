@@ -34,16 +34,29 @@ def add_arrays(parts: DataFrame, dtype: str, most: int | None = None) -> dict[in
     return {r.part: np.frombuffer(r.counts, dtype) for r in parts.collect()}
 
 
-def hits(rows: DataFrame, id_col: str, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """``rows`` with ``hit``: false only where the id isn't in the one column of ``ids``.
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names for own use that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def hits(rows: DataFrame, id_col: str, ids: DataFrame, flag: str = "hit", bits: int = 24) -> DataFrame:
+    """``rows`` with the column ``flag``, which ``rows`` must not have: false only where the id isn't in the one column of ``ids``.
 
     The ids are set in a bitmap of ``2 ** bits`` bits, whatever their number, which is broadcast; it
     spares rows a shuffle and decides nothing.
     """
-    slot = F.pmod(ids.columns[0], F.lit(1 << bits))
-    bitmap = ids.select(slot.alias("x")).groupBy(F.expr("x div 32768").alias("_slot")).agg(F.expr("bitmap_construct_agg(x % 32768)").alias("_bits"))
-    x = F.pmod(F.col(id_col).cast("long"), F.lit(1 << bits))
-    rows = rows.withColumn("_x", x).join(F.broadcast(bitmap), F.expr("_x div 32768") == F.col("_slot"), "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_x % 32768 div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    hit = F.expr("shiftright(_byte, cast(_x % 8 as int)) & 1 = 1")
-    return rows.withColumn("_byte", byte).withColumn("hit", F.coalesce(hit, F.lit(False))).drop("_x", "_slot", "_bits", "_byte")
+    slot, part, held = free_names(rows, "slot", "part", "held")
+    place = F.pmod(F.col(ids.columns[0]), F.lit(1 << bits))
+    bitmap = ids.select(place.alias("x")).groupBy(F.expr("x div 32768").alias(part)).agg(F.expr("bitmap_construct_agg(x % 32768)").alias(held))
+    at = F.pmod(F.col(id_col).cast("long"), F.lit(1 << bits))
+    joined = rows.withColumn(slot, at).join(F.broadcast(bitmap), F.expr(f"`{slot}` div 32768") == F.col(part), "left")
+    byte = F.conv(F.hex(F.substring(F.col(held), F.expr(f"cast(`{slot}` % 32768 div 8 + 1 as int)"), F.lit(1))), 16, 10).cast("long")
+    hit = F.getbit(byte, F.expr(f"cast(`{slot}` % 8 as int)")) == 1
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(hit, F.lit(False)).alias(flag))
