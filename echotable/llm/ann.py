@@ -25,7 +25,7 @@ _GRAPH = "shard long, node int, rep long, v binary, near array<int>"
 
 def _start(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values("rep", kind="stable").reset_index(drop=True)
         n, rng = len(pdf), np.random.default_rng(11)
         near = [np.setdiff1d(rng.integers(0, n, k), [i]).astype(np.int32) for i in range(n)]
         return pd.DataFrame({"shard": pdf.shard, "node": np.arange(n, dtype=np.int32), "rep": pdf.rep, "v": pdf.v, "near": near})
@@ -77,27 +77,27 @@ def descend(graph: DataFrame, scratch: Scratch, k: int, rounds: int) -> DataFram
     return graph
 
 
-def greedy(x: np.ndarray, links: list[np.ndarray], query: np.ndarray, beam: int, width: int) -> np.ndarray:
-    """Nodes seen by a greedy search, nearest first.
+def greedy(x: np.ndarray, links: list[np.ndarray], query: np.ndarray, beam: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes seen by a greedy search, nearest first, and their scores to six places, equal ones by node.
 
     The ``width`` best unexpanded nodes of the beam are expanded until the whole beam is expanded.
     """
     n = len(x)
     score = np.full(n, -np.inf, np.float32)
-    entry = np.arange(0, n, max(1, n // 32))
-    score[entry] = x[entry] @ query
+    near = lambda nodes: np.round(x[nodes] @ query, 6)
+    found = np.arange(0, n, max(1, n // 32))
+    score[found] = near(found)
     expanded = np.zeros(n, bool)
-    found = entry
     while True:
-        top = found[np.argpartition(-score[found], min(beam, len(found)) - 1)[:beam]]
-        top = top[~expanded[top]]
+        found = found[np.lexsort((found, -score[found]))]
+        top = found[:beam]
+        top = top[~expanded[top]][:width]
         if not len(top):
-            return found[np.argsort(-score[found], kind="stable")]
-        top = top[np.argsort(-score[top])[:width]]
+            return found, score[found]
         expanded[top] = True
         fresh = np.unique(np.concatenate([links[t] for t in top]))
         fresh = fresh[np.isneginf(score[fresh])]
-        score[fresh] = x[fresh] @ query
+        score[fresh] = near(fresh)
         found = np.concatenate([found, fresh])
 
 
@@ -116,11 +116,13 @@ def _search(top: int, beam: int, width: int):
         out = [empty]
         for qid, v in zip(queries.query_id, queries.qv):
             q = unit(matrix([v]))[0].astype(np.float32)
-            seen = greedy(x[:, : len(q)] if len(q) <= x.shape[1] else np.pad(x, ((0, 0), (0, len(q) - x.shape[1]))), links, q, beam, width)
-            best = graph.iloc[seen[: 4 * top]]
-            best = best[best.v.str.len() == len(v)]
-            if not len(best):
+            seen, score = greedy(x[:, : len(q)] if len(q) <= x.shape[1] else np.pad(x, ((0, 0), (0, len(q) - x.shape[1]))), links, q, beam, width)
+            fits = graph.v.str.len().to_numpy()[seen] == len(v)
+            seen, score = seen[fits], score[fits]
+            if not len(seen):
                 continue
+            # all that could be among the nearest once scores are exact
+            best = graph.iloc[seen[score >= score[min(top, len(seen)) - 1] - 5e-6]]
             exact = cosines(matrix(best.v), matrix([v]))
             pick = np.lexsort((best.rep.to_numpy(), -exact))[:top]
             out.append(pd.DataFrame({"query_id": qid, "rep": best.rep.to_numpy()[pick], "v": best.v.to_numpy()[pick], "score": exact[pick]}))

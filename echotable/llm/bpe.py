@@ -4,6 +4,7 @@ The pre-tokeniser never joins what stands before a single space to what follows
 next character isn't white space, so a text splits at such spaces and each word keeps its ids.
 A text with other white space after a space is encoded as a whole. Words that were not seen yet go
 to ``tiktoken`` together; its ranks are the same vocabulary, and the ids equal those of the JSON file.
+A text that holds an added token of the JSON file is encoded by ``tokenizers`` itself.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import tiktoken
+from tokenizers import Tokenizer
 
 #: Words remembered by a worker.
 WORDS = 200_000
@@ -22,7 +24,8 @@ WORDS = 200_000
 class _Words(dict):
     """Words that follow a single space, numbered as they come; their ids are in one flat array."""
 
-    def __init__(self):
+    def __init__(self, added: list[str]):
+        self.added = added
         self.reset()
 
     def reset(self) -> None:
@@ -32,7 +35,7 @@ class _Words(dict):
         self.start = self.size
 
     def __missing__(self, word: str) -> int:
-        if not word or word[0].isspace():
+        if not word or word[0].isspace() or any(a in word for a in self.added):
             return -1
         self[word] = at = len(self.size) + len(self.fresh)
         self.fresh.append(word)
@@ -40,14 +43,21 @@ class _Words(dict):
 
 
 class Encoder:
-    def __init__(self, ranks_path: str):
-        with open(ranks_path, "rb") as f:
+    def __init__(self, path: str):
+        self.model = Tokenizer.from_file(path)
+        with open(path.removesuffix("json") + "tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.encode, self.to_numpy = encoding.encode_ordinary, encoding.encode_to_numpy
+        self.ordinary, self.to_numpy = encoding.encode_ordinary, encoding.encode_to_numpy
         self.leads = np.zeros(max(ranks.values()) + 1, bool)
         self.leads[[i for token, i in ranks.items() if token[:1] == b" "]] = True
-        self.words = _Words()
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        self.words = _Words(self.added)
+
+    def encode(self, text: str) -> np.ndarray:
+        if any(a in text for a in self.added):
+            return np.array(self.model.encode(text, add_special_tokens=False).ids, np.int32)
+        return np.array(self.ordinary(text), np.int32)
 
     def _settle(self) -> None:
         """Encode the new words together: each begins at the one id that starts with a space."""
@@ -83,11 +93,11 @@ class Encoder:
         whole[np.searchsorted(ends, np.flatnonzero(at < 0), "right")] = True
         out = []
         for text, head, odd, a, b in zip(texts, heads, whole.tolist(), after[np.append(0, ends[:-1])].tolist(), after[ends].tolist()):
-            out.append(np.array(self.encode(text), np.int32) if odd else np.append(np.array(self.encode(head), np.int32), ids[a:b]))
+            out.append(self.encode(text) if odd else np.append(self.encode(head), ids[a:b]))
         return out
 
 
 @lru_cache(maxsize=2)
 def encoder(name: str) -> Encoder:
-    """One encoder for each worker process; ``name`` is a file of ``public_tokenizers``."""
+    """One encoder for each worker process; ``name`` is a JSON file of ``public_tokenizers`` with its ranks beside it."""
     return Encoder(public_tokenizers.path(name))

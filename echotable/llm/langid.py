@@ -8,19 +8,20 @@ every n-gram of the whole text in numpy and sums them by document; no shuffle.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echotable.llm.hashing import mix
-from echotable.llm.storage import bounded_batches
+from echotable.llm.storage import Scratch, bounded_batches
+from echotable.llm.tables import add_arrays
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SLOT = np.random.default_rng(7).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Characters handled at once.
 BLOCK = 1 << 18
@@ -84,16 +85,12 @@ def _count(orders, bits):
                 for name in set(names[np.unique(index)]):
                     total[name] += np.bincount(at[owner == name], minlength=1 << bits)
         if total:
-            yield pd.DataFrame({"lang": list(total), "docs": [docs[k] for k in total], "counts": [v.tobytes() for v in total.values()]})
+            task = TaskContext.get().partitionId()
+            yield pd.DataFrame({"lang": list(total), "task": task, "docs": [docs[k] for k in total], "counts": [v.tobytes() for v in total.values()]})
 
     return run
 
 
-def _add(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, np.int64) for c in pdf.counts)
-    return pd.DataFrame({"lang": pdf.lang.iloc[:1], "docs": [int(pdf.docs.sum())], "counts": [total.tobytes()]})
-
-
 class LanguageModel:
     """Sorted language names, their log priors, and log probabilities by language and bucket."""
 
@@ -140,23 +137,29 @@ def fit(
     n = labelled.where(F.col(lang_col).isNotNull()).count()
     if n > sample_rows:
         rows = rows.where(F.pmod("k", F.lit(1 << 30)) < int((1 << 30) * sample_rows / n))
-    got = rows.select("text", "lang").mapInPandas(_count(orders, bits), "lang string, docs long, counts binary")
-    got = got.groupBy("lang").applyInPandas(_add, "lang string, docs long, counts binary").limit(max_languages + 1).collect()
+    scratch = Scratch(labelled.sparkSession, "langid")
+    counted = scratch.save(rows.select("text", "lang").mapInPandas(_count(orders, bits), "lang string, task long, docs long, counts binary"))
+    got = counted.groupBy("lang").agg(F.sum("docs").alias("docs")).limit(max_languages + 1).collect()
     if len(got) > max_languages:
         raise ValueError(f"more than {max_languages} languages")
     got = sorted(got, key=lambda r: r.lang)
-    if not got:
+    names = [r.lang for r in got]
+    if not names:
         return LanguageModel([], np.zeros(0), np.zeros((0, 0)), orders, bits)
-    counts = np.array([np.frombuffer(r.counts, np.int64) for r in got]) + alpha
+    part = (F.array_position(F.array(*map(F.lit, names)), F.col("lang")) - 1).cast("int").alias("part")
+    sums = add_arrays(counted.select(part, "task", "counts"), "int64")
+    scratch.drop(counted)
+    counts = np.array([sums[k] for k in range(len(names))]) + alpha
     logp = np.log(counts) - np.log(counts.sum(1, keepdims=True))
     docs = np.array([r.docs for r in got], float)
-    return LanguageModel([r.lang for r in got], np.log(docs / docs.sum()), logp, orders, bits)
+    return LanguageModel(names, np.log(docs / docs.sum()), logp, orders, bits)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` added (columns of those names are replaced).
 
-    A null text, or one without a letter, gives ``und`` with score 0.
+    A null text, or one without a letter, gives ``und`` with score 0. Each row is judged by itself, so
+    repeated rows get equal answers; an empty table gives none.
     """
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
     bounded_batches(docs.sparkSession)

@@ -184,7 +184,7 @@ def _pack_shard(shared, total: int, window: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, tokenizer: str = "byte_bpe_50k.tiktoken", shard_docs: int = SHARD) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, tokenizer: str = "byte_bpe_50k.json", shard_docs: int = SHARD) -> DataFrame:
     """Pieces ``(id, start, ids, doc_tokens, sequence_id, offset)``; ``ids`` is little-endian uint16.
 
     ``start`` counts the document's ids before the piece, ``offset`` those of its sequence. A null or
