@@ -106,6 +106,41 @@ def log_mel(x: np.ndarray, rate: int, bands: int = 40, size: int = 1024, hop: in
     return np.log(frame_power(x, size, hop) @ mel_filters(bands, size, rate).T + 1e-6)
 
 
+def mel_decibels(x: np.ndarray, rate: int, length: int, bands: int, size: int, hop: int) -> np.ndarray:
+    """(bands, frames) power in dB of ``length`` samples around the middle of a clip, frames centred on their samples."""
+    if len(x) >= length:
+        x = x[(len(x) - length) // 2 :][:length]
+    else:
+        before = (length - len(x)) // 2
+        x = np.pad(x, (before, length - len(x) - before))
+    power = frame_power(np.pad(x, size // 2), size, hop) @ mel_filters(bands, size, rate).T
+    return (10 * np.log10(np.maximum(power.T, 1e-10))).astype(np.float32)
+
+
+# Edges of the bands (Hz) by which spectra are compared.
+SPECTRUM_EDGES = (50, 150, 300, 500, 800, 1200, 1800, 2600, 3600, 5000, 7000, 8000)
+# End of fixed values.
+
+
+def realism(x: np.ndarray, rate: int) -> dict:
+    """Crest factor, energy above 4 kHz, centroid, strongest modulation from 0.5 to 4 Hz, and log band levels."""
+    if not len(x) or not np.any(x):
+        return {"crest_db": None, "high_ratio": None, "centroid_hz": None, "modulation_hz": None, "bands": None}
+    f, spectrum = np.fft.rfftfreq(len(x), 1 / rate), np.abs(np.fft.rfft(x))
+    power = spectrum**2
+    width = max(rate // 50, 1)
+    envelope = np.convolve(np.abs(x), np.full(width, 1 / width), "same")
+    wobble = np.abs(np.fft.rfft(envelope - envelope.mean()))
+    slow = np.flatnonzero((f >= 0.5) & (f <= 4))
+    head = x[: 3 * rate]
+    level, at = np.abs(np.fft.rfft(head * np.hanning(len(head)))), np.fft.rfftfreq(len(head), 1 / rate)
+    inside = [(at >= lo) & (at < hi) for lo, hi in zip(SPECTRUM_EDGES, SPECTRUM_EDGES[1:])]
+    return {
+        "crest_db": db(np.abs(x).max() / np.sqrt((x**2).mean())), "high_ratio": float(power[f >= 4000].sum() / power.sum()), "centroid_hz": float(f @ spectrum / spectrum.sum()),
+        "modulation_hz": float(f[slow[wobble[slow].argmax()]]) if len(slow) else 0.0, "bands": [float(np.log(level[m].mean() + 1e-9)) if m.any() else 0.0 for m in inside],
+    }
+
+
 def features(x: np.ndarray, rate: int) -> dict[str, float]:
     """Level, shape and spectrum features of one segment."""
     p = frame_power(x, 1024, 512)

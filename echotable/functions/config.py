@@ -20,7 +20,7 @@ THRESHOLDS = {
     "repeat_detection": {"required_consecutive_detections": 3, "window_seconds": 8, "requires_model_agreement": True, "min_quality": "Acceptable"},
     "audio_quality": {"silence_rms_dbfs_max": -50.0, "clipping_ratio_max": 0.01, "min_duration_sec": 0.5, "max_duration_sec": 300.0, "good_snr_db": 20.0, "acceptable_snr_db": 12.0, "poor_snr_db": 6.0},
     "monitoring": {
-        "window_minutes": 60, "failed_uploads": 5, "low_confidence_share": 0.5, "low_confidence_min_events": 10, "low_confidence_vs_baseline": 2.0,
+        "window_minutes": 60, "failed_uploads": 5, "model_failures": 1, "low_confidence_share": 0.5, "low_confidence_min_events": 10, "low_confidence_vs_baseline": 2.0,
         "critical_alerts": 10, "duplicate_files": 5, "failed_logins": 10, "error_rate": 0.2, "review_queue_depth": 100,
     },
     "duplicate_detection": {"near_duplicate_similarity": 0.92, "shortlist": 5, "spectral_match_min": 0.9},
@@ -62,12 +62,23 @@ REVIEW_CONDITIONS = (
     ("possible_false_alarm", "critical", {"all": [{"class_is_critical": True}, {"any": [{"quality_in": ["Poor", "Unusable"]}, {"top_two_margin_lt": "$thresholds.confidence.top_two_margin_min"}]}]}),
 )
 REPEAT_RATE_SECONDS, DEDUP_SECONDS, ALERTS_PER_WINDOW, REVIEW_ESCALATE_MINUTES = 600, 60, 20, 60
-RETENTION_DAYS = {"audio": 180, "event_records": 730, "alert": 730, "review": 1095, "audit": 1825}
+RETENTION_DAYS = {"audio": 180, "event_records": 730, "alert": 730, "review": 1095, "audit": 1825, "export": 30, "microphone_session_audio": 7, "model_version": None}
 RETENTION_BY_SEVERITY = {
     "Informational": {"event_records": 365}, "Low": {"event_records": 365}, "Medium": {"event_records": 730},
     "High": {"event_records": 1095}, "Critical": {"event_records": 1825, "audio": 730},
 }
 PURGE_BATCH = 500
+#: Audited actions that the monitoring checks count, and the least share that a usual level counts as.
+CHECKED_ACTIONS = {
+    "failed_uploads": ("audio_upload",), "model_failures": ("model_failure",), "duplicate_files": ("audio_duplicate_rejected", "audio_duplicate_allowed"),
+    "failed_logins": ("login_failure", "login_blocked"),
+}
+LEAST_BASELINE = 0.05
+#: Columns of the event export, in order.
+EXPORT_COLUMNS = (
+    "event_id", "audio_id", "filename", "created_at", "created_by", "source", "predicted_class", "severity", "consistency_status", "confidence_difference",
+    "top_confidence", "quality_verdict", "status", "requires_manual_review", "location",
+)
 LOCKOUT = {"failures": 5, "minutes": 15}
 # End of fixed values.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echotable.functions import audio as A
 from echotable.functions.config import THRESHOLDS
+from echotable.operators.dataset import covering_bounds
 
 _MEASURES = ("duration_sec", "peak_dbfs", "rms_dbfs", "loudest_dbfs", "clipping_ratio", "snr_db")
 
@@ -145,3 +146,49 @@ def band_statistics(frames: DataFrame, band: str, value: str) -> DataFrame:
 
 def standardise(frames: DataFrame, stats: DataFrame, band: str, value: str) -> DataFrame:
     return frames.join(F.broadcast(stats), band).withColumn(value, (F.col(value) - F.col("mean")) / F.col("std")).drop("mean", "std")
+
+
+def segments(clips: DataFrame, key: str, samples: str, rate: str, length_sec: float = 3.0) -> DataFrame:
+    """``(key, segment, start_sec, end_sec, samples)`` of evenly spread segments that cover each clip. Built in."""
+    n = F.size(samples)
+    length = F.round(F.col(rate) * length_sec).cast("long")
+    rows = clips.select(key, samples, rate, F.posexplode(covering_bounds(n, length)).alias("segment", "b"))
+    cut = F.slice(F.col(samples), (F.col("b.start") + 1).cast("int"), (F.col("b.end") - F.col("b.start")).cast("int"))
+    sec = lambda at: F.round(F.col(at) / F.col(rate), 6)
+    return rows.select(key, F.col("segment").cast("long").alias("segment"), sec("b.start").alias("start_sec"), sec("b.end").alias("end_sec"), cut.alias("samples"), rate)
+
+
+def mel_images(clips: DataFrame, key: str, samples: str, rate: str, length_sec: float = 3.0, bands: int = 128, size: int = 2048, hop: int = 512, loudest_only: bool = False) -> DataFrame:
+    """``(key, segment, n_frames, image)``: the log-mel image of each segment in dB, row by row; a short segment is centred in silence.
+
+    With ``loudest_only`` the segment of most energy, the first of equals.
+    """
+    parts = segments(clips, key, samples, rate, length_sec)
+    if loudest_only:
+        power = F.aggregate("samples", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.greatest(F.size("samples"), F.lit(1))
+        parts = parts.groupBy(key).agg(F.max_by(F.struct("segment", "samples", rate), F.struct(power, -F.col("segment"))).alias("x")).select(key, "x.*")
+
+    @F.pandas_udf("n_frames long, image array<float>")
+    def run(x: pd.Series, r: pd.Series) -> pd.DataFrame:
+        images = [A.mel_decibels(np.asarray(v if v is not None else [], np.float32), int(k), int(round(length_sec * k)), bands, size, hop) for v, k in zip(x, r)]
+        return pd.DataFrame({"n_frames": [m.shape[1] for m in images], "image": [m.ravel() for m in images]})
+
+    return parts.select(key, "segment", run("samples", rate).alias("m")).select(key, "segment", "m.*")
+
+
+def realism(clips: DataFrame, key: str, samples: str, rate: str) -> DataFrame:
+    """``(key, crest_db, high_ratio, centroid_hz, modulation_hz, bands)`` of each clip, by which classes are compared."""
+
+    @F.pandas_udf("crest_db double, high_ratio double, centroid_hz double, modulation_hz double, bands array<double>")
+    def run(x: pd.Series, r: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([A.realism(np.asarray(v if v is not None else [], np.float64), int(k)) for v, k in zip(x, r)])
+
+    return clips.select(*[c for c in clips.columns if c != samples], run(samples, rate).alias("m")).select(*[c for c in clips.columns if c != samples], "m.*")
+
+
+def class_spectra(measured: DataFrame, label: str, bands: str = "bands") -> DataFrame:
+    """``(a, b, cosine)``: how alike the mean band spectra of each two classes are."""
+    mean = measured.select(label, F.posexplode(bands).alias("band", "x")).groupBy(label, "band").agg(F.avg("x").alias("x"))
+    a, b = mean.select(F.col(label).alias("a"), "band", F.col("x").alias("x")), mean.select(F.col(label).alias("b"), "band", F.col("x").alias("y"))
+    norm = F.sqrt(F.sum(F.col("x") ** 2) * F.sum(F.col("y") ** 2))
+    return a.join(b, "band").where("a < b").groupBy("a", "b").agg((F.sum(F.col("x") * F.col("y")) / norm).alias("cosine"))

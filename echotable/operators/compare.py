@@ -222,3 +222,61 @@ def weighted_windows(windows: DataFrame, key: str, how: str = "arithmetic") -> D
     else:
         value = F.sum(F.col("score") * w) / F.sum(w)
     return windows.groupBy(key, "class_name").agg(value.alias("score"))
+
+
+def report_floor(rows: DataFrame, classes=CLASSES, least: int = 100, least_per_class: int = 10, class_col: str = "actual") -> DataFrame:
+    """``(check, observed, needed, ok)``: the report's clips in all (``total``) and of each class, absent ones too."""
+    spark = rows.sparkSession
+    counts = rows.groupBy(F.col(class_col).alias("check")).agg(F.count("*").alias("observed"))
+    each = F.broadcast(spark.createDataFrame([(c,) for c in classes], "check string")).join(counts, "check", "left").select("check", F.coalesce("observed", F.lit(0)).cast("long").alias("observed"), F.lit(least_per_class).alias("needed"))
+    total = rows.agg(F.lit("total").alias("check"), F.count("*").alias("observed"), F.lit(least).alias("needed"))
+    return total.unionByName(each).withColumn("ok", F.col("observed") >= F.col("needed"))
+
+
+def worst_classes(classes: DataFrame, n: int = 3) -> DataFrame:
+    """The classes of lowest F1, smaller support first among equals, then by name."""
+    return classes.orderBy("f1", "support", "class_name").limit(n)
+
+
+def model_table(rows: DataFrame, classes=CLASSES, critical=CRITICAL_CLASSES) -> DataFrame:
+    """One row per model of ``(model, split, audio_id, actual, predicted)``: its metrics, its splits and its worst class."""
+    by = ("model",)
+    counted = rows.groupBy("model").agg(F.count_distinct("audio_id").alias("clips"), F.array_join(F.array_sort(F.collect_set("split")), ",").alias("split"), F.bit_xor(F.xxhash64("audio_id", "actual")).alias("clip_set"))
+    each = per_class(confusion(rows.select("model", "actual", "predicted"), classes, by), by)
+    worst = each.groupBy("model").agg(F.min_by("class_name", F.struct("f1", "support", "class_name")).alias("worst_class"))
+    return summary(each, by, critical).join(worst, "model").join(counted, "model")
+
+
+def comparable(table: DataFrame, split: str = "test") -> DataFrame:
+    """One row on a model table: whether all models were scored on one split and on the same clips, and why not."""
+    one = table.agg(F.count("*").alias("models"), F.count_if(F.col("split") != split).alias("other_split"), F.count_distinct("clips").alias("sizes"), F.count_distinct("clip_set").alias("sets"))
+    reason = F.when(F.col("models") == 0, "nothing to compare").when(F.col("other_split") > 0, "other split").when(F.col("sizes") > 1, "row counts differ").when(F.col("sets") > 1, "clips differ")
+    return one.select("models", reason.isNull().alias("ok"), F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+def agreement_figures(compared: DataFrame) -> DataFrame:
+    """One row: clips, accuracy of both models, how often they agree, and the accuracy where they do."""
+    right_a, right_b = (F.col(c) == F.col("actual") for c in ("python_class", "gtm_class"))
+    same = F.col("python_class") == F.col("gtm_class")
+    share = lambda x: F.round(F.coalesce(F.avg(x.cast("int")), F.lit(0.0)), 4)
+    return compared.agg(
+        F.count("*").alias("n"), share(right_a).alias("python_accuracy"), share(right_b).alias("gtm_accuracy"), share(same).alias("agreement_rate"),
+        F.round(F.coalesce(F.avg(F.when(same, right_a.cast("int"))), F.lit(0.0)), 4).alias("accuracy_when_models_agree"),
+    )
+
+
+def robustness(rows: DataFrame, critical=CRITICAL_CLASSES) -> DataFrame:
+    """Per condition: clips, rejected ones, accuracy of both models over all clips, critical recall and reviews.
+
+    ``rows``: condition, actual, rejected, python_class, gtm_class, review_required. A rejected clip
+    counts as wrong; critical recall is over the clips that were not rejected, null without any.
+    """
+    heard = ~F.col("rejected")
+    right = lambda c: heard & (F.col(c) == F.col("actual"))
+    danger = heard & F.col("actual").isin(*critical)
+    g = rows.groupBy("condition").agg(
+        F.count("*").alias("clips"), F.count_if("rejected").alias("rejected"), (F.count_if(right("python_class")) / F.count("*")).alias("python_accuracy"),
+        (F.count_if(right("gtm_class")) / F.count("*")).alias("gtm_accuracy"), F.count_if(danger).alias("danger"), F.count_if(danger & right("python_class")).alias("caught"),
+        F.count_if(heard & F.col("review_required")).alias("reviewed"),
+    )
+    return g.withColumn("critical_recall", F.when(F.col("danger") > 0, F.col("caught") / F.col("danger"))).drop("danger", "caught")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,12 @@ from echotable.functions import scores as S
 
 SPLITS = ("train", "val", "test")
 RATIOS = (0.7, 0.15, 0.15)
+# Forms of clip ids and upload ids, environments and distances that a manifest may state.
+CLIP_ID = r"^SS-([A-Z]{3})-(\d{4})(?:S(\d+))?$"
+UPLOAD_ID = r"^SST-(\d{4}-\d{2}-\d{2})-\d{6}$"
+ENVIRONMENTS = ("indoor", "outdoor", "vehicle", "studio", "synthetic", "unspecified")
+DISTANCES = ("near", "medium", "far", "n/a")
+# End of fixed values.
 
 
 def violations(manifest: DataFrame, classes: list[str], key: str = "audio_id") -> DataFrame:
@@ -27,14 +34,14 @@ def violations(manifest: DataFrame, classes: list[str], key: str = "audio_id") -
 
 def check_rows(manifest: DataFrame, rules: dict[str, Column], key: str = "audio_id", examples: int = 5) -> DataFrame:
     """``(check, failures, examples)`` of each rule; a null rule counts as failed."""
-    out = None
-    flags = manifest.select(key, *[(~F.coalesce(ok, F.lit(False))).alias(name) for name, ok in rules.items()])
-    counts = flags.agg(*[F.count_if(F.col(n)).alias(n) for n in rules])
-    for name in rules:
-        some = flags.where(F.col(name)).select(key).orderBy(key).limit(examples).agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("examples"))
-        one = counts.select(F.lit(name).alias("check"), F.col(name).alias("failures")).crossJoin(some)  # one row each
-        out = one if out is None else out.unionByName(one)
-    return out
+    failed = {name: ~F.coalesce(ok, F.lit(False)) for name, ok in rules.items()}
+    broken = F.array_compact(F.array(*[F.when(bad, name) for name, bad in failed.items()]))
+    counts = manifest.agg(*[F.count_if(bad).alias(f"n{i}") for i, bad in enumerate(failed.values())])
+    counts = counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("check"), F.col(f"n{i}").alias("failures")) for i, name in enumerate(failed)])).alias("x")).select("x.*")
+    few = Window.partitionBy("check").orderBy(key)
+    some = manifest.select(key, F.explode(broken).alias("check")).withColumn("place", F.row_number().over(few)).where(F.col("place") <= examples)
+    some = some.groupBy("check").agg(F.array_join(F.array_sort(F.collect_list(key)), ",").alias("examples"))
+    return counts.join(some, "check", "left").select("check", "failures", F.coalesce("examples", F.lit("")).alias("examples"))
 
 
 def lineage_faults(manifest: DataFrame) -> DataFrame:
@@ -55,9 +62,10 @@ def merge(manifests: list[DataFrame], key: str = "audio_id") -> DataFrame:
 
 
 def first_by_content(rows: DataFrame, content: str, order: str) -> DataFrame:
-    """The first row of each content."""
-    w = Window.partitionBy(content).orderBy(order)
-    return rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
+    """The first row of each content; nulls in ``order`` come first, and equal ones fall to the smaller row."""
+    cols = [c for c in rows.columns if c != content]
+    first = F.min_by(F.struct(*cols), F.struct(order, *[c for c in cols if c != order]))
+    return rows.groupBy(content).agg(first.alias("x")).select(*[F.col(content) if c == content else F.col(f"x.`{c}`") for c in rows.columns])
 
 
 def round_robin(rows: DataFrame, class_col: str, uploader: str, order: str, target: int) -> DataFrame:
@@ -108,55 +116,67 @@ def source_group(source: Column, original: Column, freesound: Column, voice: Col
 
 
 def quotas(n: Column) -> list[Column]:
-    """Train, validation and test counts of ``n`` clips, rounded half to even."""
-    train = F.least(F.bround(n * RATIOS[0]).cast("long"), n)
-    val = F.least(F.bround(n * RATIOS[1]).cast("long"), n - train)
+    """Train, validation and test counts of ``n`` clips: the shares rounded half to even, the rest to test."""
+    train, val = (F.bround(n * share).cast("long") for share in RATIOS[:2])
     return [train, val, n - train - val]
 
 
-def assign_groups(sizes: list[int], targets: list[int], left: list[int], on_overflow: str) -> list[int]:
-    """Partition of each group, largest first as given: the one emptiest against its target.
+def deal_sizes(sizes: list[int], counts: list[int], room: list[int], on_overflow: str) -> list[list[int]]:
+    """How many of the ``counts[i]`` groups of ``sizes[i]`` clips each partition takes; sizes fall.
 
-    A group that fits nowhere is an error, or goes where most room is left.
+    Groups of one size are dealt together in proportion to the room that is left. What the division
+    leaves over goes one by one to the roomiest partition that can hold it. A group that fits nowhere
+    is an error, or goes to the roomiest one.
     """
-    out = []
-    for size in sizes:
-        fits = [s for s in range(3) if left[s] >= size]
-        if fits:
-            best = max(fits, key=lambda s: (left[s] / targets[s], -s))
-        elif on_overflow == "error":
-            raise ValueError(f"a group of {size} clips fits no partition: {left}")
-        else:
-            best = max(range(3), key=lambda s: (left[s], -s))
-        left[best] -= size
-        out.append(best)
+    room, out = np.array(room, np.int64), []
+    for size, count in zip(sizes, counts):
+        free = np.maximum(room, 0)
+        share = np.minimum(count * free // max(1, free.sum()), free // size)
+        room -= share * size
+        for _ in range(count - int(share.sum())):
+            to = int(room.argmax())
+            if room[to] < size and on_overflow == "error":
+                raise ValueError(f"a group of {size} clips fits no partition: {room.tolist()}")
+            share[to] += 1
+            room[to] -= size
+        out.append(share.tolist())
     return out
 
 
 def split(manifest: DataFrame, seed: int = 42, on_overflow: str = "error") -> DataFrame:
     """``(audio_id, class_label, role, group, split)``; whole groups, quotas by class, copies with their parent.
 
-    Clips are summed to groups before the greedy step, which runs once per class over its groups, in
-    order of size, then hash. A group of several labels goes to train first.
+    Only the number of groups of each size is gathered by class, at most the square root of twice its
+    clips. A group's place among those of its class and size, in hash order, then gives its partition;
+    places are counted in 256 slices of the hash range, so that no window holds a whole class. A group
+    of several labels goes to train first.
     """
     originals = manifest.where("role = 'original'")
     groups = originals.groupBy("source_group", "class_label").agg(F.count("*").alias("size"))
     mixed = groups.groupBy("source_group").agg((F.count("*") > 1).alias("mixed"))
-    groups = groups.join(mixed, "source_group").withColumn("order", F.sha2(F.concat_ws(":", F.lit(str(seed)), "source_group"), 256))
-    total = groups.groupBy("class_label").agg(F.sum("size").alias("_n")).select("class_label", F.array(*quotas(F.col("_n"))).alias("quota"))
-    sized = groups.join(F.broadcast(total), "class_label")
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        targets = [int(x) for x in pdf.quota.iloc[0]]
-        taken = int(pdf["size"][pdf.mixed].sum())
-        rest = pdf[~pdf.mixed].sort_values(["size", "order"], ascending=[False, True])
-        left = [targets[0] - taken, *targets[1:]]
-        chosen = assign_groups(rest["size"].tolist(), [max(t, 1) for t in targets], left, on_overflow)
-        out = pd.concat([pdf[pdf.mixed].assign(split="train"), rest.assign(split=[SPLITS[c] for c in chosen])])
-        return out[["source_group", "class_label", "split"]]
-
-    kind = manifest.schema["source_group"].dataType.simpleString()
-    placed = sized.groupBy("class_label").applyInPandas(place, f"source_group {kind}, class_label string, split string")
+    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), "source_group"), 256)
+    groups = groups.join(mixed, "source_group").withColumn("order", order).withColumn("slice", F.substring("order", 1, 2))
+    total = groups.groupBy("class_label").agg(F.sum("size").alias("n"), F.coalesce(F.sum(F.when(F.col("mixed"), F.col("size"))), F.lit(0)).alias("taken"))
+    total = total.select("class_label", "taken", F.array(*quotas(F.col("n"))).alias("quota"))
+    slices = groups.where("not mixed").groupBy("class_label", "size", "slice").agg(F.count("*").alias("n"))
+    sizes = slices.groupBy("class_label", "size").agg(F.sum("n").alias("n")).join(total, "class_label")
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("size", ascending=False)
+        room = [int(x) for x in pdf.quota.iloc[0]]
+        room[0] -= int(pdf.taken.iloc[0])
+        dealt = deal_sizes(pdf["size"].tolist(), pdf["n"].tolist(), room, on_overflow)
+        return pd.DataFrame({"class_label": pdf.class_label, "size": pdf["size"], "train": [d[0] for d in dealt], "val": [d[1] for d in dealt]})
+
+    dealt = sizes.groupBy("class_label").applyInPandas(deal, "class_label string, size long, train long, val long")
+    before = Window.partitionBy("class_label", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slices.select("class_label", "size", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    own = Window.partitionBy("class_label", "size", "slice").orderBy("order", "source_group")
+    placed = groups.where("not mixed").withColumn("at", F.row_number().over(own)).join(starts, ["class_label", "size", "slice"]).join(dealt, ["class_label", "size"])
+    at = F.col("start") + F.col("at")
+    name = F.when(at <= F.col("train"), SPLITS[0]).when(at <= F.col("train") + F.col("val"), SPLITS[1]).otherwise(SPLITS[2])
+    placed = placed.select("source_group", "class_label", name.alias("split"))
+    placed = placed.unionByName(groups.where("mixed").select("source_group", "class_label", F.lit(SPLITS[0]).alias("split")))
     first = originals.join(placed, ["source_group", "class_label"]).select("audio_id", "class_label", "role", F.col("source_group").alias("group"), "split")
     parents = first.select(F.col("audio_id").alias("parent_audio_id"), "group", "split")
     kids = manifest.where("role <> 'original'").join(parents, "parent_audio_id").select("audio_id", "class_label", "role", "group", "split")
@@ -248,3 +268,95 @@ def segment_bounds(duration: Column, length: float, hop: float) -> Column:
     """Array of (start, end) on a fixed grid; one shorter segment where the clip is shorter."""
     count = F.greatest(F.lit(1), F.floor((duration - length) / hop + 1 + 1e-9).cast("int"))
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((i * hop).alias("start_sec"), F.least(i * hop + length, duration).alias("end_sec")))
+
+
+def select_split(manifest: DataFrame, split: str, originals_only: bool = True, split_col: str = "dataset_split") -> DataFrame:
+    """Rows of one partition. A row without a partition anywhere in the manifest is an error when it is read."""
+    blank = F.coalesce(F.trim(split_col), F.lit("")) == ""
+    fault = F.raise_error(F.concat(F.lit("no split for "), F.coalesce("audio_id", F.lit("null")))).cast("boolean")
+    rows = manifest.where(F.when(blank, fault).otherwise(F.trim(split_col) == split))
+    return rows.where("role = 'original'") if originals_only else rows
+
+
+def assembly_problems(manifest: DataFrame, codes: dict[str, str], environments: tuple[str, ...] = ENVIRONMENTS, distances: tuple[str, ...] = DISTANCES) -> DataFrame:
+    """``(audio_id, problem)``: one row per reason for which a source's row can't be merged.
+
+    ``codes`` maps each class to the code that its ids carry.
+    """
+    text = lambda c: F.coalesce(F.trim(c), F.lit("")) if c in manifest.columns else F.lit("")
+    code = F.create_map(*[F.lit(x) for pair in codes.items() for x in pair])[F.col("class_label")]
+    got = F.regexp_extract(text("audio_id"), CLIP_ID, 1)
+    one_of = lambda c, known: (F.lower(text(c)) == "") | F.lower(text(c)).isin(*known)
+    licence = F.upper(text("licence"))
+    found = F.array_compact(F.array(
+        F.when(text("dataset_split") != "", "split_already_set"), F.when(code.isNull(), "unknown_class"), F.when(got == "", "malformed_id"),
+        F.when((got != "") & code.isNotNull() & (got != code), "code_of_another_class"), F.when(licence == "", "empty_licence"),
+        F.when(licence.rlike("NON-?COMMERCIAL|-NC"), "non_commercial_licence"), F.when(~one_of("recording_environment", environments), "unknown_environment"),
+        F.when(~one_of("approximate_distance", distances), "unknown_distance"), F.when(text("sha256") == "", "empty_sha256"), F.when(text("filename") == "", "empty_filename"),
+    ))
+    return manifest.select("audio_id", F.explode(found).alias("problem"))
+
+
+def clip_id_parts(audio_id: Column) -> Column:
+    """``(code, number, segment)`` of a clip id such as SS-GUN-0042 or SS-GUN-0042S1; nulls for another form."""
+    part = lambda i: F.when(F.regexp_extract(audio_id, CLIP_ID, i) != "", F.regexp_extract(audio_id, CLIP_ID, i))
+    return F.struct(part(1).alias("code"), part(2).cast("int").alias("number"), part(3).cast("int").alias("segment"))
+
+
+def day_of_recording(audio_id: Column) -> Column:
+    """The day in an upload's id (SST-YYYY-MM-DD-NNNNNN); null for another form."""
+    day = F.regexp_extract(audio_id, UPLOAD_ID, 1)
+    return F.when(day != "", F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date"))
+
+
+def defects(rows: DataFrame, shortest: float = 0.5, quietest_dbfs: float = -50.0, key: str = "audio_id") -> DataFrame:
+    """``(key, defect)`` of measured clips that are too short or too quiet to keep."""
+    found = F.array_compact(F.array(F.when(F.col("duration_sec") < shortest, "too_short"), F.when(F.col("rms_dbfs") <= quietest_dbfs, "too_quiet")))
+    return rows.select(key, F.explode(found).alias("defect"))
+
+
+def unmatched_files(manifest: DataFrame, listing: DataFrame, name: str = "filename") -> DataFrame:
+    """``(filename, state)``: manifest rows whose file isn't listed, and listed files without a row."""
+    rows, files = manifest.select(name).distinct(), listing.select(name).distinct()
+    missing = rows.join(files, name, "left_anti").withColumn("state", F.lit("file_missing"))
+    return missing.unionByName(files.join(rows, name, "left_anti").withColumn("state", F.lit("not_in_manifest")))
+
+
+def keep_lowest(rows: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """The ``n`` rows of lowest ``order`` of each group; Spark cuts each task's groups before the shuffle."""
+    w = Window.partitionBy(group).orderBy(order)
+    return rows.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place")
+
+
+def reason_counts(rows: DataFrame, reason: Column) -> DataFrame:
+    """``(reason, n)``: how often each reason to skip or take a clip was given; null is 'accepted'."""
+    return rows.groupBy(F.coalesce(reason, F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def covering_bounds(n_samples: Column, length: Column) -> Column:
+    """Array of (start, end) samples: evenly spread segments of ``length`` that cover every sample.
+
+    A clip of up to one length is one segment; one without samples has none.
+    """
+    count = F.ceil(n_samples / length).cast("int")
+    step = (n_samples - length) / F.greatest(count - 1, F.lit(1))
+    even = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.bround(i * step).cast("long"))
+    spread = F.transform(F.array_distinct(even), lambda s: F.struct(s.alias("start"), F.least(n_samples, s + length).cast("long").alias("end")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), n_samples.cast("long").alias("end")))
+    return F.when(n_samples <= 0, F.slice(whole, 1, 0)).when(n_samples <= length, whole).otherwise(spread)
+
+
+def fraction_cuts(clips: DataFrame, fractions: tuple[float, ...], length: float, shortest: float) -> DataFrame:
+    """Training segments of clips, cut at fixed fractions of their length, with the lineage of their parent.
+
+    A clip hardly longer than a segment gives shorter ones; equal starts count once. Other columns are inherited.
+    """
+    sec = F.col("duration_sec")
+    take = F.when(sec >= length + 0.3, F.lit(length)).otherwise(F.greatest(F.lit(shortest), sec * 0.8))
+    starts = F.array_distinct(F.array(*[F.round(F.greatest(F.lit(0.0), F.least(f * sec, sec - take)), 3) for f in fractions]))
+    rows = clips.withColumn("take", take).select("*", F.posexplode(starts).alias("nth", "segment_start_sec"))
+    inherited = [c for c in clips.columns if c not in ("audio_id", "parent_audio_id", "role", "duration_sec", "segment_start_sec", "segment_end_sec")]
+    return rows.select(
+        F.concat("audio_id", F.lit("S"), (F.col("nth") + 1).cast("string")).alias("audio_id"), F.col("audio_id").alias("parent_audio_id"), F.lit("augmented").alias("role"),
+        F.round("take", 3).alias("duration_sec"), "segment_start_sec", F.round(F.col("segment_start_sec") + F.col("take"), 3).alias("segment_end_sec"), *inherited,
+    )

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations, pairwise
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotable.functions.scores import let
 
-#: Fingerprint words of 16 bits that serve as join bands.
-BANDS = 4
-
 
 def fingerprint(vector: Column) -> Column:
     """64-bit print of a vector: bit i is set where element i is over the median."""
@@ -35,27 +34,49 @@ def exact_matches(batch: DataFrame, store: DataFrame, content: str, key: str) ->
 
 
 def near_matches(prints: DataFrame, key: str, print_col: str, least: float, shortlist: int) -> DataFrame:
-    """``(key, near_key, similarity, place)``: up to ``shortlist`` earlier clips at least that similar.
+    """``(key, near_key, similarity, place)``: up to ``shortlist`` earlier clips at least that similar, the nearest first.
 
-    Prints are joined on any of four 16-bit bands, so a pair that shares none is not seen; equal prints
-    are one class whose first clip stands for the others, so that silence-like prints can't flood a
-    band.
+    No pair is missed: prints of similarity ``least`` differ in ``d`` bits at most, so of ``d + 2`` bands
+    two at least are equal, and each pair of bands is a join key. Equal prints are one class; only a
+    class's ``shortlist`` smallest clips can be near matches of others, ties going to the smaller clip.
+    ``least`` must leave bands of four bits or more (0.79). Rows with a null key or print are left out.
     """
-    classes = prints.groupBy(print_col).agg(F.min(key).alias("rep"))
-    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.call_function("shiftrightunsigned", F.col(print_col), i * 16).bitwiseAND(F.lit(0xFFFF)).alias("word"))))
-    dealt = classes.select("rep", print_col, bands.alias("b")).select("rep", print_col, "b.band", "b.word")
-    x, y = dealt.alias("x"), dealt.alias("y")
-    score = similarity(F.col(f"x.{print_col}"), F.col(f"y.{print_col}"))
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.word") == F.col("y.word")) & (F.col("y.rep") < F.col("x.rep")) & (score >= least))
-    pairs = pairs.select(F.col("x.rep").alias(key), F.col("y.rep").alias("near_key"), score.alias("similarity")).distinct()
+    apart = int((1 - least) * 64 + 1e-9)
+    bands = apart + 2
+    if bands > 16:
+        raise ValueError(f"a similarity of {least} is too low for bands of 64 bits")
+    rows = prints.where(F.col(key).isNotNull() & F.col(print_col).isNotNull()).select(F.col(key).alias("clip"), F.col(print_col).alias("print")).distinct()
+    cuts = [64 * i // bands for i in range(bands + 1)]
+    word = [F.shiftrightunsigned("print", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in pairwise(cuts)]
+    keys = F.array(*[F.struct(F.lit(i * bands + j).alias("at"), word[i].alias("x"), word[j].alias("y")) for i, j in combinations(range(bands), 2)])
+    dealt = rows.select("print").distinct().select("print", F.explode(keys).alias("k"))
+    score = similarity(F.col("print"), F.col("other"))
+    near = dealt.join(dealt.select(F.col("print").alias("other"), "k"), "k").where((F.col("print") != F.col("other")) & (score >= least)).select("print", "other").distinct()
+    near = near.unionByName(rows.select("print", F.col("print").alias("other")).distinct())
+    first = Window.partitionBy("print").orderBy("clip")
+    heads = rows.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= shortlist).select(F.col("print").alias("other"), F.col("clip").alias("near_key"))
+    pairs = rows.join(near, "print").join(heads, "other").where("near_key < clip").select(F.col("clip").alias(key), "near_key", score.alias("similarity"))
     order = Window.partitionBy(key).orderBy(F.desc("similarity"), "near_key")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= shortlist)
 
 
+def hard_negatives(queries: DataFrame, prints: DataFrame, key: str, print_col: str, group: str, top: int = 3) -> DataFrame:
+    """``(key, other, similarity, place)``: the ``top`` prints of another group nearest to each query's.
+
+    ``queries`` is a stated evaluation set, compared with all rows; each task keeps its own nearest
+    before anything is shuffled.
+    """
+    q = queries.where(F.col(print_col).isNotNull()).select(F.col(key), F.col(print_col).alias("qp"), F.col(group).alias("qg"))
+    rows = prints.where(F.col(print_col).isNotNull()).select(F.col(key).alias("other"), F.col(print_col).alias("op"), F.col(group).alias("og"))
+    met = q.join(rows, F.col("qg") != F.col("og")).select(key, "other", similarity(F.col("qp"), F.col("op")).alias("similarity"))
+    order = Window.partitionBy(key).orderBy(F.desc("similarity"), "other")
+    return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
 def evaluate_near(pairs: DataFrame, thresholds: list[float]) -> DataFrame:
     """Recall of planted copies and false flags of hard negatives at each threshold.
 
-    ``pairs``: similarity, is_copy.
+    ``pairs``: similarity, is_copy, one row for every copy, found or not, and every negative.
     """
     grid = pairs.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
     j = pairs.crossJoin(F.broadcast(grid))  # a fixed list of thresholds

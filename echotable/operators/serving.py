@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotable.functions import scores as S
-from echotable.functions.config import PURGE_BATCH, RETENTION_BY_SEVERITY, RETENTION_DAYS, SEVERITIES, THRESHOLDS
+from echotable.functions.config import CHECKED_ACTIONS, LEAST_BASELINE, PURGE_BATCH, RETENTION_BY_SEVERITY, RETENTION_DAYS, SEVERITIES, THRESHOLDS
 
 #: Sort keys of the seven documented orders; every order ends with the id.
 ORDERS = {
@@ -115,45 +116,93 @@ def daily(rows: DataFrame, now: Column, days: int = 14, at: str = "created_at")
     return F.broadcast(calendar).join(counts, "day", "left").select("day", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def anomalies(events: DataFrame, alerts: DataFrame, reviews: DataFrame, now: Column, limits=THRESHOLDS["monitoring"]) -> DataFrame:
-    """``(check, observed, threshold)`` of each check that fires; one aggregate per table.
+def anomalies(events: DataFrame, alerts: DataFrame, reviews: DataFrame, audit: DataFrame, users: DataFrame, now: Column, limits=THRESHOLDS["monitoring"], floor: float = THRESHOLDS["confidence"]["min_confidence"]) -> DataFrame:
+    """``(check, observed, threshold)`` of each of the eight checks that fires; one aggregate per table.
 
-    The error rate and the queue depth fire above their limit, the others at it.
+    ``audit``: at, action, outcome; ``users``: locked_until. Low confidence is below ``floor``; events
+    without a confidence don't count. The error rate and the queue depth fire above their limit, the
+    others at it; a locked account fires ``failed_logins`` by itself.
     """
-    hour, week = now - F.make_interval(mins=F.lit(limits["window_minutes"])), now - F.make_interval(days=F.lit(7))
-    recent = (F.col("created_at") > hour) & (F.col("created_at") <= now)
-    before = (F.col("created_at") > week) & (F.col("created_at") <= hour)
-    low = F.col("review_required")
-    e = events.agg(
-        F.count_if(recent).alias("n"), F.count_if(recent & low).alias("low"), F.count_if(before).alias("n0"), F.count_if(before & low).alias("low0"),
-        F.count_if(recent & (F.col("class_name") == "error")).alias("errors"), F.count_if(recent & (F.col("quality") == "Unusable")).alias("failed"),
-    )
+    start, week = now - F.make_interval(mins=F.lit(limits["window_minutes"])), now - F.make_interval(days=F.lit(7))
+    scored, low = F.col("python_confidence").isNotNull(), F.col("python_confidence") < floor
+    recent, before = (F.col("created_at") >= start) & (F.col("created_at") <= now), (F.col("created_at") >= week) & (F.col("created_at") < start)
+    e = events.agg(F.count_if(recent & scored).alias("n"), F.count_if(recent & low).alias("low"), F.count_if(before & scored).alias("n0"), F.count_if(before & low).alias("low0"))
     a = alerts.agg(F.count_if((F.col("severity") == "Critical") & recent).alias("critical"))
-    r = reviews.agg(F.count_if(F.col("status") != "Decided").alias("queue"))
-    one = e.crossJoin(a).crossJoin(r)  # one row each
+    r = reviews.agg(F.count_if(F.col("status") == "Pending Review").alias("queue"))
+    new = (F.col("at") >= start) & (F.col("at") <= now)
+    failed = F.col("outcome") == "failure"
+    done = lambda name: new & F.col("action").isin(*CHECKED_ACTIONS[name]) & (failed if name == "failed_uploads" else F.lit(True))
+    t = audit.agg(F.count_if(new).alias("actions"), F.count_if(new & failed).alias("failures"), *[F.count_if(done(name)).alias(name) for name in CHECKED_ACTIONS])
+    u = users.agg(F.count_if(F.col("locked_until") > now).alias("locked"))
+    one = e.crossJoin(a).crossJoin(r).crossJoin(t).crossJoin(u)  # one row each
     share = lambda x, y: F.when(F.col(y) > 0, F.col(x) / F.col(y)).otherwise(0.0)
-    spike = (F.col("n") >= limits["low_confidence_min_events"]) & (share("low", "n") >= limits["low_confidence_share"]) & (share("low", "n") >= limits["low_confidence_vs_baseline"] * share("low0", "n0"))
+    usual = limits["low_confidence_vs_baseline"] * F.greatest(share("low0", "n0"), F.lit(LEAST_BASELINE))
+    reached = lambda name: F.col(name) >= limits[name]
     checks = [
-        ("failed_uploads", F.col("failed"), limits["failed_uploads"], F.col("failed") >= limits["failed_uploads"]),
-        ("low_confidence_spike", share("low", "n"), limits["low_confidence_share"], spike),
+        ("failed_uploads", F.col("failed_uploads"), limits["failed_uploads"], reached("failed_uploads")),
+        ("model_failures", F.col("model_failures"), limits["model_failures"], reached("model_failures")),
+        ("low_confidence_spike", share("low", "n"), limits["low_confidence_share"], (F.col("n") >= limits["low_confidence_min_events"]) & (share("low", "n") >= limits["low_confidence_share"]) & (share("low", "n") >= usual)),
         ("critical_alerts", F.col("critical"), limits["critical_alerts"], F.col("critical") >= limits["critical_alerts"]),
-        ("error_rate", share("errors", "n"), limits["error_rate"], share("errors", "n") > limits["error_rate"]),
+        ("duplicate_files", F.col("duplicate_files"), limits["duplicate_files"], reached("duplicate_files")),
+        ("failed_logins", F.col("failed_logins"), limits["failed_logins"], reached("failed_logins") | (F.col("locked") > 0)),
+        ("error_rate", share("failures", "actions"), limits["error_rate"], share("failures", "actions") > limits["error_rate"]),
         ("review_queue", F.col("queue"), limits["review_queue_depth"], F.col("queue") > limits["review_queue_depth"]),
     ]
     rows = F.array(*[F.struct(F.lit(n).alias("check"), v.cast("double").alias("observed"), F.lit(float(t)).alias("threshold"), ok.alias("fired")) for n, v, t, ok in checks])
     return one.select(F.explode(rows).alias("x")).select("x.*").where("fired").drop("fired")
 
 
+def with_files(events: DataFrame, files: DataFrame) -> DataFrame:
+    """Events with the columns of their audio file; an event without a file is left out."""
+    return events.join(files, "audio_key")
+
+
+def paged(events: DataFrame, order: str, number: int, size: int, key: str = "event_id") -> DataFrame:
+    """One page with ``total``, the rows of all pages, and ``pages`` beside each row."""
+    total = events.agg(F.count("*").alias("total")).withColumn("pages", F.ceil(F.col("total") / size).cast("long"))
+    return page(events, order, number, size, key).crossJoin(F.broadcast(total))  # one row
+
+
+def summary_cards(events: DataFrame, alerts: DataFrame, reviews: DataFrame, now: Column, hours: int = 24) -> DataFrame:
+    """One row of the dashboard's totals; one aggregate for each table."""
+    recent = (F.col("created_at") > now - F.make_interval(hours=F.lit(hours))) & (F.col("created_at") <= now)
+    is_ = lambda c, v: F.col(c) == v
+    e = events.agg(
+        F.count("*").alias("events_total"), F.count_if(recent).alias("events_window"), F.count_if("review_required").alias("awaiting_review"),
+        F.count_if(recent & is_("severity", "Critical")).alias("critical_window"), F.count_if(is_("consistency", "Strong Match")).alias("strong"),
+        F.count_if(is_("consistency", "Model Disagreement")).alias("disagreements"), F.count_if(is_("consistency", "Uncertain Result")).alias("uncertain"),
+        F.count_if(is_("source", "microphone")).alias("live"), F.count_if(is_("quality", "Unusable")).alias("unusable"),
+    )
+    a = alerts.agg(F.count_if(is_("status", "New")).alias("open_alerts"), F.count_if(is_("status", "Acknowledged")).alias("acknowledged_alerts"), F.count_if("false_alarm").alias("false_alarms"))
+    r = reviews.agg(F.count_if(is_("status", "Pending Review")).alias("queue_depth"), F.count_if(is_("status", "Decided")).alias("decided"))
+    return e.crossJoin(a).crossJoin(r)  # one row each
+
+
 def retention_days(artifact: str, severity: Column) -> Column:
-    """Days that an artifact is kept: the longer of the default and the severity's own."""
-    days = F.lit(RETENTION_DAYS[artifact])
+    """Days that an artifact is kept: the longer of the default and the severity's own; null keeps it for ever."""
+    default = RETENTION_DAYS[artifact]
+    days = F.lit(default).cast("int")
     for s in SEVERITIES:
         own = RETENTION_BY_SEVERITY.get(s, {}).get(artifact)
-        if own:
-            days = F.when(severity == s, F.greatest(F.lit(RETENTION_DAYS[artifact]), F.lit(own))).otherwise(days)
+        if own and default is not None:
+            days = F.when(severity == s, F.lit(max(default, own))).otherwise(days)
     return days
 
 
+def due_for_purge(rows: DataFrame, now: Column, batch: int = PURGE_BATCH) -> DataFrame:
+    """``(artifact, id, created_at, keep_days)``: of each kind of artifact the oldest ``batch`` whose time is over.
+
+    ``rows``: artifact, id, created_at, severity, held. A held row stays, and one of a kind without a limit.
+    """
+    days = F.lit(None).cast("int")
+    for name in RETENTION_DAYS:
+        days = F.when(F.col("artifact") == name, retention_days(name, F.col("severity"))).otherwise(days)
+    due = rows.where(~F.coalesce("held", F.lit(False))).select("artifact", "id", "created_at", days.alias("keep_days"))
+    due = due.where(F.date_add(F.to_date("created_at"), F.col("keep_days")) < F.to_date(now))
+    order = Window.partitionBy("artifact").orderBy("created_at", "id")
+    return due.withColumn("place", F.row_number().over(order)).where(F.col("place") <= batch).drop("place")
+
+
 def retention_plan(files: DataFrame, events: DataFrame, alerts: DataFrame, reviews: DataFrame, now: Column, batch: int = PURGE_BATCH) -> DataFrame:
     """``(audio_key, created_at, keep_days)`` of the files to purge, the oldest ``batch``.
 
@@ -176,3 +225,40 @@ def p95_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     ranked = rows.withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
     at = F.greatest(F.lit(1), F.floor(F.col("_n") * 0.95 + 0.5))
     return ranked.groupBy(by).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"), F.max(F.when(F.col("_i") == at, F.col(value))).alias("p95"), F.max(value).alias("max"))
+
+
+def within_budget(rows: DataFrame, elapsed_ms: str, budget_sec: str) -> DataFrame:
+    """``rows`` with ``within_budget`` and, where it isn't, ``budget_overrun_ms``; a missing budget is 0."""
+    over = F.round(F.col(elapsed_ms) - F.coalesce(budget_sec, F.lit(0.0)) * 1000, 3)
+    return rows.withColumn("within_budget", over <= 0).withColumn("budget_overrun_ms", F.when(over > 0, over))
+
+
+def filled(template: str, columns: list[str]) -> Column:
+    """A reason text with ``{name}`` and ``{name:.2f}`` replaced by columns; names not in ``columns`` stay as they are.
+
+    A null is written as ``None``.
+    """
+    parts, at = [], 0
+    for m in re.finditer(r"\{(\w+)(?::\.(\d+)f)?\}", template):
+        if m[1] not in columns:
+            continue
+        # rounds the exact binary value, ties to even
+        value = F.expr(f"format_number(cast(`{m[1]}` as double), '0{'.' * (m[2] > '0')}{'0' * int(m[2])}')") if m[2] else F.col(m[1]).cast("string")
+        parts += [F.lit(template[at : m.start()]), F.when(F.col(m[1]).isNull(), "None").otherwise(value)]
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+def dedup_key(*parts: Column) -> Column:
+    """Lower-case, trimmed parts joined by a bar; inner white space counts as one space, null as empty."""
+    return F.concat_ws("|", *[F.regexp_replace(F.lower(F.trim(F.coalesce(p.cast("string"), F.lit("")))), r"\s+", " ") for p in parts])
+
+
+def snapshot(rows: DataFrame, columns: list[str], name: str = "snapshot") -> DataFrame:
+    """``rows`` with some columns as one JSON text beside the others."""
+    return rows.select(*[c for c in rows.columns if c not in columns], F.to_json(F.struct(*columns)).alias(name))
+
+
+def restored(rows: DataFrame, schema: str, name: str = "snapshot") -> DataFrame:
+    """The reverse of ``snapshot``; a text that isn't JSON of the schema gives nulls."""
+    return rows.withColumn(name, F.from_json(name, schema)).select(*[c for c in rows.columns if c != name], f"{name}.*")

@@ -148,10 +148,11 @@ def severe(spark, d):
     return C.severe_errors(_labelled(spark, d)).orderBy(F.desc("silent_miss"), "audio_id")
 
 
-@query("e6_floors")
+@query("e6_floors", f"""WITH {_E1}, m AS (SELECT sum(tp) / sum(support) AS accuracy, avg(f1) AS macro_f1, sum(tp) FILTER (class_name IN ({_CRIT})) / sum(support) FILTER (class_name IN ({_CRIT})) AS critical_recall FROM pm),
+v AS (SELECT 'accuracy' AS metric, accuracy AS value, 0.85::DOUBLE AS floor FROM m UNION ALL SELECT 'macro_f1', macro_f1, 0.8 FROM m UNION ALL SELECT 'critical_recall', critical_recall, 0.85 FROM m) SELECT metric, round(value, 6) AS value, floor, value >= floor - 1e-12 AS passed FROM v""")
 def floors(spark, d):
     m = C.summary(C.per_class(C.confusion(_labelled(spark, d))))
-    return C.check_floors(m, {"accuracy": 0.85, "macro_f1": 0.80, "critical_recall": 0.85})
+    return C.check_floors(m, {"accuracy": 0.85, "macro_f1": 0.80, "critical_recall": 0.85}).withColumn("value", F.round("value", 6))
 
 
 @query("e7_metrics_by_split", f"""WITH {D.SCORES}, s AS (SELECT *, CASE event_id % 10 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END AS split FROM cp)
@@ -220,3 +221,58 @@ def frontend(spark, d):
     gap = F.array_max(F.zip_with("scores_a", "scores_b", lambda x, y: F.abs(x - y)))
     c = C.compare(v.withColumn("gap", gap))
     return c.agg(F.count("*").alias("n"), F.round(F.max("gap"), 6).alias("max_deviation"), F.round(F.avg(F.col("agree").cast("int")), 4).alias("class_match"))
+
+
+@query("e9_report_floor", f"""WITH {D.SCORES}, c AS (SELECT 'total' AS "check", (SELECT count(*) FROM cp) AS observed, 100 AS needed UNION ALL SELECT x, (SELECT count(*) FROM cp WHERE actual = x), 10 FROM (SELECT unnest({D._CLS}) AS x))
+SELECT "check", observed, needed, observed >= needed AS ok FROM c""")
+def report_floor(spark, d):
+    return C.report_floor(_compared(spark, d))
+
+
+@query("o5_worst_classes", f"WITH {_E1} SELECT class_name, round(f1, 4) AS f1, support::BIGINT AS support FROM pm ORDER BY pm.f1, pm.support, class_name LIMIT 3")
+def worst(spark, d):
+    return C.worst_classes(C.per_class(C.confusion(_labelled(spark, d)))).select("class_name", *_r("f1"), "support")
+
+
+def _two_models(spark, d):
+    c = _compared(spark, d)
+    rows = lambda name, col: c.select(F.lit(name).alias("model"), F.lit("test").alias("split"), F.col("event_id").alias("audio_id"), "actual", F.col(col).alias("predicted"))
+    return rows("python", "python_class").unionByName(rows("gtm", "gtm_class"))
+
+
+@query("e11_model_table", f"""WITH {D.SCORES}, m AS (SELECT 'python' AS model, actual, python_class AS predicted FROM cp UNION ALL SELECT 'gtm', actual, gtm_class FROM cp)
+SELECT model, 'test' AS split, count(*) AS clips, round(avg((actual = predicted)::INT), 4) AS accuracy, round(avg((actual = predicted)::INT) FILTER (actual IN ({_CRIT})), 4) AS critical_recall FROM m GROUP BY 1""")
+def model_table(spark, d):
+    return C.model_table(_two_models(spark, d)).select("model", "split", "clips", *_r("accuracy", "critical_recall"))
+
+
+@query("e11_comparable", "SELECT 2 AS models, true AS ok, '' AS reason FROM (SELECT 1)")
+def models_comparable(spark, d):
+    return C.comparable(C.model_table(_two_models(spark, d)))
+
+
+@query("e14_agreement_figures", f"""WITH {D.SCORES} SELECT count(*) AS n, round(avg((python_class = actual)::INT), 4) AS python_accuracy, round(avg((gtm_class = actual)::INT), 4) AS gtm_accuracy, round(avg(agree::INT), 4) AS agreement_rate,
+  round(coalesce(avg((python_class = actual)::INT) FILTER (agree), 0), 4) AS accuracy_when_models_agree FROM cp""")
+def agreement_figures(spark, d):
+    return C.agreement_figures(_compared(spark, d))
+
+
+@query("a30_robustness", f"""WITH {D.SCORES}, r AS (SELECT *, ['clean', 'noise', 'far', 'clipped'][event_id % 4 + 1] AS condition, event_id % 11 = 0 AS rejected, status IN ('Model Disagreement', 'Uncertain Result') AS review FROM cp)
+SELECT condition, count(*) AS clips, count(*) FILTER (rejected) AS rejected, round(count(*) FILTER (NOT rejected AND python_class = actual) / count(*), 4) AS python_accuracy, round(count(*) FILTER (NOT rejected AND gtm_class = actual) / count(*), 4) AS gtm_accuracy,
+  count(*) FILTER (NOT rejected AND review) AS reviewed, round(avg((python_class = actual)::INT) FILTER (NOT rejected AND actual IN ({_CRIT})), 4) AS critical_recall FROM r GROUP BY 1""")
+def robustness(spark, d):
+    name = F.element_at(F.array(*[F.lit(x) for x in ("clean", "noise", "far", "clipped")]), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = _compared(spark, d).select(name.alias("condition"), "actual", (F.col("event_id") % 11 == 0).alias("rejected"), "python_class", "gtm_class", F.col("status").isin("Model Disagreement", "Uncertain Result").alias("review_required"))
+    return C.robustness(rows).select("condition", "clips", "rejected", *_r("python_accuracy", "gtm_accuracy"), "reviewed", *_r("critical_recall"))
+
+
+@query("x7_score_sums", f"WITH {D.SCORES} SELECT event_id, round(list_sum(a), 6) AS total_a, round(list_max(b), 6) AS top_b FROM sc")
+def score_sums(spark, d):
+    v = D.score_vectors(spark, d)
+    return v.select("event_id", F.round(F.aggregate("scores_a", F.lit(0.0), lambda a, x: a + x), 6).alias("total_a"), F.round(F.array_max("scores_b"), 6).alias("top_b"))
+
+
+@query("j13_aligned_models", f"WITH {D.SCORES} SELECT event_id, python_class, gtm_class FROM cp")
+def aligned(spark, d):
+    c = _compared(spark, d)
+    return C.align(c.select("event_id", "python_class"), c.select("event_id", "gtm_class"), "event_id")

@@ -244,17 +244,123 @@ def _prints(spark, d):
     return v.select("vec_id", "label", U.fingerprint(F.col("v")).alias("print"))
 
 
-@query("j11_near_duplicates", """WITH m AS (SELECT vec_id, embedding, list_sort(embedding) AS s FROM embeddings WHERE len(embedding) = 64), p AS (SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE > (s[32]::DOUBLE + s[33]::DOUBLE) / 2)::INT) AS b FROM m),
-c AS (SELECT b, min(vec_id) AS rep FROM p GROUP BY b), q AS (SELECT x.rep AS vec_id, y.rep AS near_key, 1 - list_sum(list_transform(range(1, 65), lambda i: abs(x.b[i] - y.b[i]))) / 64 AS similarity FROM c x, c y
- WHERE y.rep < x.rep AND (x.b[1:16] = y.b[1:16] OR x.b[17:32] = y.b[17:32] OR x.b[33:48] = y.b[33:48] OR x.b[49:64] = y.b[49:64]))
-SELECT vec_id, near_key, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, near_key) AS i FROM q WHERE similarity >= 0.6) WHERE i <= 5""")
+_PRINTS = """m AS (SELECT vec_id, label, embedding, list_sort(embedding) AS s FROM embeddings WHERE len(embedding) = 64),
+p AS (SELECT vec_id, label, list_transform(embedding, lambda x: (x::DOUBLE > (s[32]::DOUBLE + s[33]::DOUBLE) / 2)::INT) AS b FROM m)"""
+_ALIKE = "1 - list_sum(list_transform(range(1, 65), lambda i: abs(x.b[i] - y.b[i]))) / 64"
+
+
+@query("j11_near_duplicates", f"""WITH {_PRINTS}, q AS (SELECT x.vec_id, y.vec_id AS near_key, {_ALIKE} AS similarity FROM p x JOIN p y ON y.vec_id < x.vec_id)
+SELECT vec_id, near_key, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, near_key) AS i FROM q WHERE similarity >= 0.92) WHERE i <= 5""")
 def j11(spark, d):
-    return U.near_matches(_prints(spark, d), "vec_id", "print", 0.6, 5).select("vec_id", "near_key", F.round("similarity", 6).alias("similarity"))
+    return U.near_matches(_prints(spark, d), "vec_id", "print", 0.92, 5).select("vec_id", "near_key", F.round("similarity", 6).alias("similarity"))
+
+
+@query("j12_hard_negatives", f"""WITH {_PRINTS}, q AS (SELECT x.vec_id, y.vec_id AS other, {_ALIKE} AS similarity FROM p x JOIN p y ON x.vec_id % 50 = 0 AND x.label <> y.label)
+SELECT vec_id, other, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, other) AS i FROM q) WHERE i <= 3""")
+def j12(spark, d):
+    p = _prints(spark, d)
+    return U.hard_negatives(p.where("vec_id % 50 = 0"), p, "vec_id", "print", "label").select("vec_id", "other", F.round("similarity", 6).alias("similarity"))
 
 
-@query("e12_near_duplicate_thresholds")
+@query("e12_near_duplicate_thresholds", f"""WITH {_PRINTS}, m2 AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 1)) AS e FROM m), c AS (SELECT vec_id, list_transform(e, lambda x: (x > (list_sort(e)[32] + list_sort(e)[33]) / 2)::INT) AS b FROM m2),
+h AS (SELECT x.vec_id, {_ALIKE} AS similarity, row_number() OVER (PARTITION BY x.vec_id ORDER BY {_ALIKE} DESC, y.vec_id) AS i FROM p x JOIN p y ON x.vec_id % 50 = 0 AND x.label <> y.label),
+z AS (SELECT {_ALIKE} AS similarity, true AS is_copy FROM p x JOIN c y USING (vec_id) UNION ALL SELECT similarity, false FROM h WHERE i <= 3)
+SELECT t AS threshold, round(count(*) FILTER (is_copy AND similarity >= t) / greatest(1, count(*) FILTER (is_copy)), 6) AS recall, count(*) FILTER (NOT is_copy AND similarity >= t) AS false_flags FROM z, (SELECT unnest([0.75, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS t) GROUP BY 1""")
 def e12(spark, d):
     p = _prints(spark, d)
-    labels = p.select("vec_id", "label")
-    near = U.near_matches(p, "vec_id", "print", 0.5, 5).join(labels, "vec_id").join(labels.select(F.col("vec_id").alias("near_key"), F.col("label").alias("other")), "near_key")
-    return U.evaluate_near(near.select("similarity", (F.col("label") == F.col("other")).alias("is_copy")), [0.5, 0.6, 0.7, 0.84, 0.9])
+    rounded = D.table(spark, d, "embeddings").where("size(embedding) = 64").withColumn("v", F.transform("embedding", lambda x: F.round(x.cast("double"), 1)))
+    copies = p.join(rounded.select("vec_id", U.fingerprint(F.col("v")).alias("copy")), "vec_id").select(U.similarity(F.col("print"), F.col("copy")).alias("similarity"), F.lit(True).alias("is_copy"))
+    negatives = U.hard_negatives(p.where("vec_id % 50 = 0"), p, "vec_id", "print", "label").select("similarity", F.lit(False).alias("is_copy"))
+    return U.evaluate_near(copies.unionByName(negatives), [0.75, 0.8, 0.85, 0.9, 0.95]).withColumn("recall", F.round("recall", 6))
+
+
+_CODES = {"en": "ENG", "de": "DEU", "fr": "FRA"}
+_CODE = "CASE class_label WHEN 'en' THEN 'ENG' WHEN 'de' THEN 'DEU' WHEN 'fr' THEN 'FRA' END"
+_SOURCE_ROWS = f"""sr AS (SELECT * REPLACE (CASE WHEN clip % 13 = 0 THEN 'SS-' || clip ELSE 'SS-' || CASE WHEN clip % 17 = 0 THEN 'XXX' ELSE coalesce({_CODE}, 'SPA') END || '-' || lpad((clip % 10000)::VARCHAR, 4, '0') END AS audio_id),
+  CASE WHEN clip % 19 = 0 THEN 'train' END AS dataset_split, environment AS recording_environment, source_group || '.wav' AS filename FROM mf)"""
+
+
+def _source_rows(spark, d):
+    code = F.coalesce(F.create_map(*[F.lit(x) for pair in _CODES.items() for x in pair])[F.col("class_label")], F.lit("SPA"))
+    clip = F.col("clip")
+    name = F.when(clip % 13 == 0, F.concat(F.lit("SS-"), clip.cast("string"))).otherwise(F.concat(F.lit("SS-"), F.when(clip % 17 == 0, "XXX").otherwise(code), F.lit("-"), F.lpad((clip % 10000).cast("string"), 4, "0")))
+    m = D.manifest(spark, d).withColumn("audio_id", name)
+    return m.withColumn("dataset_split", F.when(clip % 19 == 0, "train")).withColumn("recording_environment", F.col("environment")).withColumn("filename", F.concat("source_group", F.lit(".wav")))
+
+
+@query("f13_assembly_problems", f"""WITH {D.MANIFEST}, {_SOURCE_ROWS}, g AS (SELECT *, {_CODE} AS code, regexp_extract(audio_id, '^SS-([A-Z]{{3}})-[0-9]{{4}}$', 1) AS got FROM sr)
+SELECT audio_id, unnest(list_filter([CASE WHEN dataset_split IS NOT NULL THEN 'split_already_set' END, CASE WHEN code IS NULL THEN 'unknown_class' END, CASE WHEN got = '' THEN 'malformed_id' END, CASE WHEN got <> '' AND got <> code THEN 'code_of_another_class' END,
+  CASE WHEN licence = '' THEN 'empty_licence' END, CASE WHEN licence LIKE '%-NC%' THEN 'non_commercial_licence' END, CASE WHEN environment NOT IN ('indoor', 'outdoor') THEN 'unknown_environment' END], lambda x: x IS NOT NULL)) AS problem FROM g""")
+def f13(spark, d):
+    return M.assembly_problems(_source_rows(spark, d), _CODES)
+
+
+@query("x10_id_parts", f"""WITH {D.MANIFEST}, {_SOURCE_ROWS} SELECT audio_id, nullif(regexp_extract(audio_id, '^SS-([A-Z]{{3}})-[0-9]{{4}}$', 1), '') AS code, nullif(regexp_extract(audio_id, '^SS-[A-Z]{{3}}-([0-9]{{4}})$', 1), '')::INT AS number FROM sr""")
+def x10(spark, d):
+    return _source_rows(spark, d).select("audio_id", M.clip_id_parts(F.col("audio_id")).alias("x")).select("audio_id", "x.code", "x.number")
+
+
+@query("x10_upload_days", f"WITH {D.FILES} SELECT audio_id, DATE '2024-01-01' + (audio_key % 28)::INT AS day FROM au")
+def x10_days(spark, d):
+    return D.audio_files(spark, d).select("audio_id", M.day_of_recording(F.col("audio_id")).alias("day"))
+
+
+_SPLIT = "CASE clip % 10 WHEN 0 THEN 'val' WHEN 1 THEN 'test' ELSE 'train' END"
+
+
+@query("f10_split_rows", f"WITH {D.MANIFEST} SELECT audio_id FROM mf WHERE {_SPLIT} = 'test' AND role = 'original'")
+def f10(spark, d):
+    m = D.manifest(spark, d).withColumn("dataset_split", F.expr(_SPLIT))
+    return M.select_split(m, "test").select("audio_id")
+
+
+@query("f11_reportable", f"WITH {D.MANIFEST}, b AS (SELECT *, {_SPLIT} AS split FROM mf) SELECT count(*) FILTER (split <> 'test') AS wrong_split, count(*) FILTER (role <> 'original') AS augmented, count(*) FILTER (split <> 'test' OR role <> 'original') = 0 AS ok FROM b")
+def f11(spark, d):
+    from echotable.operators import compare as C
+
+    m = D.manifest(spark, d).withColumn("split", F.expr(_SPLIT))
+    return C.reportable(m).select("wrong_split", "augmented", "ok")
+
+
+@query("f15_defects", f"WITH {D.MANIFEST} SELECT audio_id, unnest(list_filter([CASE WHEN duration_sec < 2 THEN 'too_short' END, CASE WHEN -(clip % 60) <= -50 THEN 'too_quiet' END], lambda x: x IS NOT NULL)) AS defect FROM mf")
+def f15(spark, d):
+    return M.defects(D.manifest(spark, d).withColumn("rms_dbfs", -(F.col("clip") % 60)), shortest=2.0)
+
+
+@query("j9_unmatched_files", "SELECT doc_id::VARCHAR || '.wav' AS filename, 'file_missing' AS state FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id::VARCHAR || '.wav', 'not_in_manifest' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def j9(spark, d):
+    name = F.concat(F.col("doc_id").cast("string"), F.lit(".wav")).alias("filename")
+    return M.unmatched_files(D.table(spark, d, "documents").select(name), D.table(spark, d, "labels").select(name))
+
+
+@query("u6_table_differences", "SELECT doc_id, 'left' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+def u6(spark, d):
+    return M.differences(D.table(spark, d, "documents").select("doc_id"), D.table(spark, d, "labels").select("doc_id"))
+
+
+@query("w7_keep_lowest", f"WITH {D.MANIFEST} SELECT audio_id, class_label FROM (SELECT *, row_number() OVER (PARTITION BY class_label ORDER BY audio_id) AS i FROM mf) WHERE i <= 25")
+def w7(spark, d):
+    return M.keep_lowest(D.manifest(spark, d), "class_label", "audio_id", 25).select("audio_id", "class_label")
+
+
+@query("a31_skip_reasons", f"WITH {D.MANIFEST} SELECT CASE WHEN licence = '' THEN 'no_licence' WHEN licence LIKE '%-NC%' THEN 'non_commercial' WHEN duration_sec < 1 THEN 'too_short' ELSE 'accepted' END AS reason, count(*) AS n FROM mf GROUP BY 1")
+def a31(spark, d):
+    reason = F.when(F.col("licence") == "", "no_licence").when(F.col("licence").contains("-NC"), "non_commercial").when(F.col("duration_sec") < 1, "too_short")
+    return M.reason_counts(D.manifest(spark, d), reason)
+
+
+@query("x19_covering_segments", f"""WITH {D.MANIFEST}, k AS (SELECT audio_id, (clip % 9000 + n0)::BIGINT AS n FROM (SELECT *, floor(duration_sec * 100)::BIGINT AS n0 FROM mf)),
+c AS (SELECT audio_id, n, ceil(n / 300)::BIGINT AS k FROM k), s AS (SELECT DISTINCT audio_id, n, CASE WHEN k <= 1 THEN 0 ELSE round_even(i * ((n - 300) / greatest(k - 1, 1)), 0)::BIGINT END AS first_sample FROM (SELECT *, unnest(range(greatest(k, 1))) AS i FROM c WHERE n > 0))
+SELECT audio_id, first_sample AS start, least(n, first_sample + 300) AS "end" FROM s""")
+def x19_cover(spark, d):
+    n = (F.col("clip") % 9000 + F.floor(F.col("duration_sec") * 100)).cast("long")
+    return D.manifest(spark, d).select("audio_id", F.explode(M.covering_bounds(n, F.lit(300).cast("long"))).alias("b")).select("audio_id", "b.start", "b.end")
+
+
+@query("x20_fraction_cuts", f"""WITH {D.MANIFEST}, t AS (SELECT *, CASE WHEN duration_sec >= 3.3 THEN 3.0 ELSE greatest(0.5, duration_sec * 0.8) END::DOUBLE AS take FROM mf),
+c AS (SELECT audio_id, class_label, take, list_transform([0.1, 0.4, 0.7]::DOUBLE[], lambda f: round(greatest(0.0, least(f * duration_sec, duration_sec - take)), 3)) AS l FROM t),
+u AS (SELECT *, list_filter(l, lambda x, i: list_position(l, x) = i) AS starts FROM c), e AS (SELECT audio_id, class_label, take, unnest(starts) AS s, generate_subscripts(starts, 1) AS nth FROM u)
+SELECT audio_id || 'S' || nth AS audio_id, audio_id AS parent_audio_id, class_label, s AS segment_start_sec, round(s + take, 3) AS segment_end_sec FROM e""")
+def x20(spark, d):
+    cuts = M.fraction_cuts(D.manifest(spark, d), (0.1, 0.4, 0.7), 3.0, 0.5)
+    return cuts.select("audio_id", "parent_audio_id", "class_label", "segment_start_sec", "segment_end_sec")

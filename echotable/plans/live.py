@@ -30,6 +30,8 @@ def _folder(spark) -> str:
     """A fresh folder that executors share: below the checkpoint folder, or a local one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _local:
             _local.append("file://" + tempfile.mkdtemp(prefix="echotable-stream-"))
         base = _local[0]
@@ -81,9 +83,9 @@ def t7(spark, d):
     out = _folder(spark)
     rows = _events(spark, d).select("event_id", "event_type")
     for attempt in ("first", "again"):  # the second pass finds every key stored
-        q = rows.writeStream.option("checkpointLocation", f"{out}/{attempt}").trigger(availableNow=True).foreachBatch(L.append_new(f"{out}/rows", "event_id")).start()
+        q = rows.writeStream.option("checkpointLocation", f"{out}/{attempt}").trigger(availableNow=True).foreachBatch(L.append_new(f"{out}/rows", "event_id", attempt)).start()
         q.awaitTermination()
-    return spark.read.parquet(f"{out}/rows")
+    return spark.read.parquet(f"{out}/rows").drop("batch")
 
 
 def _clips(spark, d):
@@ -153,3 +155,28 @@ def w19(spark, d):
     t = D.table(spark, d, "events").groupBy(F.col("event_type").alias("family"), "user_id").agg(F.round(F.avg("value") / 100, 6).alias("score"), F.count("*").alias("cost"), F.round(F.avg((F.col("value") > 30).cast("int")), 6).alias("recall"))
     t = t.withColumn("cost", F.struct("cost", "user_id"))
     return T.rank_candidates(t, "family", "score", "cost", "recall", 0.5).where("place <= 3").select("family", "user_id", "eligible")
+
+
+@query("v4_segments", "SELECT vec_id AS clip_id, i AS segment, i * 0.25::DOUBLE AS start_sec, i * 0.25::DOUBLE + 0.25::DOUBLE AS end_sec, 4000 AS n FROM (SELECT vec_id, unnest(range(4)) AS i FROM embeddings WHERE len(embedding) = 64)")
+def v4(spark, d):
+    return W.segments(_clips(spark, d), "clip_id", "samples", "rate", 0.25).select("clip_id", "segment", "start_sec", "end_sec", F.size("samples").alias("n"))
+
+
+@query("v5_mel_images")
+def v5(spark, d):
+    m = W.mel_images(_clips(spark, d), "clip_id", "samples", "rate", 0.5, bands=32, size=1024, hop=320, loudest_only=True)
+    return m.select("clip_id", "segment", "n_frames", F.round(F.array_max("image"), 2).alias("loudest_db"))
+
+
+@query("v15_class_spectra")
+def v15(spark, d):
+    m = W.realism(_clips(spark, d), "clip_id", "samples", "rate")
+    return W.class_spectra(m, "label").withColumn("cosine", F.round("cosine", 4))
+
+
+@query("t8_late_rows", "SELECT count(*) AS rows, 0::BIGINT AS late FROM events")
+def t8(spark, d):
+    out = _folder(spark)
+    count, seen = L.lateness("ts", 10 * 86_400 * 365)
+    _events(spark, d).writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(count).start().awaitTermination()
+    return spark.range(1).select(F.lit(seen["rows"]).cast("long").alias("rows"), F.lit(seen["late"]).cast("long").alias("late"))

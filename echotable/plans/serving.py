@@ -35,9 +35,41 @@ def f2(spark, d):
     return V.visible_to(D.sound_events(spark, d), 8).select("event_id", "created_by")
 
 
-@query("f4_free_text", "SELECT page_id, url FROM pages WHERE url ILIKE '%EXAMPLE.net%'")
+_SIX = ("class_name", "severity", "consistency", "audio_id", "filename", "username")
+
+
+def _with_files(spark, d):
+    e = D.sound_events(spark, d).withColumn("audio_key", F.col("event_id") % 1000)
+    return V.with_files(e, D.audio_files(spark, d))
+
+
+_JOINED = f"{D.EVENTS}, {D.FILES}, ja AS (SELECT * FROM ev JOIN au ON event_id % 1000 = audio_key)"
+
+
+@query("j1_event_files", f"WITH {_JOINED} SELECT event_id, class_name, audio_id, filename FROM ja")
+def j1(spark, d):
+    return _with_files(spark, d).select("event_id", "class_name", "audio_id", "filename")
+
+
+@query("f3_name_contains", f"WITH {_JOINED} SELECT event_id, audio_id, filename FROM ja WHERE filename ILIKE '%clip_DE-1%' OR username ILIKE '%clip_DE-1%' OR audio_id ILIKE '%clip_DE-1%'")
+def f3(spark, d):
+    return V.search(_with_files(spark, d), {"text": "clip_DE-1", "text_columns": ("audio_id", "filename", "username")}).select("event_id", "audio_id", "filename")
+
+
+@query("f4_free_text", f"WITH {_JOINED} SELECT event_id, filename FROM ja WHERE {' OR '.join(f"{c} ILIKE '%RIT%'" for c in _SIX)}")
 def f4(spark, d):
-    return V.search(D.table(spark, d, "pages"), {"text": "EXAMPLE.net", "text_columns": ["url"]}).select("page_id", "url")
+    return V.search(_with_files(spark, d), {"text": "RIT", "text_columns": _SIX}).select("event_id", "filename")
+
+
+@query("f6_canonical_names", f"WITH {D.EVENTS} SELECT event_id, severity FROM ev WHERE severity IN ('High', 'Low')")
+def f6(spark, d):
+    names, _ = V.canonical(["HIGH, low", "unheard-of"], SEVERITIES)
+    return V.search(D.sound_events(spark, d), {"severity": names}).select("event_id", "severity")
+
+
+@query("f7_date_range", f"WITH {D.EVENTS} SELECT event_id, created_at FROM ev WHERE created_at >= TIMESTAMP '2024-01-03' AND created_at < TIMESTAMP '2024-01-06'")
+def f7(spark, d):
+    return V.search(D.sound_events(spark, d), {"since": "2024-01-03", "until": "2024-01-05"}).select("event_id", "created_at")
 
 
 @query("f5_review_state", f"WITH {D.EVENTS}, {D.REVIEWS}, b AS (SELECT event_id, bool_or(status <> 'Decided') AS pending FROM rv GROUP BY 1) SELECT event_id FROM ev JOIN b USING (event_id) WHERE pending")
@@ -50,10 +82,10 @@ def f8(spark, d):
     return V.since(D.sound_events(spark, d), D.now(), 36).select("event_id", "created_at")
 
 
-@query("f9_audit_trail", "SELECT event_id, event_type AS action, user_id AS actor, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome FROM events WHERE event_type IN ('error', 'signup') AND user_id < 40 ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 50")
+@query("f9_audit_trail", "SELECT event_id, event_type AS action, user_id AS actor, CASE WHEN event_type = 'error' THEN 'failure' ELSE 'success' END AS outcome FROM events WHERE event_type IN ('error', 'signup') ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 50")
 def f9(spark, d):
     a = D.table(spark, d, "events").select("event_id", F.col("event_type").alias("action"), F.col("user_id").alias("actor"), F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("outcome"), "ts")
-    return a.where("action in ('error', 'signup') and actor < 40").orderBy(F.desc("ts"), F.desc("event_id")).offset(50).limit(50).drop("ts")
+    return a.where("action in ('error', 'signup')").orderBy(F.desc("ts"), F.desc("event_id")).offset(50).limit(50).drop("ts")
 
 
 @query("f17_illegal_values", f"WITH {D.ALERTS} SELECT status, count(*) AS n FROM al WHERE status NOT IN ('New', 'Acknowledged') GROUP BY 1")
@@ -95,16 +127,14 @@ def a1(spark, d):
     return V.since(D.sound_events(spark, d), D.now(), 240).groupBy("severity", "consistency", "class_name").agg(F.count("*").alias("n"))
 
 
-@query("a2_summary_cards", f"""WITH {D.EVENTS}, {D.ALERTS}, {D.REVIEWS} SELECT * FROM (SELECT count(*) AS events, count(*) FILTER (severity = 'Critical') AS critical, count(*) FILTER (review_required) AS to_review,
-  count(*) FILTER (consistency = 'Strong Match') AS strong, count(*) FILTER (source = 'microphone') AS live FROM ev), (SELECT count(*) FILTER (status = 'New') AS open_alerts, count(*) FILTER (false_alarm) AS false_alarms FROM al),
-  (SELECT count(*) FILTER (status = 'Pending Review') AS pending_reviews FROM rv)""")
+@query("a2_summary_cards", f"""WITH {D.EVENTS}, {D.ALERTS}, {D.REVIEWS}, w AS (SELECT *, created_at > {_NOW} - INTERVAL 240 HOUR AND created_at <= {_NOW} AS recent FROM ev)
+SELECT * FROM (SELECT count(*) AS events_total, count(*) FILTER (recent) AS events_window, count(*) FILTER (review_required) AS awaiting_review, count(*) FILTER (recent AND severity = 'Critical') AS critical_window,
+  count(*) FILTER (consistency = 'Strong Match') AS strong, count(*) FILTER (consistency = 'Model Disagreement') AS disagreements, count(*) FILTER (consistency = 'Uncertain Result') AS uncertain,
+  count(*) FILTER (source = 'microphone') AS live, count(*) FILTER (quality = 'Unusable') AS unusable FROM w),
+ (SELECT count(*) FILTER (status = 'New') AS open_alerts, count(*) FILTER (status = 'Acknowledged') AS acknowledged_alerts, count(*) FILTER (false_alarm) AS false_alarms FROM al),
+ (SELECT count(*) FILTER (status = 'Pending Review') AS queue_depth, count(*) FILTER (status = 'Decided') AS decided FROM rv)""")
 def a2(spark, d):
-    e = D.sound_events(spark, d).agg(
-        F.count("*").alias("events"), F.count_if(F.col("severity") == "Critical").alias("critical"), F.count_if("review_required").alias("to_review"),
-        F.count_if(F.col("consistency") == "Strong Match").alias("strong"), F.count_if(F.col("source") == "microphone").alias("live"),
-    )
-    a = D.alerts(spark, d).agg(F.count_if(F.col("status") == "New").alias("open_alerts"), F.count_if("false_alarm").alias("false_alarms"))
-    return e.crossJoin(a).crossJoin(D.reviews(spark, d).agg(F.count_if(F.col("status") == "Pending Review").alias("pending_reviews")))  # one row each
+    return V.summary_cards(D.sound_events(spark, d), D.alerts(spark, d), D.reviews(spark, d), D.now(), 240)
 
 
 @query("a3_class_analytics", f"WITH {D.EVENTS} SELECT class_name, count(*) AS n, round(coalesce(avg(python_confidence), 0), 4) AS mean_confidence, round(coalesce(avg(difference), 0), 4) AS mean_difference FROM ev GROUP BY 1")
@@ -181,18 +211,25 @@ def a14(spark, d):
 _AN = "TIMESTAMP '2024-01-20 12:00:00'"
 
 
-@query("a15_anomalies", f"""WITH {D.EVENTS}, {D.ALERTS}, {D.REVIEWS}, e AS (SELECT count(*) FILTER (r) AS n, count(*) FILTER (r AND review_required) AS low, count(*) FILTER (b) AS n0, count(*) FILTER (b AND review_required) AS low0,
-  count(*) FILTER (r AND class_name = 'error') AS errors, count(*) FILTER (r AND quality = 'Unusable') AS failed
-  FROM (SELECT *, created_at > {_AN} - INTERVAL 60 MINUTE AND created_at <= {_AN} AS r, created_at > {_AN} - INTERVAL 7 DAY AND created_at <= {_AN} - INTERVAL 60 MINUTE AS b FROM ev)),
-a AS (SELECT count(*) FILTER (severity = 'Critical' AND created_at > {_AN} - INTERVAL 60 MINUTE AND created_at <= {_AN}) AS critical FROM al), q AS (SELECT count(*) FILTER (status <> 'Decided') AS queue FROM rv),
-c AS (SELECT 'failed_uploads' AS "check", failed::DOUBLE AS observed, 5.0::DOUBLE AS threshold, failed >= 5 AS fired FROM e
- UNION ALL SELECT 'low_confidence_spike', CASE WHEN n > 0 THEN low / n ELSE 0 END, 0.5, n >= 10 AND low / n >= 0.5 AND low / n >= 2.0 * CASE WHEN n0 > 0 THEN low0 / n0 ELSE 0 END FROM e
- UNION ALL SELECT 'critical_alerts', critical, 10, critical >= 10 FROM a UNION ALL SELECT 'error_rate', CASE WHEN n > 0 THEN errors / n ELSE 0 END, 0.2, n > 0 AND errors / n > 0.2 FROM e
- UNION ALL SELECT 'review_queue', queue, 100, queue > 100 FROM q)
+def _share(x: str, y: str) -> str:
+    return f"CASE WHEN {y} > 0 THEN {x} / {y} ELSE 0 END"
+
+
+@query("a15_anomalies", f"""WITH {D.EVENTS}, {D.ALERTS}, {D.REVIEWS}, {D.AUDIT}, {D.USERS}, e AS (SELECT count(*) FILTER (r) AS n, count(*) FILTER (r AND python_confidence < 0.4) AS low, count(*) FILTER (b) AS n0, count(*) FILTER (b AND python_confidence < 0.4) AS low0
+  FROM (SELECT *, created_at >= {_AN} - INTERVAL 60 MINUTE AND created_at <= {_AN} AS r, created_at >= {_AN} - INTERVAL 7 DAY AND created_at < {_AN} - INTERVAL 60 MINUTE AS b FROM ev) WHERE python_confidence IS NOT NULL),
+a AS (SELECT count(*) AS critical FROM al WHERE severity = 'Critical' AND created_at >= {_AN} - INTERVAL 60 MINUTE AND created_at <= {_AN}), q AS (SELECT count(*) AS queue FROM rv WHERE status = 'Pending Review'),
+t AS (SELECT count(*) AS actions, count(*) FILTER (outcome = 'failure') AS failures, count(*) FILTER (action = 'audio_upload' AND outcome = 'failure') AS uploads, count(*) FILTER (action = 'model_failure') AS models,
+  count(*) FILTER (action LIKE 'audio_duplicate_%') AS copies, count(*) FILTER (action LIKE 'login_%') AS logins FROM ad WHERE done_at >= {_AN} - INTERVAL 60 MINUTE AND done_at <= {_AN}),
+u AS (SELECT count(*) FILTER (locked_until > {_AN}) AS locked FROM us),
+c AS (SELECT 'failed_uploads' AS "check", uploads::DOUBLE AS observed, 5.0::DOUBLE AS threshold, uploads >= 5 AS fired FROM t UNION ALL SELECT 'model_failures', models, 1, models >= 1 FROM t
+ UNION ALL SELECT 'low_confidence_spike', {_share('low', 'n')}, 0.5, n >= 10 AND {_share('low', 'n')} >= 0.5 AND {_share('low', 'n')} >= 2.0 * greatest({_share('low0', 'n0')}, 0.05) FROM e
+ UNION ALL SELECT 'critical_alerts', critical, 10, critical >= 10 FROM a UNION ALL SELECT 'duplicate_files', copies, 5, copies >= 5 FROM t UNION ALL SELECT 'failed_logins', logins, 10, logins >= 10 OR locked > 0 FROM t, u
+ UNION ALL SELECT 'error_rate', {_share('failures', 'actions')}, 0.2, {_share('failures', 'actions')} > 0.2 FROM t UNION ALL SELECT 'review_queue', queue, 100, queue > 100 FROM q)
 SELECT "check", round(observed, 4) AS observed, threshold FROM c WHERE fired""")
 def a15(spark, d):
     at = F.lit("2024-01-20 12:00:00").cast("timestamp")
-    return V.anomalies(D.sound_events(spark, d), D.alerts(spark, d), D.reviews(spark, d), at).withColumn("observed", F.round("observed", 4))
+    found = V.anomalies(D.sound_events(spark, d), D.alerts(spark, d), D.reviews(spark, d), D.audit(spark, d), D.users(spark, d), at)
+    return found.withColumn("observed", F.round("observed", 4))
 
 
 @query("a16_period_report", f"WITH {D.EVENTS} SELECT coalesce(class_name, 'all') AS class_name, coalesce(severity, 'all') AS severity, count(*) AS n FROM ev WHERE created_at >= TIMESTAMP '2024-01-05' AND created_at < TIMESTAMP '2024-01-15' GROUP BY GROUPING SETS ((class_name), (severity), ())")
@@ -301,7 +338,7 @@ def w22(spark, d):
     return D.reviews(spark, d).groupBy("event_id").agg(first.alias("decision"), F.count("*").alias("n"))
 
 
-@query("j17_retention_plan", f"""WITH {D.EVENTS}, {D.ALERTS}, {D.REVIEWS}, hold AS (SELECT event_id FROM rv WHERE status = 'Pending Review' UNION SELECT alert_id % 10000 FROM al WHERE status = 'Acknowledged' AND alert_id % 7 = 0),
+@query("j17_retention_plan", f"""WITH {D.EVENTS}, {D.ALERTS}, {D.REVIEWS}, hold AS (SELECT event_id FROM rv WHERE status = 'Pending Review' UNION SELECT alert_id FROM al WHERE status IN ('New', 'Acknowledged')),
 e AS (SELECT event_id, event_id // 2 AS audio_key, severity, created_at FROM ev), k AS (SELECT audio_key, max(CASE WHEN severity = 'Critical' THEN 730 ELSE 180 END) AS keep_days FROM e GROUP BY 1),
 f AS (SELECT audio_key, min(created_at) AS created_at, bool_or(event_id % 101 = 0) AS flagged FROM e GROUP BY 1)
 SELECT audio_key, created_at, keep_days FROM f JOIN k USING (audio_key) WHERE NOT flagged AND audio_key NOT IN (SELECT audio_key FROM e SEMI JOIN hold USING (event_id))
@@ -309,5 +346,53 @@ SELECT audio_key, created_at, keep_days FROM f JOIN k USING (audio_key) WHERE NO
 def j17(spark, d):
     e = D.sound_events(spark, d).select("event_id", F.floor(F.col("event_id") / 2).alias("audio_key"), "severity", "created_at")
     files = e.groupBy("audio_key").agg(F.min("created_at").alias("created_at"), F.max(F.col("event_id") % 101 == 0).alias("flagged"))
-    al = D.alerts(spark, d).where("alert_id % 7 = 0").where("status <> 'New'").select((F.col("alert_id") % 10000).alias("event_id"), "status")
+    al = D.alerts(spark, d).select(F.col("alert_id").alias("event_id"), "status")
     return V.retention_plan(files, e, al, D.reviews(spark, d), F.lit("2024-07-20").cast("timestamp")).select("audio_key", "created_at", "keep_days")
+
+
+@query("w20_purge_batches", f"""WITH {D.EVENTS}, {D.FILES}, {D.REVIEWS}, r AS (SELECT 'event_records' AS artifact, event_id AS id, created_at, severity, event_id IN (SELECT event_id FROM rv WHERE status = 'Pending Review') AS held FROM ev
+  UNION ALL SELECT CASE WHEN source = 'microphone' THEN 'microphone_session_audio' ELSE 'audio' END, event_id, created_at, severity, event_id % 10 = 3 FROM ev UNION ALL SELECT 'model_version', event_id, created_at, severity, false FROM ev),
+k AS (SELECT *, CASE artifact WHEN 'event_records' THEN CASE severity WHEN 'High' THEN 1095 WHEN 'Critical' THEN 1825 ELSE 730 END WHEN 'audio' THEN CASE severity WHEN 'Critical' THEN 730 ELSE 180 END WHEN 'microphone_session_audio' THEN 7 END AS keep_days FROM r WHERE NOT held),
+p AS (SELECT *, row_number() OVER (PARTITION BY artifact ORDER BY created_at, id) AS place FROM k WHERE CAST(created_at AS DATE) + keep_days < DATE '2026-01-20') SELECT artifact, id, created_at, keep_days FROM p WHERE place <= 200""")
+def w20(spark, d):
+    e = D.sound_events(spark, d)
+    pending = D.reviews(spark, d).where("status = 'Pending Review'").select("event_id").distinct().withColumn("held", F.lit(True))
+    events = e.join(pending, "event_id", "left").select(F.lit("event_records").alias("artifact"), F.col("event_id").alias("id"), "created_at", "severity", F.coalesce("held", F.lit(False)).alias("held"))
+    kind = F.when(F.col("source") == "microphone", "microphone_session_audio").otherwise("audio")
+    audio = e.select(kind.alias("artifact"), F.col("event_id").alias("id"), "created_at", "severity", (F.col("event_id") % 10 == 3).alias("held"))
+    models = e.select(F.lit("model_version").alias("artifact"), F.col("event_id").alias("id"), "created_at", "severity", F.lit(False).alias("held"))
+    return V.due_for_purge(events.unionByName(audio).unionByName(models), F.lit("2026-01-20").cast("timestamp"), 200)
+
+
+@query("o2_page_totals", f"WITH {D.EVENTS}, m AS (SELECT * FROM ev WHERE critical_class) SELECT event_id, (SELECT count(*) FROM m) AS total, (SELECT ceil(count(*) / 25)::BIGINT FROM m) AS pages FROM m ORDER BY created_at DESC, event_id DESC LIMIT 25 OFFSET 50")
+def o2(spark, d):
+    return V.paged(D.sound_events(spark, d).where("critical_class"), "newest", 3, 25).select("event_id", "total", "pages")
+
+
+@query("x5_reason_texts", f"WITH {D.EVENTS} SELECT event_id, 'Heard ' || class_name || ' at ' || printf('%.2f', python_confidence) || ' ({{unknown}})' AS reason FROM ev")
+def x5(spark, d):
+    text = V.filled("Heard {class_name} at {python_confidence:.2f} ({unknown})", ["class_name", "python_confidence"])
+    return D.sound_events(spark, d).select("event_id", text.alias("reason"))
+
+
+@query("x12_severity_ranks", f"WITH {D.EVENTS} SELECT event_id, list_position({list(SEVERITIES)}, severity) - 1 AS rank FROM ev")
+def x12(spark, d):
+    return D.sound_events(spark, d).select("event_id", S.severity_rank(F.col("severity")).cast("long").alias("rank"))
+
+
+@query("x16_dedup_keys", "SELECT event_id, event_type || '|' || user_id || '|' AS dedup_key FROM events")
+def x16(spark, d):
+    e = D.table(spark, d, "events")
+    return e.select("event_id", V.dedup_key(F.concat(F.lit("  "), F.upper("event_type")), F.col("user_id"), F.lit(None).cast("string")).alias("dedup_key"))
+
+
+@query("x17_snapshots", f"WITH {D.EVENTS} SELECT event_id, class_name, severity, quality FROM ev")
+def x17(spark, d):
+    e = D.sound_events(spark, d).select("event_id", "class_name", "severity", "quality")
+    return V.restored(V.snapshot(e, ["class_name", "severity", "quality"]), "class_name string, severity string, quality string")
+
+
+@query("x18_time_budget", "SELECT event_id, round(value * 10 - 500, 3) <= 0 AS within_budget, CASE WHEN round(value * 10 - 500, 3) > 0 THEN round(value * 10 - 500, 3) END AS budget_overrun_ms FROM events")
+def x18(spark, d):
+    e = D.table(spark, d, "events").select("event_id", (F.col("value") * 10).alias("elapsed_ms"), F.lit(0.5).alias("budget_sec"))
+    return V.within_budget(e, "elapsed_ms", "budget_sec").select("event_id", "within_budget", "budget_overrun_ms")

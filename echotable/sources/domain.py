@@ -151,6 +151,43 @@ MANIFEST = """mf0 AS (
 )"""
 
 
+def audio_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored file per document."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("audio_key"), F.format_string("SST-2024-01-%02d-%06d", F.col("doc_id") % 28 + 1, F.col("doc_id") % 1000000).alias("audio_id"),
+        F.concat_ws("", F.lit("Clip_"), "lang", F.lit("-"), F.col("doc_id").cast("string"), F.lit(".wav")).alias("filename"), F.col("source").alias("username"), F.col("n_chars").alias("size_bytes"),
+    )
+
+
+FILES = """au AS (
+  SELECT doc_id AS audio_key, 'SST-2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 1000000)::VARCHAR, 6, '0') AS audio_id,
+         concat('Clip_', lang, '-', doc_id, '.wav') AS filename, source AS username, n_chars AS size_bytes
+  FROM documents
+)"""
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One audited action per event."""
+    names = ("audio_upload", "login_failure", "audio_duplicate_rejected", "export", "model_failure")
+    kinds = F.create_map(*[F.lit(x) for pair in zip(("click", "view", "signup", "purchase", "error"), names) for x in pair])
+    return table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").alias("at"), kinds[F.col("event_type")].alias("action"), F.when(F.col("event_id") % 4 == 0, "failure").otherwise("success").alias("outcome"))
+
+
+AUDIT = """ad AS (
+  SELECT event_id, user_id, ts AS done_at, CASE event_type WHEN 'click' THEN 'audio_upload' WHEN 'view' THEN 'login_failure' WHEN 'signup' THEN 'audio_duplicate_rejected'
+         WHEN 'purchase' THEN 'export' WHEN 'error' THEN 'model_failure' END AS action, CASE WHEN event_id % 4 = 0 THEN 'failure' ELSE 'success' END AS outcome FROM events
+)"""
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One account per customer; those in debt are locked for a day from the moment of asking."""
+    lock = F.when(F.col("c_acctbal") < 0, now() + F.make_interval(days=F.lit(1)))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), lock.alias("locked_until"))
+
+
+USERS = f"""us AS (SELECT c_custkey AS user_id, CASE WHEN c_acctbal < 0 THEN TIMESTAMP '{NOW}' + INTERVAL 1 DAY END AS locked_until FROM customer)"""
+
+
 def score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models' score vectors and the true class of each clip: ten elements each of an embedding."""
     def part(lo: int) -> F.Column:

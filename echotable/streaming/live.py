@@ -22,6 +22,24 @@ def ingest(windows: DataFrame, keys: list[str], at: str, late: str = "10 minutes
     return windows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
+def lateness(at: str, seconds: float):
+    """A ``foreachBatch`` function and the counts it keeps: rows older than the latest time of earlier batches less ``seconds``.
+
+    What a watermark drops is only seen in the query's progress; this counts the same rows by batch.
+    """
+    seen = {"latest": None, "rows": 0, "late": 0}
+
+    def count(batch: DataFrame, _: int) -> None:
+        time = F.col(at).cast("timestamp").cast("double")
+        late = F.lit(False) if seen["latest"] is None else time < seen["latest"] - seconds
+        n, behind, latest = batch.agg(F.count("*"), F.count_if(late), F.max(time)).first()
+        seen["rows"], seen["late"] = seen["rows"] + n, seen["late"] + behind
+        if latest is not None:
+            seen["latest"] = latest if seen["latest"] is None else max(latest, seen["latest"])
+
+    return count, seen
+
+
 def enrich(windows: DataFrame, rules: DataFrame, class_col: str) -> DataFrame:
     """Windows with the rule of their class: stream with a small static table."""
     return windows.join(F.broadcast(rules), F.col(class_col) == F.col("rule_class"), "left")
@@ -75,16 +93,22 @@ def timeline(events: DataFrame, at: str, bucket: str = "1 hour", late: str = "10
     return e.groupBy(F.window(at, bucket).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("bucket"), "n")
 
 
-def append_new(path: str, key: str):
-    """A ``foreachBatch`` sink that appends rows whose key isn't stored yet: safe to repeat."""
+def append_new(path: str, key: str, run: str = "0"):
+    """A ``foreachBatch`` sink that stores rows whose key isn't stored yet, each batch in a folder of its own.
 
-    def write(batch: DataFrame, _: int) -> None:
+    A batch that is replayed replaces its own folder, so it is safe to repeat whether it failed or not.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates([key])
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            rows = rows.join(spark.read.parquet(path).select(key), key, "left_anti")
-        rows.write.mode("append").parquet(path)
+            stored = spark.read.parquet(path)
+            if "batch" in stored.columns:
+                stored = stored.where(F.col("batch") != f"{run}-{number}")
+            rows = rows.join(stored.select(key), key, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={run}-{number}")
 
     return write
 

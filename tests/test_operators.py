@@ -124,7 +124,9 @@ def test_split_invariants(spark):
     assert M.differences(out.select("audio_id", "split"), M.split(m, seed=7).select("audio_id", "split")).count() > 0
     assert M.split_counts(out).where("not ok").count() == 0
     with pytest.raises(ValueError):
-        M.assign_groups([9], [5, 5, 5], [5, 5, 5], "error")
+        M.deal_sizes([9], [1], [5, 5, 5], "error")
+    assert M.deal_sizes([9], [1], [5, 6, 5], "largest_room") == [[0, 1, 0]]
+    assert M.deal_sizes([3, 1], [2, 4], [7, 2, 1], "error") == [[2, 0, 0], [1, 2, 1]]
 
 
 def test_manifest_faults(spark):
