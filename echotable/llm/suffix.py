@@ -2,17 +2,24 @@
 
 A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller id.
 
-1. Initial q-gram buckets: of the q-grams of every such string one is the string's anchor, that of the
-   least hash (the leftmost of equals). Equal strings have equal anchors at equal offsets, so only
-   suffixes that start at anchors need be sorted, about one in fourteen.
-2. Anchors are dealt by bucket, packed, and sorted. A bucket of one document is done. The others are
-   refined by the identifiers of later and earlier offsets: the strings that extend the q-gram to the
-   right, and to the left, by half of what is missing. An occurrence that shares neither with another
-   document can't be part of a repeat.
-3. What is left is refined by the whole stretch of strings that an anchor stands for: where a smaller
-   document has the same stretch, all of it goes.
+A bucket holds the suffixes that start with the same bytes, and has an identifier. Buckets of twice
+the depth come from the identifiers of a suffix and of the suffix that starts where its bucket's bytes
+end: the pointer to a later offset. Identifiers are 64-bit hashes of the two they come from, so the
+refinement of all suffixes of a text is done in place, and each level's identifiers are the input of
+the next: 3, 6, 12 and 24 bytes, then 48, then ``length`` by an overlapping pointer.
+
+1. Initial q-gram buckets: of the 24-byte buckets of every such string one is the string's anchor, that
+   of the least identifier (the leftmost of equals). Equal strings have equal anchors at equal offsets,
+   so only suffixes that start at anchors need be sorted, about one in fourteen.
+2. Anchors are dealt by bucket, packed, and sorted by identifier. A bucket of one document is done. The
+   others are refined by the identifiers of a later and of an earlier offset, half of what is missing
+   away. An occurrence that shares neither with another document can't be part of a repeat.
+3. What is left is refined by the identifiers of the whole stretch of strings that an anchor stands for:
+   where a smaller document has the same stretch, all of it goes. Each task does this first for its own
+   rows and deals only the smallest document of each stretch, so that a passage that very many
+   documents hold reaches its bucket once for each batch.
 4. Only the smallest document of each stretch, in buckets of several stretches, still lacks an answer
-   for part of it: those stretches are fetched and their strings sorted one by one.
+   for part of it: those stretches are fetched and their strings sorted one by one, by identifier.
 
 The result is exact up to 64-bit hashes.
 """
@@ -32,20 +39,31 @@ from echotable.llm.storage import Scratch
 Q, BUCKET, BLOCK, BITS = 24, 2_000_000, 1 << 20, 27
 _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_STEP = 0x9E3779B97F4A7C15
 _ENTRY = np.dtype([("h", "<u4"), ("r", "<u2"), ("l", "<u2"), ("c", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("back", "u1"), ("n", "u1")])
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the multiplier and of its inverse."""
-    size = 1 << max(16, n.bit_length())
-    if size not in _tables:
-        steps = [np.full(size, x, np.uint64) for x in (_STEP, pow(_STEP, -1, 1 << 64))]
-        for s in steps:
-            s[0] = 1
-        _tables[size] = tuple(np.multiply.accumulate(s) for s in steps)
-    return _tables[size]
+def refined(here: np.ndarray, later: np.ndarray) -> np.ndarray:
+    """Identifiers of the deeper buckets, from those of each suffix and of its later offset."""
+    x = here * _SLOT[2]
+    x += later * _SLOT[3]
+    x ^= x >> np.uint64(32)
+    x *= _SLOT[4]
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def buckets_of(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of the Q-byte and of the ``length``-byte bucket of every suffix that is long enough."""
+    x = _BYTE[data]
+    level, depth = refined(refined(x[:-2], x[1:-1]), x[2:]), 3
+    while depth < Q:
+        level, depth = refined(level[:-depth], level[depth:]), 2 * depth
+    grams = level
+    while 2 * depth <= length:
+        level, depth = refined(level[:-depth], level[depth:]), 2 * depth
+    if depth < length:
+        level = refined(level[: depth - length], level[length - depth :])
+    return grams, level
 
 
 class Stretch:
@@ -53,14 +71,11 @@ class Stretch:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, length: int):
         n, w = len(data), length - Q + 1
-        up, down = _powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:n], out=self.sums[1:])
-        self.down = down
+        self.length = length
         if n < length:
             self.p = self.lo = self.hi = self.text = np.zeros(0, np.int64)
             return
-        grams = mix((self.sums[Q:] - self.sums[: n + 1 - Q]) * down[: n + 1 - Q])
+        grams, self.strings = buckets_of(data, length)
         least = (grams & np.uint64(0xFFFFFFFFFF000000)) | np.arange(len(grams), dtype=np.uint64)
         span = 1
         while span < w:  # least of w neighbours, by doubling
@@ -77,12 +92,17 @@ class Stretch:
         head = np.flatnonzero(head)
         self.p, self.text, self.lo = anchor[head], text[head], start[head]
         self.hi = start[np.append(head[1:], len(start)) - 1] if len(head) else start
-        self.gram = grams[self.p]
+        self.grams, self.gram = grams, grams[self.p]
         self.begin, self.end = offsets[self.text], offsets[self.text + 1]
 
-    def hash(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hash of the bytes from a to b."""
-        return mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64))
+    def bucket_at(self, at: np.ndarray) -> np.ndarray:
+        """16 bits of the identifier of the bucket at other offsets, never 0; 0 where it would leave the text."""
+        fits = (at >= self.begin) & (at + Q <= self.end)
+        return np.where(fits, np.maximum(self.grams[np.where(fits, at, 0)] & np.uint64(0xFFFF), np.uint64(1)), np.uint64(0))
+
+    def whole(self) -> np.ndarray:
+        """Identifiers of the stretches: their first and last strings cover them, being less than one string apart."""
+        return mix(refined(self.strings[self.lo], self.strings[self.hi]) + (self.hi - self.lo).astype(np.uint64))
 
 
 def _pieces(column: pa.Array, length: int):
@@ -124,20 +144,21 @@ def _anchors(buckets: int, length: int):
                 if not len(s.p):
                     continue
                 e = np.zeros(len(s.p), _ENTRY)
-                right, left = np.minimum(s.p + Q + half, s.end), np.maximum(s.p - half, s.begin)
-                r, k = s.hash(s.p, right) & np.uint64(0xFFFF), s.hash(left, s.p + Q) & np.uint64(0xFFFF)
-                # 0: not enough text on that side
-                e["r"] = np.where(right - s.p == Q + half, np.maximum(r, np.uint64(1)), np.uint64(0))
-                e["l"] = np.where(s.p - left == half, np.maximum(k, np.uint64(1)), np.uint64(0))
+                e["r"], e["l"] = s.bucket_at(s.p + half), s.bucket_at(s.p - half)
                 e["h"], e["doc"], e["at"] = s.gram & np.uint64(0xFFFFFFFF), rows[s.text], s.p - cuts[s.text] + first[s.text]
                 e["back"], e["n"] = s.p - s.lo, s.hi - s.lo + 1
-                e["c"] = mix(s.hash(s.lo, s.hi + length) + e["back"].astype(np.uint64) * _SLOT[0])
+                e["c"] = mix(s.whole() + e["back"].astype(np.uint64) * _SLOT[0])
                 grams.append(s.gram)
                 entries.append(e)
             if not entries:
                 continue
-            e = np.concatenate(entries)
-            bucket = ((np.concatenate(grams) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+            e, gram = np.concatenate(entries), np.concatenate(grams)
+            rank = np.unique(ids, return_inverse=True)[1][e["doc"]]
+            low, _ = _lowest((e["c"], e["h"]), rank)
+            gone = rank > low
+            done = _spans(ids, keys, e["doc"][gone], *_ends(e[gone], length))
+            e, gram = e[~gone], gram[~gone]
+            bucket = ((gram >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             bucket, e = bucket[order], e[order]
             starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
@@ -147,8 +168,10 @@ def _anchors(buckets: int, length: int):
                 part = e[a:b].copy()
                 part["doc"] = local
                 planes = b"".join(np.ascontiguousarray(part[f]).tobytes() for f in _ENTRY.names)
-                out.append((int(bucket[a]), ids[used].astype("<i8").tobytes(), keys[used].astype("<i8").tobytes(), planes))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "keys", "planes"])
+                out.append((int(bucket[a]), ids[used].astype("<i8").tobytes(), keys[used].astype("<i8").tobytes(), planes, None))
+            out += [(i % buckets, np.array([i], "<i8").tobytes(), np.array([k], "<i8").tobytes(), None, spans) for i, k, spans in done]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["bucket", "ids", "keys", "planes", "spans"])
 
     return run
 
@@ -219,8 +242,19 @@ def merged(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[new], reach[np.append(new[1:], len(a)) - 1]
 
 
+def _ends(e: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each entry's stretch, and the one after its last."""
+    a = e["at"].astype(np.int64) - e["back"]
+    return a, a + e["n"] - 1 + length
+
+
 def _refine(length: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        done = pdf[pdf.spans.notna()]
+        done = [(int.from_bytes(i, "little", signed=True), int.from_bytes(k, "little", signed=True), spans, None) for i, k, spans in zip(done.ids, done["keys"], done.spans)]
+        pdf = pdf[pdf.planes.notna()]
+        if not len(pdf):
+            return pd.DataFrame(done, columns=["id", "key", "spans", "slots"])
         e, ids, keys = _unpack(pdf)
         rank = np.unique(ids, return_inverse=True)[1][e["doc"]]  # documents of one id are one
         h = e["h"].astype(np.uint64)
@@ -234,16 +268,14 @@ def _refine(length: int):
         if len(e):
             low, _ = _lowest((e["c"], e["h"]), rank)
             gone = rank > low
-            a = e["at"].astype(np.int64) - e["back"]
-            b = a + e["n"] - 1 + length
-            out = _spans(ids, keys, e["doc"][gone], a[gone], b[gone])
+            out = _spans(ids, keys, e["doc"][gone], *_ends(e[gone], length))
             least_c, _ = _lowest((e["h"],), e["c"])
             most_c, _ = _lowest((e["h"],), ~e["c"])
             open_ = ~gone & (least_c != ~most_c)
             slots = np.unique(_slot(ids[e["doc"][open_]], e["at"][open_]))
         part = (slots >> np.uint64(BITS - 7)).astype(np.int64)
         cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-        rows = [(i, k, s, None) for i, k, s in out]
+        rows = done + [(i, k, s, None) for i, k, s in out]
         rows += [(None, int(part[i]), None, slots[i:j].astype("<u4").tobytes()) for i, j in zip(cut, np.append(cut[1:], len(slots)))]
         return pd.DataFrame(rows, columns=["id", "key", "spans", "slots"])
 
@@ -302,15 +334,12 @@ def _strings(length: int):
         while lo < len(size):  # some stretches at a time
             hi = max(lo + 1, int(np.searchsorted(begin, begin[lo] + BLOCK)))
             part = data[begin[lo] : begin[hi - 1] + size[hi - 1]]
-            up, down = _powers(len(part) + 1)
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
             n = size[lo:hi] - length + 1
             owner = np.repeat(np.arange(lo, hi), n)
             place = np.arange(n.sum()) - np.repeat(np.append(0, np.cumsum(n)[:-1]), n)
             where = place + begin[owner] - begin[lo]
             owner_all.append(owner), place_all.append(place)
-            value_all.append(mix((sums[where + length] - sums[where]) * down[where]))
+            value_all.append(buckets_of(part, length)[1][where])
             lo = hi
         owner, place, value = (np.concatenate(x) for x in (owner_all, place_all, value_all))
         rank = np.unique(ids, return_inverse=True)[1]
@@ -336,7 +365,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where("id is not null and octet_length(text) >= {}".format(length))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, -(-total * 2 // ((length - Q + 2) * BUCKET))))
-    packed = rows.mapInArrow(_anchors(buckets, length), "bucket int, ids binary, keys binary, planes binary")
+    packed = rows.mapInArrow(_anchors(buckets, length), "bucket int, ids binary, keys binary, planes binary, spans binary")
     first = scratch.save(packed.groupBy("bucket").applyInPandas(_refine(length), "id long, key long, spans binary, slots binary"))
 
     # 2 ** BITS bits at most, whatever the input: others than those wanted may pass, none is missed
