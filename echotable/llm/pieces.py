@@ -12,8 +12,9 @@ No piece holds U+2581 after another character, so every path passes the places b
 A giant text is split into chunks at any character. A state of a boundary is an edge that covers the
 character before it. A chunk's transfer matrix holds the best weight from each state of its left
 boundary to each of its right one; it depends on the text around the chunk's ends alone where a hard
-cut lies between. Matrices are combined associatively over a document's chunks, which settles every
-boundary, and each chunk is then traced back by itself.
+cut lies between. Neighbouring chunks' matrices are combined in pairs, in as many Spark rounds as halve
+the longest text to one; then each pair's common boundary is settled from the outer two, downwards,
+and each chunk is traced back by itself. No task holds more than two matrices of a text.
 """
 
 from __future__ import annotations
@@ -33,11 +34,14 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from echotable.llm.storage import Scratch
+from echotable.llm.tables import free_names
 
 SPACE = "▁"
 #: Characters of a chunk; a longer text is giant. Words, and pairs of pieces, that a worker remembers.
 CHUNK, WORDS, PAIRS = 32_768, 250_000, 300_000
 _NONE = -np.inf
+_MATRIX = "row long, chunk int, lefts array<array<int>>, rights array<array<int>>, weights array<double>"
+_STATES = "row long, chunk int, left array<int>, right array<int>"
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]*")
 
 
@@ -351,26 +355,69 @@ def _matrices(path: str):
     return run
 
 
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The state of every boundary of one text, from its chunks' matrices."""
-    pdf = pdf.sort_values("chunk").reset_index(drop=True)
-    lefts, rights = [[tuple(e) for e in x] for x in pdf.lefts], [[tuple(e) for e in x] for x in pdf.rights]
-    sofar, picks = np.zeros(len(lefts[0])), []
-    for k in range(len(pdf)):
-        w = np.asarray(pdf.weights[k], float).reshape(len(lefts[k]), len(rights[k]))
-        if k:
-            sofar = np.array([sofar[rights[k - 1].index(e)] if e in rights[k - 1] else _NONE for e in lefts[k]])
-        through = sofar[:, None] + w
-        picks.append(through.argmax(0))
-        sofar = through.max(0)
-    whole = [i for i, e in enumerate(rights[-1]) if e[1] == 0]
-    state = rights[-1][max(whole, key=lambda i: sofar[i])]
-    out = []
-    for k in range(len(pdf) - 1, -1, -1):
-        before = lefts[k][picks[k][rights[k].index(state)]]
-        out.append((int(pdf.row[k]), int(pdf.chunk[k]), list(before), list(state)))
-        state = before
-    return pd.DataFrame(out, columns=["row", "chunk", "left", "right"])
+def _matrix(r) -> tuple[list, list, np.ndarray]:
+    """Left states, right states and weights of a row."""
+    lefts, rights = [tuple(e) for e in r.lefts], [tuple(e) for e in r.rights]
+    return lefts, rights, np.asarray(r.weights, float).reshape(len(lefts), len(rights))
+
+
+def _middle(a, b) -> tuple[np.ndarray, np.ndarray, list]:
+    """Weights up to and from the boundary between two chunks, and its states: those that both know."""
+    place = {e: i for i, e in enumerate(a[1])}
+    both = [e for e in b[0] if e in place]
+    known = {e: i for i, e in enumerate(b[0])}
+    return a[2][:, [place[e] for e in both]], b[2][[known[e] for e in both]], both
+
+
+def _combine(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The (max, +) product of two neighbouring chunks' matrices; one without a neighbour stays."""
+    pdf = pdf.sort_values("chunk")
+    first, last = pdf.iloc[0], pdf.iloc[-1]
+    weights = first.weights
+    if len(pdf) == 2:
+        upto, onward, _ = _middle(_matrix(first), _matrix(last))
+        weights = np.array([(row[:, None] + onward).max(0) for row in upto]).ravel()
+    return pd.DataFrame({"row": [first.row], "chunk": [first.chunk // 2], "lefts": [first.lefts], "rights": [last.rights], "weights": [weights]})
+
+
+def _outermost(pdfs):
+    """The first and the last state of whole texts: the best that ends with the text."""
+    for pdf in pdfs:
+        out = []
+        for r in pdf.itertuples():
+            lefts, rights, w = _matrix(r)
+            end = max((i for i, e in enumerate(rights) if e[1] == 0), key=lambda i: w[0, i])
+            out.append((r.row, r.chunk, list(lefts[0]), list(rights[end])))
+        yield pd.DataFrame(out, columns=["row", "chunk", "left", "right"])
+
+
+def _inner(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The boundary states of one or two chunks, from the states around them."""
+    pdf = pdf.sort_values("chunk")
+    left, right = list(pdf.left.iloc[0]), list(pdf.right.iloc[0])
+    if len(pdf) == 1:
+        return pdf.assign(left=[left], right=[right])[["row", "chunk", "left", "right"]]
+    a, b = _matrix(pdf.iloc[0]), _matrix(pdf.iloc[1])
+    upto, onward, both = _middle(a, b)
+    mid = list(both[int((upto[a[0].index(tuple(left))] + onward[:, b[1].index(tuple(right))]).argmax())])
+    return pd.DataFrame({"row": pdf.row, "chunk": pdf.chunk, "left": [left, mid], "right": [mid, right]})
+
+
+def settle(matrices: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(row, chunk, left, right)``: the states at every chunk's ends on the best path of its text."""
+    levels = [scratch.save(matrices)]
+    chunks = (levels[0].agg(F.max("chunk")).first()[0] or 0) + 1
+    pair = F.expr("chunk div 2").alias("pair")
+    while chunks > 1:
+        levels.append(scratch.save(levels[-1].groupBy("row", pair).applyInPandas(_combine, _MATRIX)))
+        chunks = -(-chunks // 2)
+    states = levels.pop().mapInPandas(_outermost, _STATES)
+    while levels:
+        states = scratch.save(states)
+        around = states.select("row", F.col("chunk").alias("pair"), "left", "right")
+        met = levels.pop().withColumn("pair", F.expr("chunk div 2").cast("int")).join(around, ["row", "pair"])
+        states = met.groupBy("row", "pair").applyInPandas(_inner, _STATES)
+    return states
 
 
 def _trace_all(path: str):
@@ -398,30 +445,32 @@ def _add_ids(path: str, column: int, names: list[str]):
 
 
 def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``docs`` with ``ids`` (a column of that name is replaced). A null or empty text has no ids."""
+    """``docs`` with ``ids`` (a column of that name is replaced). A null or empty text has no ids.
+
+    Rows are encoded one by one: repeated rows get equal ids, and an empty table gives none.
+    """
     path = path or public_tokenizers.path("piece_bpe_32k.model")
     keep = [c for c in docs.columns if c != "ids"]
-    rows = docs.select(*keep)
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
     size = F.coalesce(F.char_length(text_col), F.lit(0))
     short = rows.where(size <= CHUNK)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
     done = short.mapInArrow(_add_ids(path, keep.index(text_col), keep), ", ".join([*kinds, "ids array<int>"]))
 
     scratch = Scratch(docs.sparkSession, "pieces")
-    giant = rows.where(size > CHUNK).withColumn("_row", F.monotonically_increasing_id())
-    giant = scratch.save(giant)
+    (number, found) = free_names(rows, "row", "ids")
+    giant = scratch.save(rows.where(size > CHUNK).withColumn(number, F.monotonically_increasing_id()))
     longest = model(path).longest
-    chunks = giant.select("_row", text_col).mapInArrow(_split(longest), "row long, chunk int, z string, c0 int, c1 int")
+    chunks = giant.select(F.col(number).alias("row"), text_col).mapInArrow(_split(longest), "row long, chunk int, z string, c0 int, c1 int")
     chunks = scratch.save(chunks.repartition("row", "chunk"))
-    matrices = chunks.mapInPandas(_matrices(path), "row long, chunk int, lefts array<array<int>>, rights array<array<int>>, weights array<double>")
-    settled = matrices.groupBy("row").applyInPandas(_settle, "row long, chunk int, left array<int>, right array<int>")
+    settled = settle(chunks.mapInPandas(_matrices(path), _MATRIX), scratch)
     traced = chunks.join(settled, ["row", "chunk"]).mapInPandas(_trace_all(path), "row long, chunk int, ids array<int>")
-    whole = traced.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x.ids)).alias("ids"))
-    return done.unionAll(giant.join(whole, F.col("_row") == F.col("row")).select(*keep, "ids"))
+    whole = traced.groupBy(F.col("row").alias(number)).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x.ids)).alias(found))
+    return done.unionAll(giant.join(whole, number).select(*[F.col(f"`{c}`") for c in keep], F.col(found).alias("ids")))
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """``rows`` with ``decoded``, the text of ``ids_col``; null ids give an empty text."""
+    """``rows`` with ``decoded``, the text of ``ids_col`` (a column of that name is replaced); null ids give an empty text."""
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     keep = [c for c in rows.columns if c != "decoded"]
