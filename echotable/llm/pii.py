@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from echotable.llm.storage import bounded_batches
+from echotable.llm.tables import free_names
 
 KINDS = ("email", "ip", "card", "phone")
 _O = len(KINDS)
@@ -215,7 +216,12 @@ def fit(docs: DataFrame, text_col: str = "text", key: str = "doc_id", sample_doc
 
 
 def find(docs: DataFrame, potentials: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``pii_base`` and ``pii_added``: arrays of (kind, start, end); null text: empty."""
+    """``docs`` with ``pii_base`` and ``pii_added``: arrays of (kind, start, end); columns of those names are replaced.
+
+    A null or empty text has empty ones. Each row is judged by itself, so repeated rows get equal spans; an
+    empty table gives none. Words that are letters alone, or shorter than four, are no candidates of
+    the field even where they equal an address's local part: names are common words too often.
+    """
     bounded_batches(docs.sparkSession)
     span = T.ArrayType(T.StructType().add("kind", "string").add("start", "long").add("end", "long"))
 
@@ -226,8 +232,10 @@ def find(docs: DataFrame, potentials: tuple[np.ndarray, float], text_col: str =
         rows = lambda s: [{"kind": KINDS[k], "start": a, "end": e} for k, a, e in sorted(s)]
         return pd.DataFrame({"base": [rows(b) for b in base], "added": [rows(m) for m in more]})
 
-    found = docs.withColumn("_pii", spans(F.col(text_col)))
-    return found.select(*[F.col(c) for c in docs.columns if c not in ("pii_base", "pii_added")], F.col("_pii.base").alias("pii_base"), F.col("_pii.added").alias("pii_added"))
+    (name,) = free_names(docs, "spans")
+    found = docs.withColumn(name, spans(F.col(text_col)))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("pii_base", "pii_added")]
+    return found.select(*kept, F.col(f"{name}.base").alias("pii_base"), F.col(f"{name}.added").alias("pii_added"))
 
 
 def mask(docs: DataFrame, potentials: tuple[np.ndarray, float], text_col: str = "text") -> DataFrame:

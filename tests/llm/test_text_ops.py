@@ -279,3 +279,47 @@ def test_line_dedup_without_spaces_and_with_punctuation(spark):
     rows = [(1, signs), (2, signs[:20] + "x" + signs[21:]), (3, url), (4, url[:25] + "z" + url[26:]), (5, "We reached the end."), (6, "we reached the end\t\r"), (7, "unlike all others")]
     got = {r.doc: r.first_doc for r in lines.repeated_lines(frame(spark, rows)).collect()}
     assert got == {2: 1, 4: 3, 6: 5}
+
+
+def test_columns_that_clash_are_kept(spark):
+    """Own columns named like those that the operators use inside, and empty tables."""
+    from echotable.llm import curate
+
+    names = ["row", "gone", "hit", "_gone", "doc", "slot", "part", "held", "ids2", "key", "_pii", "norm"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    text = "alpha beta gamma delta epsilon zeta eta theta\nmail jo.doe7@x.example.com now"
+    rows = [(i, text if i else None, "en", "s", 5, *[f"{n}{i}" for n in names]) for i in range(3)]
+    df = spark.createDataFrame(rows, schema).repartition(2)
+    for stage in (curate.line_stage, curate.near_duplicate_stage, curate.privacy_stage):
+        out = stage(df)
+        assert out.columns == df.columns
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+        assert stage(df.limit(0)).count() == 0
+    ids = pieces.encode(df)
+    assert ids.columns == [*df.columns, "ids"] and {r.row for r in ids.collect()} == {"row0", "row1", "row2"}
+    assert pieces.encode(df.limit(0)).count() == 0 and langid.identify(df.limit(0), langid.fit(df)).count() == 0
+    assert {r.lang_pred for r in langid.identify(frame(spark, [(1, "\u00bd \u00b2"), (1, "\u00bd \u00b2")]), langid.fit(df)).collect()} == {"und"}
+
+
+def test_matrices_combine_in_any_order():
+    """The pairwise product of a text's matrices equals the fold from left to right, for a unigram-like model too."""
+    m = pieces.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    z = pieces.escaped("thisisoneverylongwordwithoutanyspaceinside" * 3)
+    cuts = list(range(0, len(z), 31)) + [len(z)]
+    made = []
+    for k, (c0, c1) in enumerate(zip(cuts, cuts[1:])):
+        lo = max(0, c0 - m.longest)
+        lefts, rights, w = pieces.transfer(m, z[lo : c1 + m.longest], c0 - lo, c1 - lo, k == 0)
+        made.append({"row": 0, "chunk": k, "lefts": lefts, "rights": rights, "weights": w.ravel()})
+    import pandas as pd
+
+    level = made
+    while len(level) > 1:
+        level = [pieces._combine(pd.DataFrame(level[i : i + 2])).iloc[0].to_dict() for i in range(0, len(level), 2)]
+    _, rights, w = pieces._matrix(pd.Series(level[0]))
+    fold = {e: v for e, v in zip(made[0]["rights"], np.asarray(made[0]["weights"]))}
+    for x in made[1:]:
+        a = np.asarray(x["weights"]).reshape(len(x["lefts"]), len(x["rights"]))
+        came = np.array([fold.get(tuple(e), -np.inf) for e in x["lefts"]])
+        fold = dict(zip(map(tuple, x["rights"]), (came[:, None] + a).max(0)))
+    assert {e: v for e, v in zip(rights, w[0])} == fold

@@ -116,3 +116,28 @@ def test_tables_of_copies(spark):
     assert {r.component_id for r in jaccard_classes(df).collect()} == {0}
     model = langid.LanguageModel([], np.zeros(0), np.zeros((0, 0)), (1,), 4)
     assert langid.identify(df, model).where("lang_pred = 'und'").count() == 500
+
+
+def test_nearest_neighbours_of_equal_scores(spark):
+    """All cosines are equal: the smaller ids are the nearest."""
+    rows = [(i, [float(x * (i + 1)) for x in (1, 2, 3)], 0) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = ann.nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert len(got) == 5 and all(abs(r.score - 1) < 1e-12 for r in got)
+    assert [r.score for r in got] == sorted((r.score for r in got), reverse=True)
+    exact = sorted(((-ann.cosines(np.array([v]), np.array([rows[0][1]]))[0], i) for i, v, _ in rows[1:]))[:5]
+    assert [r.id for r in got] == [i for _, i in exact]
+
+
+def test_language_scores_equal_plain_bayes(spark):
+    """Predictions and posteriors against a direct computation over the same n-grams."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(d)
+    texts = {r.doc_id: r.text for r in d.limit(40).collect()}
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(d, model).collect()}
+    for i, t in texts.items():
+        score = model.prior.copy()
+        for at, _ in langid.ngram_blocks([(t or "").lower()], model.orders, model.bits):
+            score += model.logp[:, at].sum(1)
+        p = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        assert got[i][0] == model.names[int(p.argmax())] and abs(got[i][1] - p.max()) < 1e-9
