@@ -101,7 +101,13 @@ def review(spark, d):
     return C.review(_compared(spark, d)).select("event_id", "review_ids", "review_priority")
 
 
-@query("x6_final_decision")
+@query("x6_final_decision", f"""WITH {D.SCORES}, ru AS ({_RULES_SQL}), {_REVIEW_SQL}, j AS (
+  SELECT *, CASE WHEN python_class = 'Glass Breaking' AND python_confidence >= 0.85 THEN 'Critical' ELSE rule_severity END AS event_severity,
+    list_position(['Unusable', 'Poor', 'Acceptable', 'Good'], quality) >= list_position(['Unusable', 'Poor', 'Acceptable', 'Good'], min_quality) AS q_ok
+  FROM cp JOIN ru ON python_class = rule_class),
+g AS (SELECT event_id, python_confidence >= min_confidence AND margin >= min_margin AND agree AND q_ok AND noise_limit IS NULL AND event_severity NOT IN ('Low', 'Informational') AND status NOT IN ('Model Disagreement', 'Uncertain Result') AS alert_raised FROM j),
+f AS (SELECT alert_raised, review_ids <> '' AS review_required FROM g JOIN rw USING (event_id))
+SELECT CASE WHEN alert_raised THEN 'Alert Raised' WHEN review_required THEN 'Manual Review' ELSE 'Recorded' END AS event_status, alert_raised, review_required, count(*) AS n FROM f GROUP BY 1, 2, 3""")
 def decision(spark, d):
     both = C.final_decision(C.review(C.apply_rules(_compared(spark, d), C.rules_frame(spark))))
     return both.groupBy("event_status", "alert_raised", "review_required").agg(F.count("*").alias("n"))

@@ -149,7 +149,9 @@ def w18(spark, d):
     return M.split(same, on_overflow="largest_room")
 
 
-@query("w17_folds")
+@query("w17_folds", f"""WITH {D.MANIFEST}, b AS (SELECT author, class_label, count(*) AS c FROM mf GROUP BY 1, 2), h AS (SELECT author, max_by(class_label, (c, class_label)) AS home, sum(c) AS n FROM b GROUP BY 1),
+k AS (SELECT author, (row_number() OVER (PARTITION BY home ORDER BY n DESC, sha256('42|' || author)) - 1) % 10 AS s FROM h)
+SELECT least(s, 9 - s)::INT AS fold, count(*) AS n, count(DISTINCT author) AS authors FROM mf JOIN k USING (author) GROUP BY 1""")
 def w17(spark, d):
     return M.folds(D.manifest(spark, d), "author", "class_label", 5).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("author").alias("authors"))
 

@@ -272,7 +272,13 @@ def _windows(spark, d):
     return e.select(F.col("created_by").alias("session_id"), "event_id", "class_name", F.col("created_at").alias("captured_at"), ok.alias("qualifies"))
 
 
-@query("w3_repeat_confirmation")
+@query("w3_repeat_confirmation", f"""WITH RECURSIVE {D.EVENTS}, o AS (SELECT event_id, created_by, class_name AS c, epoch(created_at) AS t, class_name = gtm_class AND quality IN ('Acceptable', 'Good') AS q,
+  row_number() OVER (PARTITION BY created_by ORDER BY created_at, event_id) AS i FROM ev),
+r AS (SELECT NULL::BIGINT AS event_id, created_by, 0::BIGINT AS i, NULL::VARCHAR AS class_, 0::BIGINT AS n, 0::DOUBLE AS last, false AS fired, 0::BIGINT AS consecutive, false AS newly FROM o WHERE i = 1
+ UNION ALL SELECT event_id, created_by, i, CASE WHEN q THEN c END, CASE WHEN NOT q OR newly THEN 0 ELSE n1 END, t, q AND (f1 OR newly), CASE WHEN q THEN n1 ELSE 0 END, q AND newly
+ FROM (SELECT *, NOT f1 AND n1 >= 2 AS newly FROM (SELECT *, CASE WHEN gap THEN 1 ELSE n0 + 1 END AS n1, f0 AND NOT gap AS f1 FROM (SELECT *, n0 > 0 AND t - last > 86400 AS gap FROM
+  (SELECT o.event_id, o.created_by, o.i, o.c, o.t, o.q, r.last, CASE WHEN r.class_ = o.c THEN r.n ELSE 0 END AS n0, coalesce(r.class_ = o.c, false) AND r.fired AS f0 FROM r JOIN o ON o.created_by = r.created_by AND o.i = r.i + 1)))))
+SELECT event_id, consecutive, fired AS confirmed, newly AS newly_confirmed FROM r WHERE i > 0""")
 def w3(spark, d):
     out = O.confirm_repeats(_windows(spark, d), "session_id", "captured_at", "class_name", "qualifies", "event_id", 2, 86_400)
     return out.select("event_id", "consecutive", "confirmed", "newly_confirmed")
@@ -313,19 +319,29 @@ def w13(spark, d):
     return O.capped(D.sound_events(spark, d), "class_name", "created_at", 21_600).select("event_id", "within_cap")
 
 
-@query("w15_rate_limit")
+@query("w15_rate_limit", """WITH RECURSIVE o AS (SELECT event_id, user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, user_id, i, true AS allowed, t AS newer, NULL::DOUBLE AS older FROM o WHERE i = 1
+ UNION ALL SELECT event_id, user_id, i, ok, CASE WHEN ok THEN t ELSE newer END, CASE WHEN ok THEN newer ELSE older END
+ FROM (SELECT o.*, r.newer, r.older, r.older IS NULL OR r.older <= o.t - 36000 AS ok FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)) SELECT event_id, allowed FROM r""")
 def w15(spark, d):
     e = D.table(spark, d, "events").select("event_id", "user_id", "ts")
     return O.rate_limited(e, "user_id", "ts", "event_id", 2, 36_000).select("event_id", "allowed")
 
 
-@query("w16_lockouts")
+@query("w16_lockouts", """WITH RECURSIVE o AS (SELECT user_id, epoch(ts) AS t, event_type IN ('error', 'click') AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT user_id, 0::BIGINT AS i, 0 AS streak, -1::DOUBLE AS until, 0::BIGINT AS locks, 0::BIGINT AS refused FROM o WHERE i = 1
+ UNION ALL SELECT user_id, i, CASE WHEN held THEN streak WHEN NOT bad OR streak = 2 THEN 0 ELSE streak + 1 END, CASE WHEN NOT held AND bad AND streak = 2 THEN t + 86400 ELSE until END,
+  locks + (NOT held AND bad AND streak = 2)::BIGINT, refused + held::BIGINT FROM (SELECT o.*, r.streak, r.until, r.locks, r.refused, o.t < r.until AS held FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))
+SELECT user_id, max_by(locks, i) AS n_lockouts, max_by(refused, i) AS n_refused FROM r GROUP BY 1""")
 def w16(spark, d):
     e = D.table(spark, d, "events").select("event_id", "user_id", "ts", F.col("event_type").isin("error", "click").alias("failed"))
     return O.lockouts(e, "user_id", "ts", "event_id", "failed", 3, 1440)
 
 
-@query("w21_alert_lifecycle")
+@query("w21_alert_lifecycle", """WITH a AS (SELECT l_orderkey AS alert_id, l_shipdate AS at_, l_suppkey, ['acknowledge', 'escalate', 'resolve', 'dismiss'][l_linenumber % 4 + 1] AS action FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY at_, l_suppkey, action) AS i FROM a), f AS (SELECT alert_id, count(*) AS n, min(i) FILTER (action IN ('resolve', 'dismiss')) AS ended, max_by(action, i) AS last FROM o GROUP BY 1)
+SELECT f.alert_id, CASE coalesce(o.action, last) WHEN 'acknowledge' THEN 'Acknowledged' WHEN 'escalate' THEN 'Escalated' WHEN 'resolve' THEN 'Resolved' ELSE 'Dismissed' END AS status, coalesce(n - ended, 0) AS n_refused
+FROM f LEFT JOIN o ON o.alert_id = f.alert_id AND o.i = ended""")
 def w21(spark, d):
     action = F.element_at(F.array(*[F.lit(x) for x in ("acknowledge", "escalate", "resolve", "dismiss")]), (F.col("l_linenumber") % 4 + 1).cast("int"))
     a = D.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("alert_id"), F.col("l_shipdate").alias("at"), F.monotonically_increasing_id().alias("i"), "l_suppkey", action.alias("action"))
