@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import wave
 
 import numpy as np
@@ -194,3 +195,61 @@ def test_files_round_trip(spark, tmp_path):
         files.export_csv(rows, f"{tmp_path}/n", rows.columns, limit=1)
     with pytest.raises(ValueError):
         files.load_manifest(spark, f"{tmp_path}/m", required=("nothing",))
+
+
+def test_near_matches_equal_brute_force(spark):
+    rng = random.Random(5)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    prints = []
+    for i in range(150):
+        p = rng.choice(base)
+        for b in rng.sample(range(64), rng.randint(0, 6)):
+            p ^= 1 << b
+        prints.append((i, p - (1 << 64) if p >> 63 else p))
+    prints += [(150 + i, prints[3][1]) for i in range(20)] + [(None, 1), (999, None)]
+    df = spark.createDataFrame(prints, "clip_id long, print long").repartition(3)
+    got = {(r.clip_id, r.near_key): (r.place, r.similarity) for r in U.near_matches(df, "clip_id", "print", 0.92, 4).collect()}
+    want = {}
+    known = [(i, p) for i, p in prints if i is not None and p is not None]
+    for i, p in known:
+        near = sorted((-(1 - bin((p ^ q) & (1 << 64) - 1).count("1") / 64), j) for j, q in known if j < i)
+        for place, (s, j) in enumerate([x for x in near if -x[0] >= 0.92][:4], 1):
+            want[i, j] = (place, -s)
+    assert got == want
+    with pytest.raises(ValueError):
+        U.near_matches(df, "clip_id", "print", 0.6, 4)
+
+
+def test_late_rows_are_counted(spark):
+    from echotable.streaming import live as L
+
+    count, seen = L.lateness("at", 60)
+    batch = lambda *at: spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00",) for m in at], "at string")
+    for k, rows in enumerate((batch(10, 12), batch(11, 5), batch(13, 11, 2))):
+        count(rows, k)
+    assert (seen["rows"], seen["late"]) == (7, 2)  # 11 is at the limit of 12, not behind it
+
+
+def test_covering_segments(spark):
+    cases = {0: [], 50: [(0, 50)], 100: [(0, 100)], 250: [(0, 100), (75, 175), (150, 250)], 101: [(0, 100), (1, 101)]}
+    df = spark.createDataFrame([(n,) for n in cases], "n long").withColumn("b", M.covering_bounds(F.col("n"), F.lit(100).cast("long")))
+    assert {r.n: [tuple(x) for x in r.b] for r in df.collect()} == cases
+
+
+def test_blank_split_is_an_error(spark):
+    rows = spark.createDataFrame([("a", "original", "test"), ("b", "augmented", "test"), ("c", "original", "train")], "audio_id string, role string, dataset_split string")
+    assert [r.audio_id for r in M.select_split(rows, "test").collect()] == ["a"]
+    with pytest.raises(Exception, match="no split for d"):
+        M.select_split(rows.unionByName(spark.createDataFrame([("d", "original", " ")], rows.schema)), "test").collect()
+
+
+def test_spike_needs_more_than_the_least_usual_level(spark):
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    rows = [(f"2024-01-01 23:{m:02d}:00", 0.1 if m % 2 else 0.9, "Low") for m in range(10, 30)] + [("2024-01-01 10:00:00", 0.9, "Low")]
+    events = spark.createDataFrame(rows, "created_at string, python_confidence double, severity string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    alerts, reviews = none("created_at timestamp, severity string"), none("status string")
+    audit = spark.createDataFrame([("2024-01-01 23:59:00", "model_failure", "failure")], "at string, action string, outcome string")
+    users = spark.createDataFrame([("2024-01-03 00:00:00",)], "locked_until string")
+    fired = {r.check: r.observed for r in V.anomalies(events, alerts, reviews, audit, users, now).collect()}
+    assert fired == {"model_failures": 1.0, "low_confidence_spike": 0.5, "failed_logins": 0.0, "error_rate": 1.0}
