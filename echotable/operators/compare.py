@@ -189,19 +189,33 @@ def reportable(rows: DataFrame, split: str = "test") -> DataFrame:
 def calibrate(vectors: DataFrame, grid: DataFrame, critical=CRITICAL_CLASSES, target: float = 0.97) -> DataFrame:
     """Accepted share, precision and critical precision of each threshold point.
 
-    ``grid`` holds ``floor, margin_min, strong, acceptable``: a fixed list, broadcast. A clip is accepted
-    where its models agree well enough at the point and its margin is wide enough. ``eligible`` points
-    reach the target precision.
+    ``grid`` holds ``floor, margin_min, strong, acceptable``: a fixed list. A clip is accepted where its
+    models agree well enough at the point and its margin is wide enough. ``eligible`` points reach the
+    target precision. Clips are first counted by the thresholds that they pass, so only those counts,
+    whose number the grid bounds, are crossed with its points.
     """
-    g = vectors.crossJoin(F.broadcast(grid))
-    sure = (F.col("python_confidence") >= F.col("floor")) & (F.col("gtm_confidence") >= F.col("floor"))
-    accepted = F.col("agree") & sure & (F.col("difference") <= F.col("acceptable")) & (F.col("margin") >= F.col("margin_min"))
+    points = [tuple(float(x) for x in p) for p in grid.select("floor", "margin_min", "strong", "acceptable").collect()]
+    floors, margins = sorted({p[0] for p in points}), sorted({p[1] for p in points})
+    gaps = sorted({x for p in points for x in p[2:]})
+    passed = lambda value, cuts: reduce(lambda a, b: a + b, [F.when(value >= c, 1).otherwise(0) for c in cuts])
+    beyond = reduce(lambda a, b: a + b, [F.when(F.col("difference") > c, 1).otherwise(0) for c in gaps])
     right = F.col("python_class") == F.col("actual")
-    danger = F.col("python_class").isin(*critical)
+    binned = vectors.select(
+        passed(F.least("python_confidence", "gtm_confidence"), floors).alias("f"), passed(F.col("margin"), margins).alias("m"),
+        F.when(F.col("difference").isNull(), len(gaps)).otherwise(beyond).alias("d"), "agree", right.alias("right"), F.col("python_class").isin(*critical).alias("danger"),
+        (F.col("python_confidence").isNull() | F.col("gtm_confidence").isNull()).alias("unknown"),
+    )
+    binned = binned.groupBy("f", "m", "d", "agree", "right", "danger", "unknown").agg(F.count("*").alias("clips"))
+    places = [(*p, floors.index(p[0]), margins.index(p[1]), gaps.index(p[2]), gaps.index(p[3])) for p in points]
+    numbered = vectors.sparkSession.createDataFrame(places, "floor double, margin_min double, strong double, acceptable double, pf int, pm int, ps int, pa int")
+    g = binned.crossJoin(F.broadcast(numbered))  # counts by points, both bounded by the grid
+    sure = ~F.col("unknown") & (F.col("f") > F.col("pf"))
+    accepted = F.col("agree") & sure & (F.col("d") <= F.col("pa")) & (F.col("m") > F.col("pm"))
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("clips"))), F.lit(0))
     out = g.groupBy("floor", "margin_min", "strong", "acceptable").agg(
-        F.count("*").alias("n"), F.count_if(accepted).alias("accepted"), F.count_if(accepted & right).alias("correct"),
-        F.count_if(accepted & danger).alias("critical"), F.count_if(accepted & danger & right).alias("critical_correct"),
-        F.count_if(F.col("agree") & sure & (F.col("difference") <= F.col("strong"))).alias("strong_matches"),
+        F.sum("clips").alias("n"), total(accepted).alias("accepted"), total(accepted & F.col("right")).alias("correct"),
+        total(accepted & F.col("danger")).alias("critical"), total(accepted & F.col("danger") & F.col("right")).alias("critical_correct"),
+        total(F.col("agree") & sure & (F.col("d") <= F.col("ps"))).alias("strong_matches"),
     )
     safe = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     out = out.withColumns({"accepted_share": safe("accepted", "n"), "precision": safe("correct", "accepted"), "critical_precision": safe("critical_correct", "critical")})
