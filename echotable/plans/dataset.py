@@ -251,10 +251,22 @@ p AS (SELECT vec_id, label, list_transform(embedding, lambda x: (x::DOUBLE > (s[
 _ALIKE = "1 - list_sum(list_transform(range(1, 65), lambda i: abs(x.b[i] - y.b[i]))) / 64"
 
 
-@query("j11_near_duplicates", f"""WITH {_PRINTS}, q AS (SELECT x.vec_id, y.vec_id AS near_key, {_ALIKE} AS similarity FROM p x JOIN p y ON y.vec_id < x.vec_id)
-SELECT vec_id, near_key, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, near_key) AS i FROM q WHERE similarity >= 0.92) WHERE i <= 5""")
+_COPIES = """m2 AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 1)) AS e FROM m),
+c AS (SELECT vec_id, list_transform(e, lambda x: (x > (list_sort(e)[32] + list_sort(e)[33]) / 2)::INT) AS b FROM m2)"""
+
+
+def _copies(spark, d):
+    """Prints of coarsely stored copies: every vector rounded to one place."""
+    v = D.table(spark, d, "embeddings").where("size(embedding) = 64").withColumn("v", F.transform("embedding", lambda x: F.round(x.cast("double"), 1)))
+    return v.select("vec_id", U.fingerprint(F.col("v")).alias("print"))
+
+
+@query("j11_near_duplicates", f"""WITH {_PRINTS}, {_COPIES}, a AS (SELECT 2 * vec_id AS clip_id, b FROM p UNION ALL SELECT 2 * vec_id + 1, b FROM c),
+q AS (SELECT x.clip_id, y.clip_id AS near_key, {_ALIKE} AS similarity FROM a x JOIN a y ON y.clip_id < x.clip_id)
+SELECT clip_id, near_key, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY similarity DESC, near_key) AS i FROM q WHERE similarity >= 0.92) WHERE i <= 5""")
 def j11(spark, d):
-    return U.near_matches(_prints(spark, d), "vec_id", "print", 0.92, 5).select("vec_id", "near_key", F.round("similarity", 6).alias("similarity"))
+    clips = _prints(spark, d).select((2 * F.col("vec_id")).alias("clip_id"), "print").unionByName(_copies(spark, d).select((2 * F.col("vec_id") + 1).alias("clip_id"), "print"))
+    return U.near_matches(clips, "clip_id", "print", 0.92, 5).select("clip_id", "near_key", F.round("similarity", 6).alias("similarity"))
 
 
 @query("j12_hard_negatives", f"""WITH {_PRINTS}, q AS (SELECT x.vec_id, y.vec_id AS other, {_ALIKE} AS similarity FROM p x JOIN p y ON x.vec_id % 50 = 0 AND x.label <> y.label)
@@ -264,14 +276,13 @@ def j12(spark, d):
     return U.hard_negatives(p.where("vec_id % 50 = 0"), p, "vec_id", "print", "label").select("vec_id", "other", F.round("similarity", 6).alias("similarity"))
 
 
-@query("e12_near_duplicate_thresholds", f"""WITH {_PRINTS}, m2 AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 1)) AS e FROM m), c AS (SELECT vec_id, list_transform(e, lambda x: (x > (list_sort(e)[32] + list_sort(e)[33]) / 2)::INT) AS b FROM m2),
+@query("e12_near_duplicate_thresholds", f"""WITH {_PRINTS}, {_COPIES},
 h AS (SELECT x.vec_id, {_ALIKE} AS similarity, row_number() OVER (PARTITION BY x.vec_id ORDER BY {_ALIKE} DESC, y.vec_id) AS i FROM p x JOIN p y ON x.vec_id % 50 = 0 AND x.label <> y.label),
 z AS (SELECT {_ALIKE} AS similarity, true AS is_copy FROM p x JOIN c y USING (vec_id) UNION ALL SELECT similarity, false FROM h WHERE i <= 3)
 SELECT t AS threshold, round(count(*) FILTER (is_copy AND similarity >= t) / greatest(1, count(*) FILTER (is_copy)), 6) AS recall, count(*) FILTER (NOT is_copy AND similarity >= t) AS false_flags FROM z, (SELECT unnest([0.75, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS t) GROUP BY 1""")
 def e12(spark, d):
     p = _prints(spark, d)
-    rounded = D.table(spark, d, "embeddings").where("size(embedding) = 64").withColumn("v", F.transform("embedding", lambda x: F.round(x.cast("double"), 1)))
-    copies = p.join(rounded.select("vec_id", U.fingerprint(F.col("v")).alias("copy")), "vec_id").select(U.similarity(F.col("print"), F.col("copy")).alias("similarity"), F.lit(True).alias("is_copy"))
+    copies = p.join(_copies(spark, d).withColumnRenamed("print", "copy"), "vec_id").select(U.similarity(F.col("print"), F.col("copy")).alias("similarity"), F.lit(True).alias("is_copy"))
     negatives = U.hard_negatives(p.where("vec_id % 50 = 0"), p, "vec_id", "print", "label").select("similarity", F.lit(False).alias("is_copy"))
     return U.evaluate_near(copies.unionByName(negatives), [0.75, 0.8, 0.85, 0.9, 0.95]).withColumn("recall", F.round("recall", 6))
 
