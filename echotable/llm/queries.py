@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotable.llm import ann, chat, langid, lines, neardup, packing, pieces, pii, suffix
+from echotable.llm import ann, chat, decontam, langid, lines, neardup, packing, pieces, pii, suffix
 from echotable.llm.jaccard import jaccard_classes
 
 
@@ -75,6 +75,12 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 50 = 0")).withColumnRenamed("id", "vec_id")
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its words inside a window of 10 words of a benchmark item, and the items found."""
+    found = decontam.decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -86,6 +92,7 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_embedding_neardup": op9_embedding_neardup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
 }
 _OP4 = r"""
 WITH t AS (
@@ -104,4 +111,28 @@ WHERE NOT EXISTS (
 )
 """
 
-ORACLES: dict[str, str] = {"op4_chat_format": _OP4}
+_OP11 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), bw AS (
+  SELECT DISTINCT item_id, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)
+), tw AS (
+  SELECT k, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS g
+  FROM (SELECT k, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM t, (SELECT DISTINCT size FROM bw) WHERE len(w) >= size)
+), m AS (
+  SELECT k, i, tw.size, item_id FROM tw JOIN bw USING (g, size)
+), h AS (
+  SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + size)) AS p FROM m) GROUP BY k
+), n AS (
+  SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY k
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM t LEFT JOIN h USING (k) LEFT JOIN n USING (k)
+"""
+
+ORACLES: dict[str, str] = {"op4_chat_format": _OP4, "op11_benchmark_decontamination": _OP11}
