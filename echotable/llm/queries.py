@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echotable.llm import ann, chat, decontam, langid, lines, neardup, packing, pieces, pii, suffix
+from echotable.llm import ann, chat, decontam, langid, lines, neardup, packing, pieces, pii, suffix, variants, whiten
 from echotable.llm.jaccard import jaccard_classes
 
 
@@ -81,6 +81,16 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per usable vector and component: its whitened value, and its exact deviation from the mean."""
+    return whiten.whitened_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).withColumnRenamed("id", "vec_id")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per word: its near words, the form it is a variant of, and the root of its forms."""
+    return variants.variant_groups(variants.word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -93,6 +103,8 @@ QUERIES = {
     "op9_embedding_neardup": op9_embedding_neardup,
     "op10_nearest_neighbours": op10_nearest_neighbours,
     "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 _OP4 = r"""
 WITH t AS (
