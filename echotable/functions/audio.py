@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import wave
+import zlib
 
 import numpy as np
 
@@ -180,6 +181,19 @@ def fingerprint(x: np.ndarray, rate: int, bands: int = 16, steps: int = 32) -> b
     return np.packbits(image > np.median(image, 0)).tobytes()
 
 
+def rustle(numbers: np.ndarray, rate: int, sec: float = 2.0) -> np.ndarray:
+    """Noise of ``sec`` seconds whose level in four bands follows the four quarters of ``numbers``; the same for the same numbers."""
+    numbers = np.asarray(numbers, np.float64)
+    n = int(sec * rate)
+    spectrum = np.fft.rfft(np.random.default_rng(zlib.crc32(numbers.tobytes())).standard_normal(n))
+    band = np.minimum(4 * np.arange(len(spectrum)) // len(spectrum), 3)
+    out = np.zeros(n)
+    for k, part in enumerate(np.array_split(numbers, 4)):
+        level = np.interp(np.linspace(0, len(part) - 1, n), np.arange(len(part)), np.clip(part, -1, 1)) if len(part) else np.zeros(n)
+        out += np.fft.irfft(spectrum * (band == k), n) * np.exp(6 * level)
+    return (0.5 * out / max(np.abs(out).max(), 1e-12)).astype(np.float32)
+
+
 def equal_bits(a: bytes, b: bytes) -> float:
     """Share of equal bits of two prints."""
     x = np.unpackbits(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8))

@@ -103,6 +103,18 @@ def fingerprints(clips: DataFrame, samples: str = "samples", rate: str = "rate")
     return clips.withColumn("fingerprint", run(samples, rate))
 
 
+def sounds(rows: DataFrame, numbers: str, gain: str, skip: str, rate: int = 16_000) -> DataFrame:
+    """``rows`` with ``samples`` and ``rate``: noise in the bands that each array of numbers states, scaled by ``gain`` and without the first ``skip`` samples."""
+
+    @F.pandas_udf("array<float>")
+    def run(x: pd.Series, g: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([(A.rustle(v, rate)[int(k) :] * y).round(3) for v, y, k in zip(x, g, n)])
+
+    # a few numbers make a whole recording: every core gets its share of the rows
+    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *rows.columns)
+    return spread.withColumn("samples", run(numbers, gain, skip)).withColumn("rate", F.lit(rate).cast("long"))
+
+
 def confirm_pairs(pairs: DataFrame, a: str, b: str, rate: str, least: float = THRESHOLDS["duplicate_detection"]["spectral_match_min"]) -> DataFrame:
     """Shortlisted pairs with ``match``; those of at least ``least`` are confirmed."""
 

@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotable.functions import scores as S
 
-SPLITS = ("train", "val", "test")
-RATIOS = (0.7, 0.15, 0.15)
 # Forms of clip ids and upload ids, environments and distances that a manifest may state.
 CLIP_ID = r"^SS-([A-Z]{3})-(\d{4})(?:S(\d+))?$"
 UPLOAD_ID = r"^SST-(\d{4}-\d{2}-\d{2})-\d{6}$"
@@ -115,74 +111,6 @@ def source_group(source: Column, original: Column, freesound: Column, voice: Col
     return F.coalesce(F.concat(F.lit("freesound:"), F.coalesce(us8k, esc, F.when(F.lower(free) != "nan", free))), tts, F.concat(F.lit("clip:"), audio_id))
 
 
-def quotas(n: Column) -> list[Column]:
-    """Train, validation and test counts of ``n`` clips: the shares rounded half to even, the rest to test."""
-    train, val = (F.bround(n * share).cast("long") for share in RATIOS[:2])
-    return [train, val, n - train - val]
-
-
-def deal_sizes(sizes: list[int], counts: list[int], room: list[int], on_overflow: str) -> list[list[int]]:
-    """How many of the ``counts[i]`` groups of ``sizes[i]`` clips each partition takes; sizes fall.
-
-    Groups of one size are dealt together in proportion to the room that is left. What the division
-    leaves over goes one by one to the roomiest partition that can hold it. A group that fits nowhere
-    is an error, or goes to the roomiest one.
-    """
-    room, out = np.array(room, np.int64), []
-    for size, count in zip(sizes, counts):
-        free = np.maximum(room, 0)
-        share = np.minimum(count * free // max(1, free.sum()), free // size)
-        room -= share * size
-        for _ in range(count - int(share.sum())):
-            to = int(room.argmax())
-            if room[to] < size and on_overflow == "error":
-                raise ValueError(f"a group of {size} clips fits no partition: {room.tolist()}")
-            share[to] += 1
-            room[to] -= size
-        out.append(share.tolist())
-    return out
-
-
-def split(manifest: DataFrame, seed: int = 42, on_overflow: str = "error") -> DataFrame:
-    """``(audio_id, class_label, role, group, split)``; whole groups, quotas by class, copies with their parent.
-
-    Only the number of groups of each size is gathered by class, at most the square root of twice its
-    clips. A group's place among those of its class and size, in hash order, then gives its partition;
-    places are counted in 256 slices of the hash range, so that no window holds a whole class. A group
-    of several labels goes to train first.
-    """
-    originals = manifest.where("role = 'original'")
-    groups = originals.groupBy("source_group", "class_label").agg(F.count("*").alias("size"))
-    mixed = groups.groupBy("source_group").agg((F.count("*") > 1).alias("mixed"))
-    order = F.sha2(F.concat_ws(":", F.lit(str(seed)), "source_group"), 256)
-    groups = groups.join(mixed, "source_group").withColumn("order", order).withColumn("slice", F.substring("order", 1, 2))
-    total = groups.groupBy("class_label").agg(F.sum("size").alias("n"), F.coalesce(F.sum(F.when(F.col("mixed"), F.col("size"))), F.lit(0)).alias("taken"))
-    total = total.select("class_label", "taken", F.array(*quotas(F.col("n"))).alias("quota"))
-    slices = groups.where("not mixed").groupBy("class_label", "size", "slice").agg(F.count("*").alias("n"))
-    sizes = slices.groupBy("class_label", "size").agg(F.sum("n").alias("n")).join(total, "class_label")
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("size", ascending=False)
-        room = [int(x) for x in pdf.quota.iloc[0]]
-        room[0] -= int(pdf.taken.iloc[0])
-        dealt = deal_sizes(pdf["size"].tolist(), pdf["n"].tolist(), room, on_overflow)
-        return pd.DataFrame({"class_label": pdf.class_label, "size": pdf["size"], "train": [d[0] for d in dealt], "val": [d[1] for d in dealt]})
-
-    dealt = sizes.groupBy("class_label").applyInPandas(deal, "class_label string, size long, train long, val long")
-    before = Window.partitionBy("class_label", "size").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slices.select("class_label", "size", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("class_label", "size", "slice").orderBy("order", "source_group")
-    placed = groups.where("not mixed").withColumn("at", F.row_number().over(own)).join(starts, ["class_label", "size", "slice"]).join(dealt, ["class_label", "size"])
-    at = F.col("start") + F.col("at")
-    name = F.when(at <= F.col("train"), SPLITS[0]).when(at <= F.col("train") + F.col("val"), SPLITS[1]).otherwise(SPLITS[2])
-    placed = placed.select("source_group", "class_label", name.alias("split"))
-    placed = placed.unionByName(groups.where("mixed").select("source_group", "class_label", F.lit(SPLITS[0]).alias("split")))
-    first = originals.join(placed, ["source_group", "class_label"]).select("audio_id", "class_label", "role", F.col("source_group").alias("group"), "split")
-    parents = first.select(F.col("audio_id").alias("parent_audio_id"), "group", "split")
-    kids = manifest.where("role <> 'original'").join(parents, "parent_audio_id").select("audio_id", "class_label", "role", "group", "split")
-    return first.unionByName(kids)
-
-
 def folds(rows: DataFrame, group: str, class_col: str, k: int, seed: int = 42) -> DataFrame:
     """``rows`` with ``fold``: whole groups, dealt in hash order within their commonest class."""
     by = rows.groupBy(group, class_col).count()
@@ -221,15 +149,6 @@ def imbalance(rows: DataFrame, classes: list[str], class_col: str = "class_label
     return n.crossJoin(F.broadcast(ratio))  # one row
 
 
-def split_counts(assigned: DataFrame, tolerance: int = 1) -> DataFrame:
-    """Originals of each class by partition against the quotas."""
-    counts = assigned.where("role = 'original'").groupBy("class_label").pivot("split", list(SPLITS)).count().na.fill(0, list(SPLITS))
-    n = F.col("train") + F.col("val") + F.col("test")
-    q = quotas(n)
-    ok = (F.abs(F.col("train") - q[0]) <= tolerance) & (F.abs(F.col("val") - q[1]) <= tolerance) & (F.abs(F.col("test") - q[2]) <= tolerance)
-    return counts.withColumn("ok", ok)
-
-
 def environment(stated: Column, tags: Column, words: dict[str, tuple[str, ...]]) -> Column:
     """``(environment, basis)`` from keywords: the stated text first, then the tags, in rule order."""
     def first(text: Column) -> Column:

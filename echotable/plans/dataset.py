@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from echotable.operators import dataset as M
 from echotable.operators import duplicates as U
+from echotable.operators import split as P
 from echotable.sources import domain as D
 
 QUERIES, ORACLES = {}, {}
@@ -141,12 +142,39 @@ def w8(spark, d):
     return M.new_ids(m.where("clip % 5 <> 0"), "class_label", "audio_id", taken).select("audio_id", "new_number")
 
 
+def _split_rows(spark, d, group):
+    """The manifest with groups within classes, and only copies that have their parent's label."""
+    m = D.manifest(spark, d).withColumn("source_group", F.concat_ws("/", "class_label", "source_group", group.cast("string")))
+    first = m.where("role = 'original'").select(F.col("audio_id").alias("p"), F.col("class_label").alias("pl"))
+    return m.join(first, F.col("parent_audio_id") == F.col("p"), "left").where("parent_audio_id is null or pl = class_label").drop("p", "pl")
+
+
 @query("w18_group_split")
 def w18(spark, d):
-    m = D.manifest(spark, d).withColumn("source_group", F.concat_ws("/", "class_label", "source_group", (F.col("clip") % 7).cast("string")))
-    first = m.where("role = 'original'").select(F.col("audio_id").alias("p"), F.col("class_label").alias("pl"))
-    same = m.join(first, F.col("parent_audio_id") == F.col("p"), "left").where("parent_audio_id is null or pl = class_label").drop("p", "pl")
-    return M.split(same, on_overflow="largest_room")
+    return P.split(_split_rows(spark, d, F.col("clip") % 7), on_overflow="largest_room")
+
+
+# One group after the other, as the rule is stated: largest first, ties in hash order, to the emptiest partition that it fits.
+_QUOTA_SPLIT = f"""WITH RECURSIVE {D.MANIFEST}, m AS (
+  SELECT k.* REPLACE (k.class_label || '/' || k.source_group || '/' || (k.clip // 3) AS source_group) FROM mf k LEFT JOIN mf p ON p.audio_id = k.parent_audio_id WHERE p.audio_id IS NULL OR p.class_label = k.class_label
+), g AS (
+  SELECT class_label, source_group, count(*) AS size, row_number() OVER (PARTITION BY class_label ORDER BY count(*) DESC, sha256('42:' || source_group)) AS i FROM m WHERE role = 'original' GROUP BY 1, 2
+), n AS (SELECT class_label, sum(size) AS n FROM g GROUP BY 1),
+q AS (SELECT class_label, round_even(n * 0.7::DOUBLE, 0)::BIGINT AS a, round_even(n * 0.15::DOUBLE, 0)::BIGINT AS b, n::BIGINT - round_even(n * 0.7::DOUBLE, 0)::BIGINT - round_even(n * 0.15::DOUBLE, 0)::BIGINT AS c FROM n),
+s(class_label, i, a, b, c, split) AS (
+  SELECT class_label, 0::BIGINT, a, b, c, NULL::VARCHAR FROM q
+  UNION ALL
+  SELECT class_label, i, a - size * (split = 'train')::INT, b - size * (split = 'val')::INT, c - size * (split = 'test')::INT, split FROM (
+    SELECT class_label, i, a, b, c, size, CASE WHEN ra >= 0 AND ra >= rb AND ra >= rc THEN 'train' WHEN rb >= 0 AND rb >= rc THEN 'val' WHEN rc >= 0 THEN 'test' END AS split FROM (
+      SELECT s.class_label, g.i, s.a, s.b, s.c, g.size, CASE WHEN s.a >= size THEN s.a / q.a ELSE -1 END AS ra, CASE WHEN s.b >= size THEN s.b / q.b ELSE -1 END AS rb, CASE WHEN s.c >= size THEN s.c / q.c ELSE -1 END AS rc
+      FROM s JOIN g ON g.class_label = s.class_label AND g.i = s.i + 1 JOIN q ON q.class_label = s.class_label))
+), o AS (SELECT m.audio_id, m.class_label, m.role, m.source_group AS "group", s.split FROM m JOIN g USING (class_label, source_group) JOIN s ON s.class_label = g.class_label AND s.i = g.i WHERE m.role = 'original'),
+w AS (SELECT * FROM o UNION ALL SELECT k.audio_id, k.class_label, k.role, o."group", o.split FROM m k JOIN o ON o.audio_id = k.parent_audio_id WHERE k.role <> 'original')"""
+
+
+@query("w18_quota_split", f"{_QUOTA_SPLIT} SELECT * FROM w")
+def w18_quota(spark, d):
+    return P.split(_split_rows(spark, d, F.floor(F.col("clip") / 3)))
 
 
 @query("w17_folds", f"""WITH {D.MANIFEST}, b AS (SELECT author, class_label, count(*) AS c FROM mf GROUP BY 1, 2), h AS (SELECT author, max_by(class_label, (c, class_label)) AS home, sum(c) AS n FROM b GROUP BY 1),
@@ -156,9 +184,9 @@ def w17(spark, d):
     return M.folds(D.manifest(spark, d), "author", "class_label", 5).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("author").alias("authors"))
 
 
-@query("a25_split_counts")
+@query("a25_split_counts", f"""{_QUOTA_SPLIT} SELECT class_label, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test, true AS ok FROM w WHERE role = 'original' GROUP BY 1""")
 def a25(spark, d):
-    return M.split_counts(w18(spark, d), tolerance=1)
+    return P.split_counts(w18_quota(spark, d), tolerance=0)
 
 
 @query("a17_manifest_statistics", f"WITH {D.MANIFEST} SELECT coalesce(class_label, 'all') AS class_label, count(*) AS n, count(*) FILTER (role = 'original') AS originals, count(*) FILTER (role <> 'original') AS augmented, count(*) FILTER (role = 'original') >= 100 AS meets_floor FROM mf GROUP BY ROLLUP (class_label)")

@@ -109,27 +109,6 @@ def test_rate_limit_and_lockout(spark):
     assert (r.n_lockouts, r.n_refused) == (1, 2)
 
 
-def manifest(spark, n=3000):
-    rows = [(f"C{i:05d}", CLASSES[i % 10], f"g{i % 10}-{i // 10 // 3}", "original", None) for i in range(n)]
-    rows += [(f"X{i:05d}", CLASSES[i % 10], None, "augmented", f"C{i:05d}") for i in range(50)]
-    return spark.createDataFrame(rows, "audio_id string, class_label string, source_group string, role string, parent_audio_id string")
-
-
-def test_split_invariants(spark):
-    m = manifest(spark)
-    out = M.split(m)
-    got = {(r.class_label, r.split): r["count"] for r in out.where("role = 'original'").groupBy("class_label", "split").count().collect()}
-    assert all(got[c, "train"] == 210 and got[c, "val"] == 45 and got[c, "test"] == 45 for c in CLASSES)
-    assert M.leaks(out).count() == 0 and out.count() == 3050 and M.coverage(m, out).count() == 0
-    assert M.differences(out.select("audio_id", "split"), M.split(m.orderBy(F.desc("audio_id"))).select("audio_id", "split")).count() == 0
-    assert M.differences(out.select("audio_id", "split"), M.split(m, seed=7).select("audio_id", "split")).count() > 0
-    assert M.split_counts(out).where("not ok").count() == 0
-    with pytest.raises(ValueError):
-        M.deal_sizes([9], [1], [5, 5, 5], "error")
-    assert M.deal_sizes([9], [1], [5, 6, 5], "largest_room") == [[0, 1, 0]]
-    assert M.deal_sizes([3, 1], [2, 4], [7, 2, 1], "error") == [[2, 0, 0], [1, 2, 1]]
-
-
 def test_manifest_faults(spark):
     rows = [("a", "x", "original", None, "CC0"), ("a", "x", "original", None, "CC0"), ("b", "z", "augmented", None, ""), ("c", "x", "augmented", "nobody", "CC0")]
     m = spark.createDataFrame(rows, "audio_id string, class_label string, role string, parent_audio_id string, licence string")
