@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echotable.functions.config import ALERTS_PER_WINDOW, DEDUP_SECONDS, LOCKOUT, REPEAT_RATE_SECONDS, THRESHOLDS
+from echotable.operators import scan
+
+LIFECYCLE = {"acknowledge": "Acknowledged", "resolve": "Resolved", "dismiss": "Dismissed", "escalate": "Escalated"}
+FINAL = ("Resolved", "Dismissed")
 
 
 def _seconds(at: str) -> Column:
@@ -27,54 +30,17 @@ def islands(rows: DataFrame, by: list[str], at: str, value: str, tie: str, gap_s
     return marked.groupBy(*by, "_run", value).agg(F.min(at).alias("started_at"), F.max(at).alias("ended_at"), F.count("*").alias("length")).drop("_run")
 
 
-def fold_streak(state: dict, class_name, qualifies: bool, at: float, needed: int, window_seconds: float) -> tuple[int, bool, bool]:
-    """One step of repeat confirmation; returns (count, confirmed, newly).
-
-    ``state`` holds the class, its count, the last time and whether the streak has fired. After it
-    fires the count starts over and the streak stays confirmed; with no window on record the gap is
-    not tested.
-    """
-    if state.get("class") != class_name:
-        state.clear()
-        state["class"] = class_name
-    if not qualifies:
-        state.clear()
-        return 0, False, False
-    if state.get("n", 0) and at - state["last"] > window_seconds:
-        state.update(n=0, fired=False)
-    n = state.get("n", 0) + 1
-    already = state.get("fired", False)
-    newly = not already and n >= needed
-    # the list of windows is emptied only by the window that fires
-    state.update(n=0 if newly else n, last=at, fired=already or newly)
-    return n, already or newly, newly
-
-
-def confirm_repeats(rows: DataFrame, session: str, at: str, class_col: str, qualifies: str, tie: str, needed: int | None = None, window_seconds: float | None = None) -> DataFrame:
+def confirm_repeats(rows: DataFrame, session: str, at: str, class_col: str, qualifies: str, tie: str, needed: int | None = None, window_seconds: float | None = None, part_rows: int = scan.PART) -> DataFrame:
     """``rows`` with ``consecutive, confirmed, newly_confirmed``, folded in order within each session.
 
-    Rows reach the fold sorted, batch by batch, and its state is a few values, so a long session costs
-    time but no memory.
+    After a streak fires its count starts over and it stays confirmed. Sessions of any length are folded in parts
+    of ``part_rows`` rows at once (``scan.fold``). A null ``qualifies`` is false.
     """
     limits = THRESHOLDS["repeat_detection"]
     needed = needed or limits["required_consecutive_detections"]
-    window_seconds = window_seconds if window_seconds is not None else limits["window_seconds"]
-    names = rows.columns
-
-    def run(batches):
-        current, state = object(), {}
-        for pdf in batches:
-            out = []
-            for s, c, q, t in zip(pdf[session], pdf[class_col], pdf[qualifies], pdf["_at"]):
-                if s != current:
-                    current, state = s, {}
-                out.append(fold_streak(state, c, bool(q), t, needed, window_seconds))
-            n, confirmed, newly = zip(*out) if out else ((), (), ())
-            yield pdf[names].assign(consecutive=pd.array(n, "int64"), confirmed=pd.array(confirmed, "bool"), newly_confirmed=pd.array(newly, "bool"))
-
-    ordered = rows.withColumn("_at", _seconds(at)).repartition(session).sortWithinPartitions(session, at, tie)
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return ordered.mapInPandas(run, typed + ", consecutive long, confirmed boolean, newly_confirmed boolean")
+    how = scan.Streaks(needed, window_seconds if window_seconds is not None else limits["window_seconds"])
+    told = rows.withColumn("_ok", F.coalesce(F.col(qualifies), F.lit(False)))
+    return scan.fold(told, session, at, tie, how, [class_col, "_ok"], "consecutive long, confirmed boolean, newly_confirmed boolean", part_rows).drop("_ok")
 
 
 def outages(probes: DataFrame, by: str, at: str, up: str) -> DataFrame:
@@ -99,73 +65,28 @@ def capped(alerts: DataFrame, by: str, at: str, window_seconds: int, most: int =
     return repeats_within(alerts, [by], at, window_seconds).withColumn("within_cap", F.col("repeats") <= most).drop("repeats")
 
 
-def _folded(rows: DataFrame, by: str, at: str, tie: str, start: Column, step, keep: list[str]) -> DataFrame:
-    """Array fold over a group's rows in order; ``step(acc, row)`` gives the next state struct."""
-    packed = rows.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(at, tie, *[c for c in keep if c not in (at, tie)]))).alias("_rows"))
-    return packed.withColumn("_state", F.aggregate("_rows", start, step))
+def rate_limited(rows: DataFrame, by: str, at: str, tie: str, most: int, seconds: int, part_rows: int = scan.PART) -> DataFrame:
+    """``rows`` with ``allowed``: a sliding limit in which refused attempts don't count."""
+    return scan.fold(rows, by, at, tie, scan.RateLimit(most, seconds), [], "allowed boolean", part_rows)
 
 
-def rate_limited(rows: DataFrame, by: str, at: str, tie: str, most: int, seconds: int) -> DataFrame:
-    """``rows`` with ``allowed``: a sliding limit in which refused attempts don't count.
-
-    Sorted rows are folded batch by batch; the state is the times of the last ``most`` allowed ones.
-    """
-    typed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    names = rows.columns
-
-    def run(batches):
-        current, recent = object(), []
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf[by], pdf["_at"]):
-                if k != current:
-                    current, recent = k, []
-                recent = [x for x in recent if x > t - seconds]
-                ok = len(recent) < most
-                recent += [t] * ok
-                out.append(ok)
-            yield pdf[names].assign(allowed=pd.array(out, "bool"))
-
-    return rows.withColumn("_at", _seconds(at)).repartition(by).sortWithinPartitions(by, at, tie).mapInPandas(run, typed + ", allowed boolean")
-
-
-def lockouts(attempts: DataFrame, user: str, at: str, tie: str, failed: str, failures: int = LOCKOUT["failures"], minutes: int = LOCKOUT["minutes"]) -> DataFrame:
+def lockouts(attempts: DataFrame, user: str, at: str, tie: str, failed: str, failures: int = LOCKOUT["failures"], minutes: int = LOCKOUT["minutes"], part_rows: int = scan.PART) -> DataFrame:
     """``(user, n_lockouts, n_refused)``: a lock after ``failures`` in a row; attempts while locked are refused."""
-    typed = f"`{user}` {attempts.schema[user].dataType.simpleString()}, n_lockouts long, n_refused long"
-
-    def run(batches):
-        current, streak, until, locks, refused = None, 0, float("-inf"), 0, 0
-        for pdf in batches:
-            out = []
-            for u, t, bad in zip(pdf[user], pdf["_at"], pdf[failed]):
-                if u != current:
-                    if current is not None:
-                        out.append((current, locks, refused))
-                    current, streak, until, locks, refused = u, 0, float("-inf"), 0, 0
-                if t < until:
-                    refused += 1
-                elif bad:
-                    streak += 1
-                    if streak >= failures:
-                        streak, until, locks = 0, t + 60 * minutes, locks + 1
-                else:
-                    streak = 0
-            yield pd.DataFrame(out, columns=[user, "n_lockouts", "n_refused"])
-        if current is not None:
-            yield pd.DataFrame([(current, locks, refused)], columns=[user, "n_lockouts", "n_refused"])
-
-    rows = attempts.where(F.col(user).isNotNull()).withColumn("_at", _seconds(at))
-    return rows.repartition(user).sortWithinPartitions(user, at, tie).mapInPandas(run, typed)
+    rows = attempts.where(F.col(user).isNotNull()).select(user, at, tie, F.coalesce(F.col(failed), F.lit(False)).alias("_failed"))
+    told = scan.fold(rows, user, at, tie, scan.Lockouts(failures, 60 * minutes), ["_failed"], "locked boolean, refused boolean", part_rows)
+    return told.groupBy(user).agg(F.count_if("locked").alias("n_lockouts"), F.count_if("refused").alias("n_refused"))
 
 
 def replay_lifecycle(actions: DataFrame, alert: str, at: str, tie: str, action: str) -> DataFrame:
-    """``(alert, status, n_refused)``: acknowledge, resolve, dismiss and escalate in order; final states refuse changes."""
-    state = F.struct(F.lit("New").alias("status"), F.lit(0).cast("long").alias("refused"))
+    """``(alert, status, n_refused)``: acknowledge, resolve, dismiss and escalate in order; final states refuse changes.
 
-    def step(acc: Column, row: Column) -> Column:
-        final = acc.status.isin("Resolved", "Dismissed")
-        after = F.when(row[action] == "acknowledge", "Acknowledged").when(row[action] == "resolve", "Resolved").when(row[action] == "dismiss", "Dismissed").when(row[action] == "escalate", "Escalated")
-        return F.struct(F.when(final | after.isNull(), acc.status).otherwise(after).alias("status"), (acc.refused + F.when(final, 1).otherwise(0)).alias("refused"))
-
-    out = _folded(actions, alert, at, tie, state, step, [at, tie, action])
-    return out.select(alert, F.col("_state.status").alias("status"), F.col("_state.refused").alias("n_refused"))
+    Whatever comes before it, the first final action decides, else the last known one; so two grouped aggregates are
+    enough, and a busy alert is no single task's list. Unknown actions before the end change nothing.
+    """
+    named = F.create_map(*[F.lit(x) for pair in LIFECYCLE.items() for x in pair])[F.col(action)]
+    rows = actions.select(F.col(alert).alias("_alert"), F.struct(at, tie, action).alias("_at"), named.alias("_status"))
+    final = F.col("_status").isin(*FINAL)
+    ends = rows.groupBy("_alert").agg(F.min(F.when(final, F.struct("_at", "_status"))).alias("_end"), F.max(F.when(F.col("_status").isNotNull(), F.struct("_at", "_status"))).alias("_last"))
+    late = rows.join(ends.where("_end is not null").select("_alert", F.col("_end._at").alias("_since")), "_alert").where("_at > _since").groupBy("_alert").agg(F.count("*").alias("n_refused"))
+    status = F.coalesce("_end._status", "_last._status", F.lit("New"))
+    return ends.join(late, "_alert", "left").select(F.col("_alert").alias(alert), status.alias("status"), F.coalesce("n_refused", F.lit(0)).cast("long").alias("n_refused"))

@@ -44,7 +44,12 @@ def t2(spark, d):
     return L.drain(e, _folder(spark), "complete")
 
 
-@query("t3_stream_confirmation")
+@query("t3_stream_confirmation", """WITH RECURSIVE o AS (SELECT event_id, user_id, event_type AS c, epoch(ts) AS t, event_id % 4 <> 0 AS q, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT NULL::BIGINT AS event_id, user_id, 0::BIGINT AS i, NULL::VARCHAR AS class_, 0::BIGINT AS n, 0::DOUBLE AS last, false AS fired, 0::BIGINT AS consecutive, false AS newly FROM o WHERE i = 1
+ UNION ALL SELECT event_id, user_id, i, CASE WHEN q THEN c END, CASE WHEN NOT q OR newly THEN 0 ELSE n1 END, t, q AND (f1 OR newly), CASE WHEN q THEN n1 ELSE 0 END, q AND newly
+ FROM (SELECT *, NOT f1 AND n1 >= 2 AS newly FROM (SELECT *, CASE WHEN gap THEN 1 ELSE n0 + 1 END AS n1, f0 AND NOT gap AS f1 FROM (SELECT *, n0 > 0 AND t - last > 86400 AS gap FROM
+  (SELECT o.event_id, o.user_id, o.i, o.c, o.t, o.q, r.last, CASE WHEN r.class_ = o.c THEN r.n ELSE 0 END AS n0, coalesce(r.class_ = o.c, false) AND r.fired AS f0 FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)))))
+SELECT user_id AS session_id, event_id AS key, consecutive, fired AS confirmed, newly AS newly_confirmed FROM r WHERE i > 0""")
 def t3(spark, d):
     e = _events(spark, d).select("user_id", "event_id", "ts", "event_type", (F.col("event_id") % 4 != 0).alias("ok"))
     return L.drain(L.confirm(e, "user_id", "ts", "event_type", "ok", "event_id", 2, 86_400), _folder(spark))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from echotable.functions.config import THRESHOLDS
-from echotable.operators.ordered import fold_streak
+from echotable.operators.scan import Streaks
 
 
 def read(spark: SparkSession, path: str, like: DataFrame, per_batch: int | None = None) -> DataFrame:
@@ -53,24 +54,20 @@ def confirm(windows: DataFrame, session: str, at: str, class_col: str, qualifies
     """
     limits = THRESHOLDS["repeat_detection"]
     needed = needed or limits["required_consecutive_detections"]
-    seconds = window_seconds if window_seconds is not None else limits["window_seconds"]
+    how = Streaks(needed, window_seconds if window_seconds is not None else limits["window_seconds"])
 
     def step(group, pdfs, state: GroupState):
-        kept = {}
-        if state.exists:
-            name, n, last, fired = state.get
-            kept = {"class": name, "n": n, "last": last, "fired": fired} if name is not None else {}
         rows = pd.concat(list(pdfs)).sort_values([at, key], kind="stable")
-        out = []
-        for k, c, q, t in zip(rows[key], rows[class_col], rows[qualifies], rows[at].map(pd.Timestamp.timestamp)):
-            out.append((group[0], k, *fold_streak(kept, c, bool(q), t, needed, seconds)))
-        state.update((kept.get("class"), int(kept.get("n", 0)), float(kept.get("last", 0.0)), bool(kept.get("fired", False))))
-        yield pd.DataFrame(out, columns=["session_id", "key", "consecutive", "confirmed", "newly_confirmed"])
+        open_, *kept = state.get if state.exists else (False, None, 0, 0.0, False)
+        out, (name, n, last, fired) = how.run(tuple(kept) if open_ else how.start, np.zeros(len(rows)), rows["_at"].to_numpy(), rows[class_col].to_numpy(), rows[qualifies].to_numpy())
+        state.update((name is not False, None if name is False else name, n, last, fired))
+        yield pd.DataFrame({"session_id": group[0], "key": rows[key], **out})
 
     kinds = {f.name: f.dataType.simpleString() for f in windows.schema}
     out = f"session_id {kinds[session]}, key {kinds[key]}, consecutive long, confirmed boolean, newly_confirmed boolean"
-    cols = windows.select(session, key, class_col, qualifies, F.col(at).cast("timestamp").alias(at))
-    return cols.groupBy(session).applyInPandasWithState(step, out, "class string, n long, last double, fired boolean", "append", GroupStateTimeout.NoTimeout)
+    time = F.col(at).cast("timestamp")
+    cols = windows.select(session, key, class_col, F.coalesce(F.col(qualifies), F.lit(False)).alias(qualifies), time.alias(at), time.cast("double").alias("_at"))
+    return cols.groupBy(session).applyInPandasWithState(step, out, "open boolean, class string, n long, last double, fired boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def session_counters(windows: DataFrame, session: str, at: str, idle: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
