@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from echotable.operators import audio as W
+from echotable.operators import compare as C
 from echotable.operators import duplicates as U
 from echotable.operators import training as T
+from echotable.sources import analyses as A
 from echotable.sources import domain as D
+from echotable.sources.commits import TableLog
 from echotable.sources.scratch import Tables, fresh_folder
 from echotable.streaming import live as L
+from echotable.streaming import sessions as N
 
 QUERIES, ORACLES = {}, {}
 
@@ -34,7 +38,8 @@ def _events(spark, d):
 
 @query("t1_ingest_once", "SELECT event_id, user_id, event_type FROM events")
 def t1(spark, d):
-    return L.drain(L.ingest(_events(spark, d), ["event_id"], "ts").select("event_id", "user_id", "event_type"), _folder(spark))
+    twice = _events(spark, d).unionByName(_events(spark, d))  # every key arrives two times
+    return L.drain(L.ingest(twice, ["event_id"], "ts").select("event_id", "user_id", "event_type"), _folder(spark))
 
 
 @query("t2_enriched_windows", "SELECT event_type, CASE event_type WHEN 'error' THEN 'Critical' WHEN 'purchase' THEN 'High' END AS rule_severity, count(*) AS n FROM events GROUP BY 1, 2")
@@ -76,11 +81,89 @@ def t6(spark, d):
 @query("t7_idempotent_sink", "SELECT event_id, event_type FROM events")
 def t7(spark, d):
     out = _folder(spark)
-    rows = _events(spark, d).select("event_id", "event_type")
-    for attempt in ("first", "again"):  # the second pass finds every key stored
-        q = rows.writeStream.option("checkpointLocation", f"{out}/{attempt}").trigger(availableNow=True).foreachBatch(L.append_new(f"{out}/rows", "event_id", attempt)).start()
-        q.awaitTermination()
-    return spark.read.parquet(f"{out}/rows").drop("batch")
+    log = TableLog(spark, f"{out}/tables")
+    for attempt in ("first", "again"):  # the second pass has lost its checkpoint and replays every batch
+        L.run_available(_events(spark, d).select("event_id", "event_type"), f"{out}/{attempt}", L.store_batches(log, "rows", "events"))
+    return log.read("rows")
+
+
+_ARRIVALS = """a0 AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 + CASE WHEN event_id % 11 = 0 THEN 259200000 ELSE 0 END AS came FROM events),
+a1 AS (SELECT *, least(3, 4 * (came - min(came) OVER ()) // (max(came) OVER () - min(came) OVER () + 1)) AS batch FROM a0),
+m AS (SELECT batch, max(ms) - 3600000 AS mark FROM a1 GROUP BY 1), a AS (SELECT *, ms < (SELECT max(mark) FROM m WHERE m.batch < a1.batch) IS TRUE AS late FROM a1)"""
+
+
+def _live(spark, d):
+    """Sessions of events that arrive in four batches, one in eleven three days late; the query restarts for each batch, and a last heartbeat ends all sessions."""
+    base, at = _folder(spark), F.unix_millis("ts")
+    e = D.table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    e = e.withColumn("came", at + F.when(F.col("event_id") % 11 == 0, 259_200_000).otherwise(0))
+    low, high, last = e.agg(F.min("came"), F.max("came"), F.max(at)).first()
+    e = e.withColumn("batch", F.least(F.lit(3), F.floor(4 * (F.col("came") - low) / (high - low + 1)))).drop("came")
+    beat = spark.createDataFrame([(last + 30 * 86_400_000,)], "ms long").select(F.timestamp_millis("ms").alias("ts"), F.lit(4).alias("batch"))
+    e.unionByName(beat, allowMissingColumns=True).withColumn("b", F.col("batch")).write.partitionBy("b").parquet(f"{base}/all")
+    log = TableLog(spark, f"{base}/tables")
+    schema = e.schema
+    for n in range(5):
+        spark.read.schema(schema).parquet(f"{base}/all/b={n}").write.mode("append").parquet(f"{base}/in")
+        windows = spark.readStream.schema(schema).parquet(f"{base}/in")
+        windows = windows.withColumn("detected", F.col("event_type") != "click").withColumn("alerted", F.col("event_type") == "error")
+        L.run_available(N.live_sessions(windows, "user_id", "ts", "detected", "alerted", 8 * 3600, 3600), f"{base}/state", L.store_batches(log, "rows", "sessions"))
+    return log.read("rows").where("session is not null")
+
+
+@query("t4_live_sessions", f"""WITH {_ARRIVALS}, g AS (SELECT *, CASE WHEN ms - lag(ms) OVER w < 28800000 THEN 0 ELSE 1 END AS new FROM a WHERE NOT late WINDOW w AS (PARTITION BY user_id ORDER BY ms)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS run FROM g)
+SELECT user_id AS session, make_timestamp(min(ms) * 1000) AS started_at, make_timestamp(max(ms) * 1000) AS ended_at, count(*) AS windows, count(*) FILTER (event_type <> 'click') AS detections, count(*) FILTER (event_type = 'error') AS alerts FROM s GROUP BY user_id, run""")
+def t4_live(spark, d):
+    return _live(spark, d).where("kind = 'session'").drop("kind")
+
+
+@query("t8_late_rows", f"WITH {_ARRIVALS} SELECT user_id AS session, count(*) AS late FROM a WHERE late GROUP BY 1")
+def t8(spark, d):
+    return _live(spark, d).where("kind = 'late'").groupBy("session").agg(F.sum("windows").alias("late"))
+
+
+def _records(spark, d):
+    """Analysed records of which the odd ones come in a second batch; three in a row hold the same bytes."""
+    r = C.compare(D.score_vectors(spark, d))
+    severe = F.when(F.col("agree"), "High").otherwise("Low")
+    name = lambda c: F.format_string("AUD-%09d", c)
+    return r.select(
+        "event_id", name(F.col("event_id")).alias("audio_id"), F.sha2(F.floor(F.col("event_id") / 3).cast("string"), 256).alias("sha256"), F.lit("upload").alias("source"),
+        "python_class", severe.alias("event_severity"), F.col("agree").alias("alert_raised"), (~F.col("agree")).alias("review_required"), F.lit("normal").alias("review_priority"), F.lit("model_disagreement").alias("review_ids"), "ra", "rb",
+    )
+
+
+@query("snk4_analyses", f"""WITH {D.SCORES}, o AS (SELECT *, 'AUD-' || lpad(event_id::VARCHAR, 9, '0') AS audio_id, row_number() OVER (PARTITION BY event_id // 3 ORDER BY event_id % 2, event_id) AS nth,
+  'AUD-' || lpad((first_value(event_id) OVER (PARTITION BY event_id // 3 ORDER BY event_id % 2, event_id))::VARCHAR, 9, '0') AS stored FROM cp),
+k AS (SELECT * FROM o WHERE nth = 1)
+SELECT 'audio_files' AS "table", audio_id AS key, sha256((event_id // 3)::VARCHAR) AS detail FROM k
+UNION ALL SELECT 'events', audio_id, python_class FROM k
+UNION ALL SELECT 'confidence_scores', event_id::VARCHAR, model || ' ' || rank || ' ' || class_name FROM rk SEMI JOIN k USING (event_id)
+UNION ALL SELECT 'alerts', event_id::VARCHAR, sha256((event_id // 3)::VARCHAR) || ':' || python_class || ':High' FROM k WHERE agree
+UNION ALL SELECT 'reviews', event_id::VARCHAR, 'normal' FROM k WHERE NOT agree
+UNION ALL SELECT 'audit', stored, CASE WHEN nth = 1 THEN 'audio_upload success' ELSE 'audio_duplicate_rejected failure' END FROM o
+UNION ALL SELECT 'audit', event_id::VARCHAR, 'prediction success' FROM k
+UNION ALL SELECT 'audit', event_id::VARCHAR, CASE WHEN agree THEN 'alert_generated success' ELSE 'review_queued success' END FROM k""")
+def snk4(spark, d):
+    """Records streamed in two batches to six tables, the query restarted between them."""
+    base = _folder(spark)
+    log = TableLog(spark, f"{base}/tables")
+    rows = Tables(spark, "records").save(_records(spark, d))
+    for odd in (0, 1):
+        rows.where(F.col("event_id") % 2 == odd).write.mode("append").parquet(f"{base}/in")
+        stream = A.with_duplicates(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        L.run_available(stream, f"{base}/state", A.persist_analyses(log, "records"))
+    key = lambda c: F.col(c).cast("string").alias("key")
+    parts = {
+        "audio_files": ("audio_id", F.col("sha256")), "events": ("audio_id", F.col("python_class")), "confidence_scores": ("event_id", F.concat_ws(" ", "model", "rank", "class_name")),
+        "alerts": ("event_id", F.col("dedup_key")), "reviews": ("event_id", F.col("priority")), "audit": ("target_id", F.concat_ws(" ", "action", "outcome")),
+    }
+    out = None
+    for name, (k, detail) in parts.items():
+        part = log.read(name).select(F.lit(name).alias("table"), key(k), detail.alias("detail"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _clips(spark, d):
@@ -186,11 +269,3 @@ def v5(spark, d):
 def v15(spark, d):
     m = W.realism(_clips(spark, d), "clip_id", "samples", "rate")
     return W.class_spectra(m, "label").withColumn("cosine", F.round("cosine", 4))
-
-
-@query("t8_late_rows", "SELECT count(*) AS rows, 0::BIGINT AS late FROM events")
-def t8(spark, d):
-    out = _folder(spark)
-    count, seen = L.lateness("ts", 10 * 86_400 * 365)
-    _events(spark, d).writeStream.option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(count).start().awaitTermination()
-    return spark.range(1).select(F.lit(seen["rows"]).cast("long").alias("rows"), F.lit(seen["late"]).cast("long").alias("late"))

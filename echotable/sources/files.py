@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,25 +63,3 @@ def write_report(rows: DataFrame, summary: DataFrame, path: str) -> None:
     """Rows as CSV and a one-row summary as JSON."""
     rows.write.mode("overwrite").csv(f"{path}/rows", header=True)
     summary.write.mode("overwrite").json(f"{path}/summary")
-
-
-def persist_analyses(records: DataFrame, path: str) -> None:
-    """Event, score, alert and review rows of analysed events, each to its table.
-
-    ``records``: event_id, the compared and ruled columns, and ``ra``/``rb`` score arrays. The records are
-    written once first, so that every table comes from the same rows.
-    """
-    spark = records.sparkSession
-    staged = f"{path}/_staged-{uuid.uuid4().hex}"
-    records.write.parquet(staged)
-    r = spark.read.parquet(staged)
-    drop = [c for c in ("ra", "rb", "gates") if c in r.columns]
-    r.drop(*drop).write.mode("append").parquet(f"{path}/events")
-    scores = None
-    for model, col in (("python", "ra"), ("gtm", "rb")):
-        part = r.select("event_id", F.lit(model).alias("model"), F.posexplode(col).alias("at", "p")).select("event_id", "model", F.col("p.class_name").alias("class_name"), F.col("p.confidence").alias("confidence"), (F.col("at") + 1).alias("rank"), (F.col("at") == 0).alias("is_top"))
-        scores = part if scores is None else scores.unionByName(part)
-    scores.write.mode("append").parquet(f"{path}/confidence_scores")
-    key = F.concat_ws("|", "python_class", "event_severity")
-    r.where("alert_eligible").select("event_id", F.col("event_severity").alias("severity"), F.lit("New").alias("status"), key.alias("dedup_key")).write.mode("append").parquet(f"{path}/alerts")
-    r.where("review_required").select("event_id", F.lit("Pending Review").alias("status"), F.col("review_priority").alias("priority"), "review_ids").write.mode("append").parquet(f"{path}/reviews")

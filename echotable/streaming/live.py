@@ -10,6 +10,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from echotable.functions.config import THRESHOLDS
 from echotable.operators.scan import Streaks
+from echotable.sources.commits import TableLog
+from echotable.streaming.sessions import run_available
 
 
 def read(spark: SparkSession, path: str, like: DataFrame, per_batch: int | None = None) -> DataFrame:
@@ -23,51 +25,38 @@ def ingest(windows: DataFrame, keys: list[str], at: str, late: str = "10 minutes
     return windows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def lateness(at: str, seconds: float):
-    """A ``foreachBatch`` function and the counts it keeps: rows older than the latest time of earlier batches less ``seconds``.
-
-    What a watermark drops is only seen in the query's progress; this counts the same rows by batch.
-    """
-    seen = {"latest": None, "rows": 0, "late": 0}
-
-    def count(batch: DataFrame, _: int) -> None:
-        time = F.col(at).cast("timestamp").cast("double")
-        late = F.lit(False) if seen["latest"] is None else time < seen["latest"] - seconds
-        n, behind, latest = batch.agg(F.count("*"), F.count_if(late), F.max(time)).first()
-        seen["rows"], seen["late"] = seen["rows"] + n, seen["late"] + behind
-        if latest is not None:
-            seen["latest"] = latest if seen["latest"] is None else max(latest, seen["latest"])
-
-    return count, seen
-
-
 def enrich(windows: DataFrame, rules: DataFrame, class_col: str) -> DataFrame:
     """Windows with the rule of their class: stream with a small static table."""
     return windows.join(F.broadcast(rules), F.col(class_col) == F.col("rule_class"), "left")
 
 
-def confirm(windows: DataFrame, session: str, at: str, class_col: str, qualifies: str, key: str, needed: int | None = None, window_seconds: float | None = None) -> DataFrame:
+def confirm(windows: DataFrame, session: str, at: str, class_col: str, qualifies: str, key: str, needed: int | None = None, window_seconds: float | None = None, idle_minutes: int = 1440) -> DataFrame:
     """Repeat confirmation per session, its state a class, a count, a time and a flag.
 
     Rows of a batch are folded in event-time order; a batch's rows are taken as later than those of the
-    batches before it, as arrival order is.
+    batches before it, as arrival order is. A session's state is dropped after ``idle_minutes`` without a window by
+    the clock, which is over a streak's gap, so it only ends a streak that just fired.
     """
     limits = THRESHOLDS["repeat_detection"]
     needed = needed or limits["required_consecutive_detections"]
     how = Streaks(needed, window_seconds if window_seconds is not None else limits["window_seconds"])
 
     def step(group, pdfs, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(pdfs)).sort_values([at, key], kind="stable")
         open_, *kept = state.get if state.exists else (False, None, 0, 0.0, False)
         out, (name, n, last, fired) = how.run(tuple(kept) if open_ else how.start, np.zeros(len(rows)), rows["_at"].to_numpy(), rows[class_col].to_numpy(), rows[qualifies].to_numpy())
         state.update((name is not False, None if name is False else name, n, last, fired))
+        state.setTimeoutDuration(60_000 * idle_minutes)
         yield pd.DataFrame({"session_id": group[0], "key": rows[key], **out})
 
     kinds = {f.name: f.dataType.simpleString() for f in windows.schema}
     out = f"session_id {kinds[session]}, key {kinds[key]}, consecutive long, confirmed boolean, newly_confirmed boolean"
     time = F.col(at).cast("timestamp")
     cols = windows.select(session, key, class_col, F.coalesce(F.col(qualifies), F.lit(False)).alias(qualifies), time.alias(at), time.cast("double").alias("_at"))
-    return cols.groupBy(session).applyInPandasWithState(step, out, "open boolean, class string, n long, last double, fired boolean", "append", GroupStateTimeout.NoTimeout)
+    return cols.groupBy(session).applyInPandasWithState(step, out, "open boolean, class string, n long, last double, fired boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def session_counters(windows: DataFrame, session: str, at: str, idle: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
@@ -90,33 +79,20 @@ def timeline(events: DataFrame, at: str, bucket: str = "1 hour", late: str = "10
     return e.groupBy(F.window(at, bucket).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("bucket"), "n")
 
 
-def append_new(path: str, key: str, run: str = "0"):
-    """A ``foreachBatch`` sink that stores rows whose key isn't stored yet, each batch in a folder of its own.
-
-    A batch that is replayed replaces its own folder, so it is safe to repeat whether it failed or not.
-    """
+def store_batches(log: TableLog, table: str, name: str):
+    """A ``foreachBatch`` sink: each batch of the stream ``name`` is committed once, however often it is replayed."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.dropDuplicates([key])
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-            stored = spark.read.parquet(path)
-            if "batch" in stored.columns:
-                stored = stored.where(F.col("batch") != f"{run}-{number}")
-            rows = rows.join(stored.select(key), key, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{path}/batch={run}-{number}")
+        log.commit(f"{name}-{number:09d}", {table: batch})
 
     return write
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now, and read its result back."""
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/out")
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    """Run a stream over what is there now, and read its result back: all batches, or in 'complete' mode the last."""
+    log = TableLog(stream.sparkSession, f"{path}/out")
+    run_available(stream, f"{path}/state", store_batches(log, "rows", "batch"), mode)
+    folders = log.folders("rows")
+    if not folders:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(*(folders[-1:] if mode == "complete" else folders))

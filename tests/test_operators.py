@@ -199,16 +199,6 @@ def test_near_matches_equal_brute_force(spark):
         U.near_matches(df, "clip_id", "print", 0.6, 4)
 
 
-def test_late_rows_are_counted(spark):
-    from echotable.streaming import live as L
-
-    count, seen = L.lateness("at", 60)
-    batch = lambda *at: spark.createDataFrame([(f"2024-01-01 00:{m:02d}:00",) for m in at], "at string")
-    for k, rows in enumerate((batch(10, 12), batch(11, 5), batch(13, 11, 2))):
-        count(rows, k)
-    assert (seen["rows"], seen["late"]) == (7, 2)  # 11 is at the limit of 12, not behind it
-
-
 def test_covering_segments(spark):
     cases = {0: [], 50: [(0, 50)], 100: [(0, 100)], 250: [(0, 100), (75, 175), (150, 250)], 101: [(0, 100), (1, 101)]}
     df = spark.createDataFrame([(n,) for n in cases], "n long").withColumn("b", M.covering_bounds(F.col("n"), F.lit(100).cast("long")))
