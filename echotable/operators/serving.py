@@ -219,14 +219,6 @@ def retention_plan(files: DataFrame, events: DataFrame, alerts: DataFrame, revie
     return due.orderBy("created_at", "audio_key").limit(batch)
 
 
-def p95_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """Count, median, nearest-rank 95th percentile and maximum by group; the rank is rounded half up."""
-    order = Window.partitionBy(by).orderBy(value)
-    ranked = rows.withColumn("_i", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-    at = F.greatest(F.lit(1), F.floor(F.col("_n") * 0.95 + 0.5))
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"), F.max(F.when(F.col("_i") == at, F.col(value))).alias("p95"), F.max(value).alias("max"))
-
-
 def within_budget(rows: DataFrame, elapsed_ms: str, budget_sec: str) -> DataFrame:
     """``rows`` with ``within_budget`` and, where it isn't, ``budget_overrun_ms``; a missing budget is 0."""
     over = F.round(F.col(elapsed_ms) - F.coalesce(budget_sec, F.lit(0.0)) * 1000, 3)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from echotable.functions import scores as S
 from echotable.functions.config import SEVERITIES, STATUSES
 from echotable.operators import ordered as O
+from echotable.operators import select as X
 from echotable.operators import serving as V
 from echotable.sources import domain as D
 
@@ -122,6 +123,31 @@ def j19(spark, d):
     return V.latest(D.reviews(spark, d).select("event_id", "review_id", "queued_at"), "event_id", "queued_at", "review_id").select("event_id", "review_id")
 
 
+@query("j19_window_as_of", """SELECT l.event_id, r.event_id AS window_id FROM (SELECT * FROM events WHERE event_type = 'error') l ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'view' GROUP BY 1, 2) r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def j19_window(spark, d):
+    """The latest viewed window of its session before each error."""
+    e = D.table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    seen = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("window_id"), "ts")
+    return X.as_of(e.where("event_type = 'error'"), seen, ["user_id"], "ts", "ts", ["window_id"], "window_id").select("event_id", "window_id")
+
+
+@query("j19_alert_as_of", f"WITH {D.ALERTS} SELECT l.alert_id, r.alert_id AS resolved_alert FROM al l ASOF LEFT JOIN (SELECT source_key, resolved_at, max(alert_id) AS alert_id FROM al WHERE status = 'Resolved' GROUP BY 1, 2) r ON l.source_key = r.source_key AND l.created_at >= r.resolved_at")
+def j19_alert(spark, d):
+    """The source's latest alert that was resolved when each alert was raised."""
+    al = D.alerts(spark, d).select("alert_id", "source_key", "created_at", "resolved_at", "status")
+    known = al.where("status = 'Resolved' and resolved_at is not null").select("source_key", "resolved_at", F.col("alert_id").alias("resolved_alert"))
+    return X.as_of(al, known, ["source_key"], "created_at", "resolved_at", ["resolved_alert"], "resolved_alert").select("alert_id", "resolved_alert")
+
+
+@query("j19_review_as_of", f"""WITH {D.REVIEWS}, a AS (SELECT event_id, event_id % 700 AS k, {_NOW} - to_minutes(event_id % 200) AS at_ FROM events)
+SELECT a.event_id, r.review_id FROM a ASOF LEFT JOIN (SELECT event_id, queued_at, max(review_id) AS review_id FROM rv GROUP BY 1, 2) r ON a.k = r.event_id AND a.at_ >= r.queued_at""")
+def j19_review(spark, d):
+    """The latest review that an event had at the time it was looked at."""
+    looked = D.table(spark, d, "events").select("event_id", (F.col("event_id") % 700).alias("k"), (D.now() - F.make_dt_interval(mins=(F.col("event_id") % 200).cast("int"))).alias("at"))
+    known = D.reviews(spark, d).select(F.col("event_id").alias("k"), "queued_at", "review_id")
+    return X.as_of(looked, known, ["k"], "at", "queued_at", ["review_id"], "review_id").select("event_id", "review_id")
+
+
 @query("a1_counts", f"WITH {D.EVENTS} SELECT severity, consistency, class_name, count(*) AS n FROM ev WHERE created_at > {_NOW} - INTERVAL 240 HOUR AND created_at <= {_NOW} GROUP BY 1, 2, 3")
 def a1(spark, d):
     return V.since(D.sound_events(spark, d), D.now(), 240).groupBy("severity", "consistency", "class_name").agg(F.count("*").alias("n"))
@@ -199,8 +225,12 @@ def a12(spark, d):
 
 @query("a13_alert_response", f"WITH {D.ALERTS} SELECT severity, median(epoch(acknowledged_at) - epoch(created_at)) AS median_ack, median(epoch(resolved_at) - epoch(created_at)) AS median_resolve, count(*) FILTER (acknowledged_at IS NULL) AS unacknowledged FROM al GROUP BY 1")
 def a13(spark, d):
-    gap = lambda c: F.percentile(F.col(c).cast("timestamp").cast("double") - F.col("created_at").cast("timestamp").cast("double"), 0.5)
-    return D.alerts(spark, d).groupBy("severity").agg(gap("acknowledged_at").alias("median_ack"), gap("resolved_at").alias("median_resolve"), F.count_if(F.col("acknowledged_at").isNull()).alias("unacknowledged"))
+    sec = lambda c: F.col(c).cast("timestamp").cast("double")
+    al = D.alerts(spark, d).withColumns({"ack": sec("acknowledged_at") - sec("created_at"), "resolve": sec("resolved_at") - sec("created_at")})
+    out = al.groupBy("severity").agg(F.count_if(F.col("acknowledged_at").isNull()).alias("unacknowledged"))
+    for c in ("ack", "resolve"):
+        out = out.join(X.summary(al, "severity", c).select("severity", F.col("median").alias(f"median_{c}")), "severity", "left")
+    return out
 
 
 @query("a14_review_progress", f"WITH {D.REVIEWS} SELECT count(*) AS n, round(100.0 * count(*) FILTER (status = 'Decided') / count(*), 2) AS progress FROM rv")
@@ -241,7 +271,7 @@ def a16(spark, d):
 
 @query("a26_latency", "WITH r AS (SELECT event_type AS endpoint, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT endpoint, count(*) AS n, round(median(value), 4) AS median, max(value) FILTER (i = greatest(1, floor(n * 0.95 + 0.5))) AS p95, max(value) AS max FROM r GROUP BY 1")
 def a26(spark, d):
-    return V.p95_summary(D.table(spark, d, "events").select(F.col("event_type").alias("endpoint"), "value"), "endpoint", "value").withColumn("median", F.round("median", 4))
+    return X.summary(D.table(spark, d, "events").select(F.col("event_type").alias("endpoint"), "value"), "endpoint", "value").withColumn("median", F.round("median", 4))
 
 
 @query("a28_table_counts", "SELECT 'events' AS name, count(*) AS n FROM events UNION ALL SELECT 'orders', count(*) FROM orders UNION ALL SELECT 'labels', count(*) FROM labels")
