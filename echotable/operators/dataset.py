@@ -12,6 +12,11 @@ CLIP_ID = r"^SS-([A-Z]{3})-(\d{4})(?:S(\d+))?$"
 UPLOAD_ID = r"^SST-(\d{4}-\d{2}-\d{2})-\d{6}$"
 ENVIRONMENTS = ("indoor", "outdoor", "vehicle", "studio", "synthetic", "unspecified")
 DISTANCES = ("near", "medium", "far", "n/a")
+# Datasets whose file names hold the id of the recording: start of the source's name, and where the id stands in the file's.
+RECORDING_IDS = (("UrbanSound8K", r"^(\d+)-"), ("ESC-50", r"^\d+-(\d+)-"))
+# Training cuts: a clip this much longer than a cut (seconds) gives whole ones, and another one this share of its length.
+CUT_SLACK_SEC = 0.3
+CUT_SHORT_SHARE = 0.8
 # End of fixed values.
 
 
@@ -101,14 +106,13 @@ def first_allowed(rows: DataFrame, key: str, labels: str, mapping: DataFrame) ->
 
 
 def source_group(source: Column, original: Column, freesound: Column, voice: Column, phrase: Column, audio_id: Column) -> Column:
-    """The recording that a clip came from, which the split keeps whole."""
-    none = lambda c: F.when(c != "", c)
-    free = none(F.split_part(F.coalesce(freesound, F.lit("")), F.lit("."), F.lit(1)))
-    us8k = F.when(source.startswith("UrbanSound8K"), none(F.regexp_extract(original, r"^(\d+)-", 1)))
-    esc = F.when(source.startswith("ESC-50"), none(F.regexp_extract(original, r"^\d+-(\d+)-", 1)))
-    words = F.array_join(F.filter(F.split(F.regexp_replace(F.lower(phrase), "[^a-z ]", ""), " "), lambda w: w != ""), " ")
-    tts = F.when((voice != "") & (phrase != ""), F.concat(F.lit("tts:"), voice, F.lit(":"), words))
-    return F.coalesce(F.concat(F.lit("freesound:"), F.coalesce(us8k, esc, F.when(F.lower(free) != "nan", free))), tts, F.concat(F.lit("clip:"), audio_id))
+    """The recording that a clip came from, which the split keeps whole; synthetic speech goes by voice and words, any other clip alone."""
+    filled = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
+    ids = [F.when(source.startswith(name), filled(F.regexp_extract(original, pattern, 1))) for name, pattern in RECORDING_IDS]
+    stated = filled(F.substring_index(freesound, ".", 1))
+    words = F.array_join(F.array_compact(F.transform(F.split(F.regexp_replace(F.lower(phrase), "[^a-z ]", ""), " "), filled)), " ")
+    spoken = F.when(filled(phrase).isNotNull(), F.concat(F.lit("tts:"), filled(voice), F.lit(":"), words))
+    return F.coalesce(F.concat(F.lit("freesound:"), F.coalesce(*ids, F.when(F.lower(stated) != "nan", stated))), spoken, F.concat(F.lit("clip:"), audio_id))
 
 
 def folds(rows: DataFrame, group: str, class_col: str, k: int, seed: int = 42) -> DataFrame:
@@ -265,17 +269,19 @@ def covering_bounds(n_samples: Column, length: Column) -> Column:
     return F.when(n_samples <= 0, F.slice(whole, 1, 0)).when(n_samples <= length, whole).otherwise(spread)
 
 
-def fraction_cuts(clips: DataFrame, fractions: tuple[float, ...], length: float, shortest: float) -> DataFrame:
-    """Training segments of clips, cut at fixed fractions of their length, with the lineage of their parent.
+def fraction_cuts(clips: DataFrame, fractions: tuple[float, ...], length: float, shortest: float, slack: float = CUT_SLACK_SEC, share: float = CUT_SHORT_SHARE) -> DataFrame:
+    """Training cuts of clips, numbered in the order of ``fractions``, with their parent's lineage and other columns.
 
-    A clip hardly longer than a segment gives shorter ones; equal starts count once. Other columns are inherited.
+    A cut begins at its fraction of the clip, or where the last whole one would; two of one start are one. It is ``length``
+    long, or ``share`` of a clip that has not ``slack`` seconds more than that, but ``shortest`` at least.
     """
-    sec = F.col("duration_sec")
-    take = F.when(sec >= length + 0.3, F.lit(length)).otherwise(F.greatest(F.lit(shortest), sec * 0.8))
-    starts = F.array_distinct(F.array(*[F.round(F.greatest(F.lit(0.0), F.least(f * sec, sec - take)), 3) for f in fractions]))
-    rows = clips.withColumn("take", take).select("*", F.posexplode(starts).alias("nth", "segment_start_sec"))
-    inherited = [c for c in clips.columns if c not in ("audio_id", "parent_audio_id", "role", "duration_sec", "segment_start_sec", "segment_end_sec")]
-    return rows.select(
-        F.concat("audio_id", F.lit("S"), (F.col("nth") + 1).cast("string")).alias("audio_id"), F.col("audio_id").alias("parent_audio_id"), F.lit("augmented").alias("role"),
-        F.round("take", 3).alias("duration_sec"), "segment_start_sec", F.round(F.col("segment_start_sec") + F.col("take"), 3).alias("segment_end_sec"), *inherited,
-    )
+    whole = F.col("duration_sec")
+    size = F.when(whole - length < slack - 1e-12, F.greatest(whole * share, F.lit(shortest))).otherwise(F.lit(length))
+    cut = clips.withColumn("_size", size).withColumn("_last", F.greatest(whole - F.col("_size"), F.lit(0.0)))
+    begin = F.transform(F.array(*[F.lit(float(f)) for f in fractions]), lambda f: F.round(F.when(f * whole < F.col("_last"), f * whole).otherwise(F.col("_last")), 3))
+    cut = cut.select("*", F.posexplode(F.array_distinct(begin)).alias("_nth", "_begin"))
+    own = {
+        "audio_id": F.format_string("%sS%d", F.col("audio_id"), F.col("_nth") + 1), "parent_audio_id": F.col("audio_id"), "role": F.lit("augmented"), "duration_sec": F.round("_size", 3),
+        "segment_start_sec": F.col("_begin"), "segment_end_sec": F.round(F.col("_begin") + F.col("_size"), 3),
+    }
+    return cut.select(*[c.alias(name) for name, c in own.items()], *[c for c in clips.columns if c not in own])

@@ -252,9 +252,20 @@ def model_table(spark, d):
     return C.model_table(_two_models(spark, d)).select("model", "split", "clips", *_r("accuracy", "critical_recall"))
 
 
-@query("e11_comparable", "SELECT 2 AS models, true AS ok, '' AS reason FROM (SELECT 1)")
+@query("e11_comparable", f"""WITH {D.SCORES}, m AS (SELECT 'same' AS "set", 'python' AS model, event_id FROM cp UNION ALL SELECT 'same', 'gtm', event_id FROM cp
+UNION ALL SELECT 'fewer', 'python', event_id FROM cp UNION ALL SELECT 'fewer', 'gtm', event_id FROM cp WHERE event_id % 2 = 0 UNION ALL SELECT 'other', 'python', event_id FROM cp UNION ALL SELECT 'other', 'gtm', event_id + 1 FROM cp),
+t AS (SELECT "set", model, count(*) AS clips, list(event_id ORDER BY event_id) AS ids FROM m GROUP BY 1, 2)
+SELECT "set", count(*) AS models, count(DISTINCT ids) = 1 AS ok, CASE WHEN count(DISTINCT clips) > 1 THEN 'row counts differ' WHEN count(DISTINCT ids) > 1 THEN 'clips differ' ELSE '' END AS reason FROM t GROUP BY 1""")
 def models_comparable(spark, d):
-    return C.comparable(C.model_table(_two_models(spark, d)))
+    """Two models on the same clips, one of them on half of them, and one on as many others."""
+    r = _two_models(spark, d)
+    gtm = F.col("model") == "gtm"
+    sets = {"same": r, "fewer": r.where(~gtm | (F.col("audio_id") % 2 == 0)), "other": r.withColumn("audio_id", F.col("audio_id") + gtm.cast("int"))}
+    out = None
+    for name, rows in sets.items():
+        one = C.comparable(C.model_table(rows)).withColumn("set", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("e14_agreement_figures", f"""WITH {D.SCORES} SELECT count(*) AS n, round(avg((python_class = actual)::INT), 4) AS python_accuracy, round(avg((gtm_class = actual)::INT), 4) AS gtm_accuracy, round(avg(agree::INT), 4) AS agreement_rate,
