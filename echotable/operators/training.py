@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, StringIndexer
@@ -48,3 +50,39 @@ def rank_candidates(trials: DataFrame, family: str, score: str, cost: str, criti
     some = F.max(ok.cast("int")).over(Window.partitionBy(family)) == 1
     order = Window.partitionBy(family).orderBy(F.when(some, ok.cast("int")).otherwise(1).desc(), F.desc(F.round(F.col(score) / bin_width)), cost)
     return trials.withColumn("eligible", ok).withColumn("_some", some).withColumn("place", F.row_number().over(order)).drop("_some")
+
+
+def member_subsets(rows: DataFrame, members: list[str], actual: str, classes: list[str]) -> DataFrame:
+    """``(mask, size, clips, right, accuracy, place)`` of every subset of an ensemble's members; bit i of ``mask`` is member i.
+
+    ``members`` name columns of class scores in the order of ``classes``. A subset predicts the class of the largest sum of
+    scores, the first of equals. All subsets are scored in one pass: each sum is a smaller subset's plus one member. The best has
+    place 1; of equals the smaller subset, then the smaller mask. At most 12 members; rows with a null score or
+    an unknown class are left out; no rows: no subsets.
+    """
+    if not 1 <= len(members) <= 12:
+        raise ValueError("from 1 to 12 members")
+    subsets = 1 << len(members)
+
+    def run(pdfs):
+        right, clips = np.zeros(subsets, np.int64), 0
+        for pdf in pdfs:
+            if not len(pdf):
+                continue
+            truth = pdf["_truth"].to_numpy()
+            sums = np.zeros((subsets, len(pdf), len(classes)))
+            for i, m in enumerate(members):
+                sums[1 << i : 2 << i] = sums[: 1 << i] + np.stack(pdf[m].to_numpy())
+            right += (sums.argmax(2) == truth).sum(1)
+            clips += len(pdf)
+        yield pd.DataFrame({"mask": np.arange(1, subsets), "right": right[1:], "clips": clips})
+
+    known = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(actual))
+    usable = rows.where(known > 0)
+    for m in members:
+        usable = usable.where((F.size(m) == len(classes)) & ~F.exists(m, lambda x: x.isNull()))
+    usable = usable.select(*[F.transform(m, lambda x: x.cast("double")).alias(m) for m in members], (known - 1).alias("_truth"))
+    total = usable.mapInPandas(run, "mask long, right long, clips long").groupBy("mask").agg(F.sum("right").alias("right"), F.sum("clips").alias("clips")).where("clips > 0")
+    total = total.select("mask", F.bit_count("mask").alias("size"), "clips", "right", (F.col("right") / F.col("clips")).alias("accuracy"))
+    place = F.row_number().over(Window.orderBy(F.desc("right"), "size", "mask"))  # at most 4,095 rows
+    return total.withColumn("place", place)

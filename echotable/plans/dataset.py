@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from echotable.operators import dataset as M
 from echotable.operators import duplicates as U
+from echotable.operators import folds as K
 from echotable.operators import split as P
 from echotable.sources import domain as D
 
@@ -184,6 +185,13 @@ def w17(spark, d):
     return M.folds(D.manifest(spark, d), "author", "class_label", 5).groupBy("fold").agg(F.count("*").alias("n"), F.count_distinct("author").alias("authors"))
 
 
+@query("w17_stratified_folds")
+def w17_stratified(spark, d):
+    """Clips of each class and fold, groups being authors' recordings of one source."""
+    m = D.manifest(spark, d).withColumn("group", F.concat_ws("/", "author", "source_group"))
+    return K.stratified_folds(m, "group", "class_label", 5).groupBy("fold", "class_label").agg(F.count("*").alias("n"), F.count_distinct("group").alias("groups"))
+
+
 @query("a25_split_counts", f"""{_QUOTA_SPLIT} SELECT class_label, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test, true AS ok FROM w WHERE role = 'original' GROUP BY 1""")
 def a25(spark, d):
     return P.split_counts(w18_quota(spark, d), tolerance=0)

@@ -245,6 +245,21 @@ def v13(spark, d):
     return T.predict_linear(T.fit_linear(train, "embedding", "label", max_iter=10), v.where("vec_id % 10 = 0"), "embedding").select("vec_id", "label", "predicted")
 
 
+_MEMBERS = ", ".join(f"list_transform(embedding[{10 * i + 1}:{10 * i + 10}], lambda x: x::DOUBLE) AS m{i}" for i in range(4))
+_SUM = " + ".join(f"CASE WHEN mask & {1 << i} > 0 THEN m{i}[c] ELSE 0 END" for i in range(4))
+
+
+@query("v13_member_subsets", f"""WITH m AS (SELECT vec_id, label, {_MEMBERS} FROM embeddings WHERE len(embedding) = 64 AND label BETWEEN 0 AND 9),
+s AS (SELECT vec_id, label, mask, list_transform(range(1, 11), lambda c: {_SUM}) AS s FROM m, (SELECT unnest(range(1, 16)) AS mask)),
+g AS (SELECT mask, count(*) AS clips, count(*) FILTER (list_position(s, list_max(s)) - 1 = label) AS "right" FROM s GROUP BY 1)
+SELECT mask, bit_count(mask)::INT AS size, clips, "right", round("right" / clips, 6) AS accuracy, row_number() OVER (ORDER BY "right" DESC, bit_count(mask), mask) AS place FROM g""")
+def v13_subsets(spark, d):
+    """Four members, each ten elements of a vector taken as its scores."""
+    v = D.table(spark, d, "embeddings").where("size(embedding) = 64 and label between 0 and 9")
+    v = v.select(F.col("label").cast("string").alias("label"), *[F.slice("embedding", 10 * i + 1, 10).alias(f"m{i}") for i in range(4)])
+    return T.member_subsets(v, [f"m{i}" for i in range(4)], "label", [str(i) for i in range(10)]).withColumn("accuracy", F.round("accuracy", 6))
+
+
 @query("w19_candidate_ranking", """WITH t AS (SELECT event_type AS family, user_id, round(avg(value) / 100, 6) AS score, count(*) AS cost, round(avg((value > 30)::INT), 6) AS recall FROM events GROUP BY 1, 2),
 e AS (SELECT *, recall >= 0.5 AS eligible, max((recall >= 0.5)::INT) OVER (PARTITION BY family) = 1 AS any_ok FROM t)
 SELECT family, user_id, eligible FROM (SELECT *, row_number() OVER (PARTITION BY family ORDER BY CASE WHEN any_ok THEN eligible::INT ELSE 1 END DESC, round(score / 0.005) DESC, cost, user_id) AS place FROM e) WHERE place <= 3""")

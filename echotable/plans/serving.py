@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from echotable.functions import scores as S
 from echotable.functions.config import SEVERITIES, STATUSES
+from echotable.operators import decisions as Y
 from echotable.operators import ordered as O
 from echotable.operators import select as X
 from echotable.operators import serving as V
@@ -384,6 +385,43 @@ def w22(spark, d):
     return D.reviews(spark, d).groupBy("event_id").agg(first.alias("decision"), F.count("*").alias("n"))
 
 
+_ACTIONS = """ac AS (SELECT doc_id * 3 + n AS action_id, doc_id AS review_id, make_timestamp((1704067200 + (doc_id * 7 + n * 5) % 11)::BIGINT * 1000000) AS at_, ['confirm', 'override', 'reject', 'later'][(doc_id + n) % 4 + 1] AS decision,
+  CASE WHEN (doc_id + n) % 3 > 0 THEN 'seen' ELSE ' ' END AS comments, ['en', 'de', 'xx', ''][(doc_id // 2 + n) % 4 + 1] AS final_class, CASE WHEN (doc_id + n) % 7 = 0 THEN 'Huge' END AS final_severity FROM labels, (SELECT unnest(range(3)) AS n))"""
+_APPLIED = f"""{_ACTIONS}, fa AS (SELECT ac.*, quality = 1 AS done, CASE WHEN decision = 'later' THEN 'unknown_decision' WHEN decision IN ('override', 'reject') AND trim(comments) = '' THEN 'comments_required'
+  WHEN decision = 'override' AND final_class = '' THEN 'final_class_required' WHEN decision = 'override' AND final_class NOT IN ('en', 'de', 'fr', 'es', 'it') THEN 'unknown_class' WHEN final_severity IS NOT NULL THEN 'unknown_severity' END AS fault FROM ac JOIN labels ON doc_id = review_id),
+ap AS (SELECT *, CASE WHEN done THEN 'already_decided' WHEN nth_good > 1 OR (nth_good = 1 AND fault IS NOT NULL) THEN 'already_decided' WHEN fault IS NOT NULL THEN fault END AS error
+  FROM (SELECT *, count(*) FILTER (fault IS NULL) OVER (PARTITION BY review_id ORDER BY at_, action_id) AS nth_good FROM fa))"""
+
+
+def _applied(spark, d):
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), (at % len(names) + 1).cast("int"))
+    a = D.table(spark, d, "labels").select(F.col("doc_id").alias("review_id"), F.explode(F.array(*map(F.lit, range(3)))).alias("n"))
+    n = F.col("review_id") + F.col("n")
+    a = a.select(
+        (F.col("review_id") * 3 + F.col("n")).alias("action_id"), "review_id", F.timestamp_seconds(1704067200 + (F.col("review_id") * 7 + F.col("n") * 5) % 11).alias("at"), pick(("confirm", "override", "reject", "later"), n).alias("decision"),
+        F.when(n % 3 > 0, "seen").otherwise(" ").alias("comments"), pick(("en", "de", "xx", ""), F.floor(F.col("review_id") / 2) + F.col("n")).alias("final_class"), F.when(n % 7 == 0, "Huge").alias("final_severity"), F.lit(False).alias("false_alarm"),
+    )
+    r = D.reviews(spark, d).select("review_id", "event_id", "original_class", F.when(F.col("status") == "Decided", "Reviewed").otherwise(F.col("status")).alias("status"))
+    return r, Y.apply_decisions(a, r, classes=("en", "de", "fr", "es", "it"))
+
+
+@query("w22_requests", f"WITH {_APPLIED} SELECT action_id, error FROM ap")
+def w22_requests(spark, d):
+    return _applied(spark, d)[1].select("action_id", "error")
+
+
+@query("w22_review_decisions", f"""WITH {D.REVIEWS}, {_APPLIED} SELECT rv.review_id, CASE WHEN rv.status = 'Decided' OR a.decision IS NOT NULL THEN 'Reviewed' ELSE rv.status END AS status, a.decision,
+  CASE a.decision WHEN 'confirm' THEN original_class ELSE nullif(a.final_class, '') END AS final_class, a.decision = 'reject' AS false_alarm FROM rv LEFT JOIN (SELECT * FROM ap WHERE error IS NULL) a USING (review_id)""")
+def w22_decided(spark, d):
+    return Y.decided(*_applied(spark, d)).select("review_id", "status", "decision", "final_class", "false_alarm")
+
+
+@query("w22_cleared_events", f"""WITH {D.EVENTS}, {D.REVIEWS}, {_APPLIED} SELECT event_id, review_required AND event_id NOT IN (SELECT event_id FROM rv LEFT JOIN ap ON ap.review_id = rv.review_id AND error IS NULL WHERE rv.status = 'Decided' OR ap.review_id IS NOT NULL) AS requires_manual_review FROM ev""")
+def w22_cleared(spark, d):
+    e = D.sound_events(spark, d).select("event_id", F.col("review_required").alias("requires_manual_review"))
+    return Y.cleared(e, Y.decided(*_applied(spark, d)))
+
+
 @query("j17_retention_plan", f"""WITH {D.EVENTS}, {D.ALERTS}, {D.REVIEWS}, hold AS (SELECT event_id FROM rv WHERE status = 'Pending Review' UNION SELECT alert_id FROM al WHERE status IN ('New', 'Acknowledged')),
 e AS (SELECT event_id, event_id // 2 AS audio_key, severity, created_at FROM ev), k AS (SELECT audio_key, max(CASE WHEN severity = 'Critical' THEN 730 ELSE 180 END) AS keep_days FROM e GROUP BY 1),
 f AS (SELECT audio_key, min(created_at) AS created_at, bool_or(event_id % 101 = 0) AS flagged FROM e GROUP BY 1)
