@@ -15,11 +15,10 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from echotable.llm.hashing import mix
 from echotable.llm.storage import Scratch, bounded_batches
-from echotable.llm.tables import add_arrays
+from echotable.llm.tables import add_arrays, map_in_arrow
 
 _LETTER = regex.compile(r"\p{L}")
 _SLOT = np.random.default_rng(7).integers(0, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -165,12 +164,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = keep.index(text_col)
-    frame = docs.select(*keep)
-    schema = T.StructType([*frame.schema.fields]).add("lang_pred", "string").add("score", "double")
+    frame = docs.select(*[F.col(f"`{c}`") for c in keep])
 
-    def run(batches):
-        for batch in batches:
-            names, sure = shared.value.predict(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], [*keep, "lang_pred", "score"])
+    def run(batch):
+        names, sure = shared.value.predict(batch.column(at).to_pylist())
+        yield [*batch.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())]
 
-    return frame.mapInArrow(run, schema)
+    return map_in_arrow(frame, run, [("lang_pred", "string"), ("score", "double")])

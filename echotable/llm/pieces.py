@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from echotable.llm.storage import Scratch
-from echotable.llm.tables import free_names
+from echotable.llm.tables import free_names, map_in_arrow
 
 SPACE = "▁"
 #: Characters of a chunk; a longer text is giant. Words, and pairs of pieces, that a worker remembers.
@@ -430,16 +430,15 @@ def _trace_all(path: str):
     return run
 
 
-def _add_ids(path: str, column: int, names: list[str]):
-    def run(batches):
+def _add_ids(path: str, column: int):
+    def run(batch):
         m = model(path)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                ids = [m.packed(t) for t in part.column(column).to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)]) // 4
-                flat = np.frombuffer(b"".join(ids), np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], [*names, "ids"])
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            ids = [m.packed(t) for t in part.column(column).to_pylist()]
+            ends = np.cumsum([0, *map(len, ids)]) // 4
+            flat = np.frombuffer(b"".join(ids), np.int32)
+            yield [*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
 
     return run
 
@@ -454,8 +453,7 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
     size = F.coalesce(F.char_length(text_col), F.lit(0))
     short = rows.where(size <= CHUNK)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    done = short.mapInArrow(_add_ids(path, keep.index(text_col), keep), ", ".join([*kinds, "ids array<int>"]))
+    done = map_in_arrow(short, _add_ids(path, keep.index(text_col)), [("ids", "array<int>")])
 
     scratch = Scratch(docs.sparkSession, "pieces")
     (number, found) = free_names(rows, "row", "ids")
@@ -474,15 +472,12 @@ def decode(rows: DataFrame, ids_col: str = "ids", path: str | None = None) -> Da
     path = path or public_tokenizers.path("piece_bpe_32k.model")
 
     keep = [c for c in rows.columns if c != "decoded"]
-    frame, column = rows.select(*keep), keep.index(ids_col)
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema]
+    frame, column = rows.select(*[F.col(f"`{c}`") for c in keep]), keep.index(ids_col)
 
-    def run(batches):
+    def run(batch):
         m = model(path)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                texts = [m.decode(x or ()) for x in part.column(column).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*keep, "decoded"])
+        for lo in range(0, batch.num_rows, 1024):
+            part = batch.slice(lo, 1024)
+            yield [*part.columns, pa.array([m.decode(x or ()) for x in part.column(column).to_pylist()], pa.string())]
 
-    return frame.mapInArrow(run, ", ".join([*kinds, "decoded string"]))
+    return map_in_arrow(frame, run, [("decoded", "string")])

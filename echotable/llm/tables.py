@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,23 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def map_in_arrow(rows: DataFrame, run, more: list[tuple[str, str]]) -> DataFrame:
+    """``rows`` with the columns ``more`` (name, type), made by ``run`` from batches of arrays: it yields the arrays of both.
+
+    Columns go by plain names on the way, as Spark takes a dot in a name for a field.
+    """
+    names = [f"c{i}" for i in range(len(rows.columns) + len(more))]
+    kinds = [f.dataType.simpleString() for f in rows.schema] + [kind for _, kind in more]
+
+    def plain(batches):
+        for batch in batches:
+            for arrays in run(batch):
+                yield pa.RecordBatch.from_arrays(arrays, names)
+
+    out = rows.toDF(*names[: len(rows.columns)]).mapInArrow(plain, ", ".join(f"{n} {k}" for n, k in zip(names, kinds)))
+    return out.toDF(*rows.columns, *[name for name, _ in more])
+
+
 def hits(rows: DataFrame, id_col: str, ids: DataFrame, flag: str = "hit", bits: int = 24) -> DataFrame:
     """``rows`` with the column ``flag``, which ``rows`` must not have: false only where the id isn't in the one column of ``ids``.
 

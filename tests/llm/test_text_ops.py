@@ -323,3 +323,43 @@ def test_matrices_combine_in_any_order():
         came = np.array([fold.get(tuple(e), -np.inf) for e in x["lefts"]])
         fold = dict(zip(map(tuple, x["rights"]), (came[:, None] + a).max(0)))
     assert {e: v for e, v in zip(rights, w[0])} == fold
+
+
+def test_line_dedup_finds_lines_on_both_sides_of_every_length_rule(spark):
+    rng = random.Random(1)
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
+    pairs = []
+    for size in (250, 250, 250, 230, 300):  # one inserted word takes many of them over the length at which rarity changes
+        for _ in range(12):
+            w = []
+            while len(" ".join(w)) < size:
+                w.append(word(3, 8))
+            w = " ".join(w)[:size].split()
+            k = rng.randrange(len(w))
+            pairs.append((" ".join(w), " ".join(w[:k] + [word(11, 11)] + w[k:])))
+    found = {(r.first_doc, r.doc) for r in lines.repeated_lines(frame(spark, list(enumerate(t for p in pairs for t in p)))).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(len(pairs))} <= found
+
+
+def test_line_dedup_finds_pairs_of_one_template(spark):
+    rng = random.Random(2)
+    word = lambda a, b: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(a, b)))
+    shared, pairs = [word(10, 12) for _ in range(5)], []
+    for _ in range(120):
+        own = [word(3, 5) for _ in range(12)]
+        a = shared[:3] + own[:6] + shared[3:] + own[6:]
+        b = list(a)
+        b[rng.choice([3, 4, 5, 6, 7, 12, 13])] = word(3, 5)
+        pairs.append((" ".join(a), " ".join(b)))
+    found = {(r.first_doc, r.doc) for r in lines.repeated_lines(frame(spark, list(enumerate(t for p in pairs for t in p)))).collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
+
+
+def test_column_names_with_dots(spark):
+    from echotable.llm import curate
+
+    docs = spark.createDataFrame([(i, f"some plain words of text number {i} and a line\nanother line {i}", "en", "s", 9, i) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long, `a.b` long")
+    for stage in (curate.language_stage, curate.line_stage, curate.near_duplicate_stage, curate.privacy_stage):
+        assert stage(docs).columns == docs.columns
+    ids = pieces.encode(docs)
+    assert pieces.decode(ids).columns == [*ids.columns, "decoded"]
