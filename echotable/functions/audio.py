@@ -29,6 +29,17 @@ def read_wav(data: bytes) -> tuple[int, int, int, float, np.ndarray]:
     return rate, channels, 8 * width, n / rate if rate else 0.0, x.reshape(-1, channels).mean(1).astype(np.float32)
 
 
+def write_wav(x: np.ndarray, rate: int) -> bytes:
+    """Mono samples within full scale as 16-bit PCM WAV bytes."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes((np.clip(x, -1, 1) * 32767).round().astype("<i2").tobytes())
+    return out.getvalue()
+
+
 def frame_power(x: np.ndarray, size: int, hop: int) -> np.ndarray:
     """Power spectra of Hann frames; a short clip is one padded frame."""
     x = np.pad(x, (0, max(0, size - len(x))))

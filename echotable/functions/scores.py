@@ -143,6 +143,12 @@ def iso_utc(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
 
 
+def from_iso(text: Column) -> Column:
+    """The moment of an ISO-8601 text; one without a zone is UTC, whatever the session's zone. Null for another form."""
+    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    return F.try_to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))))
+
+
 def order_key(salt: Column | str, value: Column) -> Column:
     """Hash order that any engine reproduces."""
     return F.sha2(F.concat_ws("|", F.lit(salt) if isinstance(salt, str) else salt, value.cast("string")), 256)

@@ -31,6 +31,16 @@ def decode_wav(files: DataFrame, path: str = "path", content: str = "content") -
     return files.select(path, content).mapInPandas(run, "path string, rate long, channels long, bits long, duration_sec double, samples array<float>, error string")
 
 
+def encode_wav(clips: DataFrame, samples: str = "samples", rate: str = "rate") -> DataFrame:
+    """``clips`` with ``content``: their samples as 16-bit WAV bytes; null samples give null."""
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else A.write_wav(np.asarray(v, np.float64), int(k)) for v, k in zip(x, r)], dtype=object)
+
+    return clips.withColumn("content", run(samples, rate))
+
+
 def measure(clips: DataFrame, samples: str = "samples", rate: str = "rate") -> DataFrame:
     """``clips`` with measurements and verdict; null samples are an empty clip."""
 

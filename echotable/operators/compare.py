@@ -106,6 +106,14 @@ def apply_rules(events: DataFrame, rules: DataFrame, class_col: str = "python_cl
     return out.select(*events.columns, "event_severity", "escalation_id", "alert_eligible", "failed_gates")
 
 
+def with_rule(events: DataFrame, rules: DataFrame, class_col: str = "python_class") -> DataFrame:
+    """``events`` with the effective rule of their class as a struct ``rule``; a class without one is an error."""
+    named = rules.select(F.col("rule_class"), F.struct(*[c for c in rules.columns if c != "rule_class"]).alias("rule"))
+    fault = F.raise_error(F.concat(F.lit("no rule for class "), F.coalesce(F.col(class_col), F.lit("null"))))
+    j = events.join(F.broadcast(named), F.col(class_col) == F.col("rule_class"), "left")
+    return j.withColumn("rule", F.when(F.col("rule_class").isNull(), fault.cast(named.schema["rule"].dataType)).otherwise(F.col("rule"))).drop("rule_class")
+
+
 def review(events: DataFrame, conditions=REVIEW_CONDITIONS, thresholds=THRESHOLDS, classes=CLASSES, critical=CRITICAL_CLASSES) -> DataFrame:
     """``review_ids``, ``review_priority`` and ``review_required`` of compared events."""
     floor = thresholds["confidence"]["min_confidence"]

@@ -43,6 +43,14 @@ def confirm_repeats(rows: DataFrame, session: str, at: str, class_col: str, qual
     return scan.fold(told, session, at, tie, how, [class_col, "_ok"], "consecutive long, confirmed boolean, newly_confirmed boolean", part_rows).drop("_ok")
 
 
+def sustained(rows: DataFrame, session: str, at: str, class_col: str, tie: str) -> DataFrame:
+    """``rows`` with ``sustained_seconds``: how long their class has been on top of the session without a break."""
+    order = Window.partitionBy(session).orderBy(at, tie)
+    new = F.coalesce(~F.col(class_col).eqNullSafe(F.lag(class_col).over(order)), F.lit(True)) | (F.row_number().over(order) == 1)
+    since = F.max(F.when(F.col("_new"), _seconds(at))).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_new", new).withColumn("sustained_seconds", _seconds(at) - since).drop("_new")
+
+
 def outages(probes: DataFrame, by: str, at: str, up: str) -> DataFrame:
     """Runs of failed probes, one still open included: ``(by, started_at, ended_at, length)``."""
     return islands(probes, [by], at, up, at).where(~F.col(up)).drop(up)

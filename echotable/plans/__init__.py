@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from echotable.plans import compare, dataset, live, serving
+from echotable.plans import compare, dataset, files, live, serving
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (compare, serving, dataset, live):
+for _module in (compare, serving, dataset, live, files):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
