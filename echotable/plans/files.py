@@ -9,6 +9,7 @@ from echotable.functions.config import EXPORT_COLUMNS, RETENTION_BY_SEVERITY, RE
 from echotable.operators import audio as W
 from echotable.operators import compare as C
 from echotable.operators import ordered as O
+from echotable.operators import search as R
 from echotable.operators import serving as V
 from echotable.operators import split as P
 from echotable.plans import compare, dataset, live
@@ -94,6 +95,22 @@ def snk3(spark, d):
     return spark.read.csv(f"{at}/rows", header=True).crossJoin(F.broadcast(summary))  # one row
 
 
+_SOUGHT = ("reference number", "Anthe", "é", "no such text anywhere", "src1")
+
+
+@query("f4_indexed_text", " UNION ALL ".join(f"SELECT '{t}' AS sought, doc_id FROM documents WHERE text ILIKE '%{t}%' OR source ILIKE '%{t}%' OR lang ILIKE '%{t}%'" for t in _SOUGHT))
+def f4_indexed(spark, d):
+    """Free texts in three columns, found through one trigram index."""
+    at, columns = fresh_folder(spark, "trigrams"), ["text", "source", "lang"]
+    rows = D.table(spark, d, "documents").select("doc_id", *columns)
+    R.build(rows, "doc_id", columns, at)
+    out = None
+    for t in _SOUGHT:
+        found = R.containing(rows, "doc_id", columns, t, at).select(F.lit(t).alias("sought"), "doc_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("j5_effective_rules", f"WITH {D.SCORES}, ru AS ({compare._RULES_SQL}) SELECT event_id, rule_severity AS severity, min_confidence::DOUBLE AS min_confidence, min_quality FROM cp JOIN ru ON python_class = rule_class")
 def j5(spark, d):
     j = C.with_rule(compare._compared(spark, d), C.rules_frame(spark))
