@@ -239,8 +239,8 @@ def loudest_windows(x: np.ndarray, size: int, count: int) -> list[int]:
     return out
 
 
-def augment(x: np.ndarray, rate: int, recipe: str, seed: int) -> np.ndarray:
-    """One recipe, the same for the same seed; the result stays within full scale."""
+def augment(x: np.ndarray, rate: int, recipe: str, seed: int, other: np.ndarray | None = None) -> np.ndarray:
+    """One recipe, the same for the same seed; the result stays within full scale. ``overlay`` lays ``other`` under the clip, repeated or cut to its length, 5 to 20 dB quieter."""
     rng = np.random.default_rng(seed)
     x = x.astype(np.float64)
     level = np.sqrt((x**2).mean()) if len(x) else 0.0
@@ -248,6 +248,11 @@ def augment(x: np.ndarray, rate: int, recipe: str, seed: int) -> np.ndarray:
         spectrum = np.fft.rfft(rng.standard_normal(len(x)))
         pink = np.fft.irfft(spectrum / np.sqrt(np.maximum(np.fft.rfftfreq(len(x)), 1 / max(1, len(x)))), len(x))
         y = x + pink / max(np.sqrt((pink**2).mean()), 1e-12) * level / 10 ** (rng.uniform(5, 20) / 20)
+    elif recipe == "overlay":
+        if other is None or not len(other):
+            raise ValueError("overlay needs another clip")
+        under = np.resize(np.roll(other.astype(np.float64), int(rng.integers(0, len(other)))), len(x))
+        y = x + under / max(np.sqrt((under**2).mean()), 1e-12) * level / 10 ** (rng.uniform(5, 20) / 20)
     elif recipe == "shift":
         y = np.roll(x, int(rng.integers(-len(x) // 4, len(x) // 4 + 1)))
     elif recipe == "volume":

@@ -135,14 +135,16 @@ def confirm_pairs(pairs: DataFrame, a: str, b: str, rate: str, least: float = TH
     return pairs.withColumn("match", run(a, b, rate)).withColumn("confirmed", F.col("match") >= least)
 
 
-def augmented(plan: DataFrame, samples: str = "samples", rate: str = "rate") -> DataFrame:
-    """Rows of an augmentation plan (recipe, seed) with the recipe applied to their samples."""
+def augmented(plan: DataFrame, samples: str = "samples", rate: str = "rate", under: str | None = None) -> DataFrame:
+    """Rows of an augmentation plan (recipe, seed) with the recipe applied to their samples; ``under`` names the samples that an overlay lays below them."""
 
     @F.pandas_udf("array<float>")
-    def run(x: pd.Series, r: pd.Series, recipe: pd.Series, seed: pd.Series) -> pd.Series:
-        return pd.Series([A.augment(np.asarray(v, np.float32), int(k), n, int(s)) for v, k, n, s in zip(x, r, recipe, seed)])
+    def run(x: pd.Series, r: pd.Series, recipe: pd.Series, seed: pd.Series, other: pd.Series) -> pd.Series:
+        clip = lambda v: None if v is None else np.asarray(v, np.float32)
+        return pd.Series([A.augment(clip(v), int(k), n, int(s), clip(o)) for v, k, n, s, o in zip(x, r, recipe, seed, other)])
 
-    return plan.withColumn(samples, run(samples, rate, "recipe", "seed"))
+    other = F.col(under) if under else F.lit(None).cast("array<float>")
+    return plan.withColumn(samples, run(samples, rate, "recipe", "seed", other))
 
 
 def loudest_windows(clips: DataFrame, samples: str, size: int, count: int) -> DataFrame:

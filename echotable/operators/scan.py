@@ -174,9 +174,12 @@ def fold(rows: DataFrame, by: str, at: str, tie: str, how, columns: list[str], r
     """
     tables = Tables(rows.sparkSession, "scan")
     seconds = F.col(at).cast("timestamp").cast("double")
-    rows = tables.save(rows.withColumn("_at", seconds))
     parts = min(PARTS, max(1, -(-rows.count() // part_rows)))
-    rows = tables.save(rows.repartitionByRange(parts, by, at, tie).withColumn("_part", F.spark_partition_id()))
+    rows = rows.withColumn("_at", seconds)
+    if parts > 1:
+        rows = tables.save(tables.save(rows).repartitionByRange(parts, by, at, tie).withColumn("_part", F.spark_partition_id()))
+    else:
+        rows = rows.withColumn("_part", F.lit(0))
 
     def arrays(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list]:
         pdf = pdf.sort_values([by, at, tie], kind="stable", na_position="first").reset_index(drop=True)
@@ -199,7 +202,7 @@ def fold(rows: DataFrame, by: str, at: str, tie: str, how, columns: list[str], r
 
     told = "part int, first binary, last binary, single boolean, told binary"
     narrow = rows.select(*dict.fromkeys([by, at, tie, "_at", *columns, "_part"]))
-    known = {r.part: r for r in narrow.groupBy("_part").applyInPandas(ends({}), told).collect()}
+    known = {r.part: r for r in narrow.groupBy("_part").applyInPandas(ends({}), told).collect()} if parts > 1 else {}
     given: dict[int, tuple] = {}
     while parts > 1:
         entry, state, last, left = {}, how.start, None, {p: pickle.loads(r.told) for p, r in known.items()}

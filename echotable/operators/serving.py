@@ -254,3 +254,24 @@ def snapshot(rows: DataFrame, columns: list[str], name: str = "snapshot") -> Dat
 def restored(rows: DataFrame, schema: str, name: str = "snapshot") -> DataFrame:
     """The reverse of ``snapshot``; a text that isn't JSON of the schema gives nulls."""
     return rows.withColumn(name, F.from_json(name, schema)).select(*[c for c in rows.columns if c != name], f"{name}.*")
+
+
+def newest(rows: DataFrame, n: int, at: str = "created_at", tie: str = "event_id") -> DataFrame:
+    """The ``n`` newest rows, newest first; of equal times the larger ``tie`` first. Every task keeps ``n`` of its own."""
+    return rows.orderBy(F.col(at).desc(), F.col(tie).desc()).limit(n)
+
+
+def alert_queue(alerts: DataFrame, status: str = "New", severities: list[str] | None = None, page: int = 1, size: int = 25) -> DataFrame:
+    """A page of alerts, newest first; ``status`` 'all' takes every one."""
+    rows = alerts if status == "all" else alerts.where(F.col("status") == status)
+    rows = rows.where(F.col("severity").isin(severities)) if severities else rows
+    return rows.orderBy(F.col("created_at").desc(), F.col("alert_id").desc()).offset((page - 1) * size).limit(size)
+
+
+def latest_detection(events: DataFrame, scores: DataFrame, alerts: DataFrame, top: int = 3) -> DataFrame:
+    """The newest event as one row, with the first ``top`` classes of each model in rank order and the status of its newest alert."""
+    one = newest(events, 1)
+    ranked = scores.where(F.col("rank") <= top).join(F.broadcast(one.select("event_id")), "event_id", "left_semi")
+    names = ranked.groupBy("event_id").pivot("model", ["python", "gtm"]).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "class_name"))), lambda x: x.class_name), ","))
+    last = alerts.join(F.broadcast(one.select("event_id")), "event_id", "left_semi").groupBy("event_id").agg(F.max_by("status", F.struct("created_at", "alert_id")).alias("alert_status"))
+    return one.join(names, "event_id", "left").join(last, "event_id", "left")

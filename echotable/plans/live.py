@@ -210,9 +210,10 @@ def j11_audio(spark, d):
 
 @query("v9_augmented")
 def v9(spark, d):
-    recipes = F.array(*[F.lit(x) for x in ("noise", "shift", "volume", "reverb", "distance", "device_band", "partial")])
-    plan = _clips(spark, d).withColumn("seed", F.col("clip_id")).withColumn("recipe", F.element_at(recipes, (F.col("clip_id") % 7 + 1).cast("int")))
-    return W.measure(W.augmented(plan)).select("clip_id", "recipe", F.round("peak_dbfs", 3).alias("peak_dbfs"))
+    recipes = F.array(*[F.lit(x) for x in ("noise", "shift", "volume", "reverb", "distance", "device_band", "partial", "overlay")])
+    plan = _clips(spark, d).withColumn("seed", F.col("clip_id")).withColumn("recipe", F.element_at(recipes, (F.col("clip_id") % 8 + 1).cast("int")))
+    below = F.transform("samples", lambda x, i: (F.sin(i * 0.05) * 0.2).cast("float"))
+    return W.measure(W.augmented(plan.withColumn("below", F.when(F.col("recipe") == "overlay", below)), under="below")).select("clip_id", "recipe", F.round("peak_dbfs", 3).alias("peak_dbfs"))
 
 
 @query("v10_loudest_windows")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from echotable.functions import scores as S
 from echotable.functions.config import SEVERITIES, STATUSES
+from echotable.operators import compare as C
 from echotable.operators import decisions as Y
 from echotable.operators import ordered as O
 from echotable.operators import select as X
@@ -291,6 +292,32 @@ def o3(spark, d):
     return V.page(D.sound_events(spark, d).where("critical_class"), "newest", 1, 12).select("event_id", "created_at")
 
 
+@query("o3_recent_events", f"WITH {D.EVENTS} SELECT event_id, severity FROM ev ORDER BY created_at DESC, event_id DESC LIMIT 8")
+def o3_events(spark, d):
+    return V.newest(D.sound_events(spark, d), 8).select("event_id", "severity")
+
+
+@query("o3_review_items", f"WITH {D.EVENTS} SELECT event_id, class_name FROM ev WHERE review_required ORDER BY created_at DESC, event_id DESC LIMIT 5")
+def o3_reviews(spark, d):
+    return V.newest(D.sound_events(spark, d).where("review_required"), 5).select("event_id", "class_name")
+
+
+@query("o3_latest_detection", f"""WITH {D.EVENTS}, {D.SCORES}, v AS (SELECT event_id, class_name, created_at FROM ev WHERE event_id IN (SELECT event_id FROM cp) ORDER BY created_at DESC, event_id DESC LIMIT 1),
+a AS (SELECT o_orderkey // 7 AS event_id, o_orderkey AS alert_id, o_orderdate AS at_, o_orderstatus AS status FROM orders)
+SELECT event_id, class_name, (SELECT string_agg(r.class_name, ',' ORDER BY rank) FROM rk r WHERE r.event_id = v.event_id AND model = 'python' AND rank <= 3) AS python, (SELECT string_agg(r.class_name, ',' ORDER BY rank) FROM rk r WHERE r.event_id = v.event_id AND model = 'gtm' AND rank <= 3) AS gtm,
+(SELECT max_by(status, (at_, alert_id)) FROM a WHERE a.event_id = v.event_id) AS alert_status FROM v""")
+def o3_latest(spark, d):
+    scores = C.long_scores(D.score_vectors(spark, d))
+    events = D.sound_events(spark, d).join(D.score_vectors(spark, d).select("event_id"), "event_id", "left_semi")
+    al = D.table(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 7).alias("event_id"), F.col("o_orderkey").alias("alert_id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderstatus").alias("status"))
+    return V.latest_detection(events, scores, al).select("event_id", "class_name", "python", "gtm", "alert_status")
+
+
+@query("o4_alert_queue", f"WITH {D.ALERTS} SELECT alert_id, severity FROM al WHERE status = 'New' AND severity IN ('Critical', 'High') ORDER BY created_at DESC, alert_id DESC LIMIT 20 OFFSET 20")
+def o4_alerts(spark, d):
+    return V.alert_queue(D.alerts(spark, d), "New", ["Critical", "High"], 2, 20).select("alert_id", "severity")
+
+
 @query("o4_review_queue", f"WITH {D.REVIEWS} SELECT review_id, priority FROM rv WHERE status = 'Pending Review' ORDER BY list_position(['low', 'normal', 'high', 'critical'], priority) DESC, queued_at, review_id LIMIT 30")
 def o4(spark, d):
     rank = S.rank_of(F.col("priority"), ("low", "normal", "high", "critical"))

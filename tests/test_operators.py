@@ -163,6 +163,10 @@ def test_tone_levels_and_verdicts(spark):
     assert A.aligned_correlation(pulse, pulse[3200:28_800], 16_000) > 0.9
     assert (A.augment(tone, 16_000, "noise", 3) == A.augment(tone, 16_000, "noise", 3)).all()
     assert A.resample(tone.astype(np.float32), 16_000, 8_000).shape == (16_000,)
+    laid = A.augment(tone, 16_000, "overlay", 3, pulse[:900])
+    assert len(laid) == len(tone) and np.abs(laid - tone).max() > 0.01 and np.abs(laid).max() <= 1
+    with pytest.raises(ValueError):
+        A.augment(tone, 16_000, "overlay", 3)
 
 
 def test_files_round_trip(spark, tmp_path):
