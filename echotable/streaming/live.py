@@ -91,7 +91,7 @@ def store_batches(log: TableLog, table: str, name: str):
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now, and read its result back: all batches, or in 'complete' mode the last."""
     log = TableLog(stream.sparkSession, f"{path}/out")
-    run_available(stream, f"{path}/state", store_batches(log, "rows", "batch"), mode)
+    run_available(stream, f"{path}/state", store_batches(log, "rows", "batch"), mode, empty_batches=False)
     folders = log.folders("rows")
     if not folders:
         return stream.sparkSession.createDataFrame([], stream.schema)

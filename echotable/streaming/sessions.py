@@ -10,6 +10,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_EMPTY = "spark.sql.streaming.noDataMicroBatches.enabled"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 COUNTERS = ("windows", "detections", "alerts")
 
@@ -83,14 +84,21 @@ def live_sessions(windows: DataFrame, session: str, at: str, detected: str, aler
     return out.select("session", "kind", F.timestamp_millis("first").alias("started_at"), F.timestamp_millis("last").alias("ended_at"), *COUNTERS)
 
 
-def run_available(stream: DataFrame, checkpoint: str, write, mode: str = "append") -> StreamingQuery:
-    """Run a stream with timers and list state (kept in RocksDB) over what is there now; ``write(batch, number)`` stores its rows."""
+def run_available(stream: DataFrame, checkpoint: str, write, mode: str = "append", empty_batches: bool = True) -> StreamingQuery:
+    """Run a stream over what is there now, its state in RocksDB; ``write(batch, number)`` stores its rows.
+
+    Event-time timers that the last data sets off need an empty batch after it. A stream with timeouts by the clock would
+    ask for such batches for ever, and is run without them.
+    """
     conf = stream.sparkSession.conf
-    before = conf.get(_PROVIDER, None)
-    conf.set(_PROVIDER, _ROCKSDB)
+    wanted = {_PROVIDER: _ROCKSDB, _EMPTY: str(empty_batches).lower()}
+    before = {k: conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        conf.set(k, v)
     try:
         query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
         query.awaitTermination()
     finally:
-        conf.unset(_PROVIDER) if before is None else conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return query
