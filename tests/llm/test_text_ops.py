@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -13,7 +15,8 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from echotable.llm import bpe, chat, jaccard, langid, lines, packing, pieces, pii, suffix
+from echotable.llm import bpe, chat, jaccard, langid, lines, packing, pieces, pii, storage, suffix
+from echotable.llm.storage import Scratch
 
 DOCS = "doc_id long, text string, source string, n long"
 
@@ -355,6 +358,35 @@ def test_line_dedup_finds_pairs_of_one_template(spark):
     assert found == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
 
 
+@pytest.mark.parametrize("block", [8, 256])
+def test_line_dedup_compares_all_lines_of_a_crowded_key(spark, monkeypatch, block):
+    """Lines of one template whose copies differ in all their long words of their own, and equal lines of shorter ones."""
+    monkeypatch.setattr(lines, "BLOCK", block, raising=False)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared, pairs = [word(11) for _ in range(5)], []
+    for _ in range(60):
+        short = [word(3) for _ in range(28)]
+        pairs.append([" ".join(shared + [word(6) for _ in range(6)] + short) for _ in range(2)])
+    texts = [t for p in pairs for t in p]
+    alike = lambda a, b: edit_distance(a, b) <= 0.2 * max(len(a), len(b))
+    assert all(alike(*p) for p in pairs) and not any(alike(p[0], q[1]) for p, q in zip(pairs, pairs[1:]))
+    found = {(r.first_doc, r.doc) for r in lines.repeated_lines(frame(spark, list(enumerate(texts)))).collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(len(pairs))}
+
+
+def test_scratch_tables_leave_no_shuffle_files(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for d in disk.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+    made = files()
+    saved = Scratch(spark, "test").save(spark.range(1000).repartition(3))
+    until = time.time() + 10
+    while files() - made and time.time() < until:
+        time.sleep(0.1)
+    assert not files() - made
+    assert saved.count() == 1000 and spark.conf.get(storage.CLEANUP, None) in (None, "false")
+
+
 def test_column_names_with_dots(spark):
     from echotable.llm import curate
 
