@@ -24,8 +24,7 @@ WORDS = 200_000
 class _Words(dict):
     """Words that follow a single space, numbered as they come; their ids are in one flat array."""
 
-    def __init__(self, added: list[str]):
-        self.added = added
+    def __init__(self):
         self.reset()
 
     def reset(self) -> None:
@@ -35,7 +34,7 @@ class _Words(dict):
         self.start = self.size
 
     def __missing__(self, word: str) -> int:
-        if not word or word[0].isspace() or any(a in word for a in self.added):
+        if not word or word[0].isspace():
             return -1
         self[word] = at = len(self.size) + len(self.fresh)
         self.fresh.append(word)
@@ -52,7 +51,7 @@ class Encoder:
         self.leads = np.zeros(max(ranks.values()) + 1, bool)
         self.leads[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.words = _Words(self.added)
+        self.words = _Words()
 
     def encode(self, text: str) -> np.ndarray:
         if any(a in text for a in self.added):
@@ -78,9 +77,11 @@ class Encoder:
             words.reset()
         look = words.__getitem__
         at: list[int] = []
-        heads, ends = [], []
+        heads, ends, marked = [], [], []
         for text in texts:
-            head, *rest = (text or "").split(" ")
+            # an added token is looked for once a text, not in every new word
+            marked.append(bool(text) and any(a in text for a in self.added))
+            head, *rest = ("" if marked[-1] else text or "").split(" ")
             at.extend(map(look, rest))
             heads.append(head)
             ends.append(len(at))
@@ -89,11 +90,11 @@ class Encoder:
         size = np.append(words.size, 0)[at]  # a word that can't stand alone (-1) has none here
         after = np.append(0, np.cumsum(size))
         ids = words.flat[np.repeat(np.append(words.start, 0)[at] - after[:-1], size) + np.arange(after[-1])]
-        whole = np.zeros(len(texts), bool)
+        whole = np.array(marked, bool)
         whole[np.searchsorted(ends, np.flatnonzero(at < 0), "right")] = True
         out = []
         for text, head, odd, a, b in zip(texts, heads, whole.tolist(), after[np.append(0, ends[:-1])].tolist(), after[ends].tolist()):
-            out.append(self.encode(text) if odd else np.append(self.encode(head), ids[a:b]))
+            out.append(self.encode(text) if odd else np.append(np.array(self.ordinary(head), np.int32), ids[a:b]))
         return out
 
 

@@ -395,3 +395,23 @@ def test_column_names_with_dots(spark):
         assert stage(docs).columns == docs.columns
     ids = pieces.encode(docs)
     assert pieces.decode(ids).columns == [*ids.columns, "decoded"]
+
+
+def test_added_tokens_are_looked_for_once_a_text():
+    class Counted(list):
+        n = 0
+
+        def __iter__(self):
+            Counted.n += 1
+            return super().__iter__()
+
+    enc = bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert enc.added
+    enc.added = enc.words.added = Counted(enc.added)
+    plain = [" ".join(f"word{i}x{j}" for j in range(50)) for i in range(4)] + ["", None, "two  spaces", "a \n b"]
+    for text, ids in zip(plain, enc.batch(plain)):
+        assert ids.tolist() == enc.model.encode(text or "", add_special_tokens=False).ids
+    assert Counted.n <= 2 * len(plain)
+    marked = [f"some wo{enc.added[0]}rds here", f"{enc.added[0]} first", f"last {enc.added[0]}"]
+    for text, ids in zip(marked, enc.batch(marked)):
+        assert ids.tolist() == enc.model.encode(text, add_special_tokens=False).ids
