@@ -1,9 +1,6 @@
-"""Byte-level BPE ids with a memory of words.
+"""Byte-level BPE ids.
 
-The pre-tokeniser never joins what stands before a single space to what follows it, as long as the
-next character isn't white space, so a text splits at such spaces and each word keeps its ids.
-A text with other white space after a space is encoded as a whole. Words that were not seen yet go
-to ``tiktoken`` together; its ranks are the same vocabulary, and the ids equal those of the JSON file.
+Texts go to ``tiktoken`` whole; its ranks are the same vocabulary, and the ids equal those of the JSON file.
 A text that holds an added token of the JSON file is encoded by ``tokenizers`` itself.
 """
 
@@ -17,85 +14,23 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Words remembered by a worker.
-WORDS = 200_000
-
-
-class _Words(dict):
-    """Words that follow a single space, numbered as they come; their ids are in one flat array."""
-
-    def __init__(self):
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.fresh: list[str] = []
-        self.flat, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        self.start = self.size
-
-    def __missing__(self, word: str) -> int:
-        if not word or word[0].isspace():
-            return -1
-        self[word] = at = len(self.size) + len(self.fresh)
-        self.fresh.append(word)
-        return at
-
 
 class Encoder:
     def __init__(self, path: str):
         self.model = Tokenizer.from_file(path)
         with open(path.removesuffix("json") + "tiktoken", "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        encoding = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.ordinary, self.to_numpy = encoding.encode_ordinary, encoding.encode_to_numpy
-        self.leads = np.zeros(max(ranks.values()) + 1, bool)
-        self.leads[[i for token, i in ranks.items() if token[:1] == b" "]] = True
+        self.words = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.words = _Words()
 
-    def encode(self, text: str) -> np.ndarray:
-        if any(a in text for a in self.added):
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a text (null: none)."""
+        if text and any(a in text for a in self.added):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, np.int32)
-        return np.array(self.ordinary(text), np.int32)
-
-    def _settle(self) -> None:
-        """Encode the new words together: each begins at the one id that starts with a space."""
-        w = self.words
-        if w.fresh:
-            ids = self.to_numpy(" " + " ".join(w.fresh), disallowed_special=()).astype(np.int32)
-            starts = np.flatnonzero(self.leads[ids])
-            assert len(starts) == len(w.fresh)
-            w.size = np.append(w.size, np.diff(np.append(starts, len(ids))))
-            w.flat = np.append(w.flat, ids)
-            w.fresh = []
-            w.start = np.cumsum(w.size) - w.size
+        return self.words.encode_to_numpy(text or "", disallowed_special=()).astype(np.int32)
 
     def batch(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text (null: none)."""
-        words = self.words
-        if len(words) > WORDS:
-            words.reset()
-        look = words.__getitem__
-        at: list[int] = []
-        heads, ends, marked = [], [], []
-        for text in texts:
-            # an added token is looked for once a text, not in every new word
-            marked.append(bool(text) and any(a in text for a in self.added))
-            head, *rest = ("" if marked[-1] else text or "").split(" ")
-            at.extend(map(look, rest))
-            heads.append(head)
-            ends.append(len(at))
-        self._settle()
-        at, ends = np.array(at, np.int64), np.array(ends, np.int64)
-        size = np.append(words.size, 0)[at]  # a word that can't stand alone (-1) has none here
-        after = np.append(0, np.cumsum(size))
-        ids = words.flat[np.repeat(np.append(words.start, 0)[at] - after[:-1], size) + np.arange(after[-1])]
-        whole = np.array(marked, bool)
-        whole[np.searchsorted(ends, np.flatnonzero(at < 0), "right")] = True
-        out = []
-        for text, head, odd, a, b in zip(texts, heads, whole.tolist(), after[np.append(0, ends[:-1])].tolist(), after[ends].tolist()):
-            out.append(self.encode(text) if odd else np.append(np.array(self.ordinary(head), np.int32), ids[a:b]))
-        return out
+        return list(map(self.encode, texts))
 
 
 @lru_cache(maxsize=2)

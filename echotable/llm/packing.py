@@ -52,7 +52,8 @@ def _tokenise(name: str, end_id: int, window: int):
                 rows = []
                 for ids in enc.batch(part):
                     ids = np.append(ids, end_id).astype(np.uint16)
-                    terms = np.unique(ids[len(ids) // window * window :])
+                    terms = np.sort(ids[len(ids) // window * window :])
+                    terms = terms[np.append(terms[:-1] != terms[1:], True)[: len(terms)]]
                     seen[terms] += 1
                     rare = terms[terms != end_id][-2:]
                     rows.append((ids.tobytes(), len(ids), int(rare[-1]) if len(rare) else -1, int(rare[0]) if len(rare) > 1 else -1))
