@@ -7,7 +7,9 @@ merging their joined text gives back just these two; exactly one path is then le
 merges lead to, so the same scan serves both.
 
 No piece holds U+2581 after another character, so every path passes the places before a run of them
-(hard cuts); between two cuts the best path is remembered by word.
+(hard cuts); between two cuts the best path is remembered by word. A word that is not remembered is cut further,
+between each two characters that no piece holds side by side, as no edge but a single character's ends or
+starts there otherwise; its parts are remembered too.
 
 A giant text is split into chunks at any character. A state of a boundary is an edge that covers the
 character before it. A chunk's transfer matrix holds the best weight from each state of its left
@@ -49,16 +51,16 @@ def pack(ids: list[int]) -> bytes:
     return array("i", ids).tobytes()
 
 
-class _Words(dict):
-    """Packed ids by word, without the space in front; what was not used lately is forgotten."""
+class _Parts(dict):
+    """Packed ids by text between hard cuts; what was not used lately is forgotten."""
 
-    def __init__(self, model: Model):
-        self.model, self.older = model, {}
+    def __init__(self, made):
+        self.made, self.older = made, {}
 
     def __missing__(self, w: str) -> bytes:
         got = self.older.get(w)
         if got is None:
-            got = pack(self.model.word(SPACE + w))
+            got = self.made(w)
         if len(self) > WORDS:
             self.older = dict(self)
             self.clear()
@@ -91,7 +93,10 @@ class Model:
         #: Pieces whose score is another's too, for which the order of merges isn't the rank alone.
         tied = {s for s, n in Counter(self.scores.values()).items() if n > 1}
         self.tied = {p for p in order if self.scores[p] in tied and len(p) > 1}
-        self.words = _Words(self)
+        #: Characters that some piece holds side by side; any other two have a hard cut between them.
+        self.joined = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self.parts = _Parts(lambda part: pack(self.word(part)))
+        self.words = _Parts(self._in_parts)  # without the space in front
         self.reach: dict[str, int] = {}  # longest piece by its first three characters
         for p in self.ids:
             if len(p) > 2:
@@ -249,15 +254,30 @@ class Model:
         except KeyError:
             return [i for piece in path for i in self.name(piece)]
 
+    def _in_parts(self, word: str) -> bytes:
+        """Packed ids of a space and a word, from those of its parts between hard cuts."""
+        z, joined = SPACE + word, self.joined
+        cuts = [i for i in range(1, len(z)) if z[i - 1 : i + 1] not in joined]
+        if not cuts:
+            return pack(self.word(z))
+        return b"".join([self.words[z[1 : cuts[0]]], *[self.parts[z[i:j]] for i, j in zip(cuts, [*cuts[1:], len(z)])]])
+
     def packed(self, text: str | None) -> bytes:
         """Ids of a whole text as int32 bytes."""
         if not text:
             return b""
         if SPACE in text or "  " in text or text[0] == " " or text[-1] == " ":
             # more than one space in front of a word: not remembered
-            return b"".join([self.words[w[1:]] if w[1:2] != SPACE else pack(self.word(w)) for w in _WORD.findall(escaped(text)) if w])
+            return self._words_of(escaped(text))
         return b"".join(map(self.words.__getitem__, text.split(" ")))
 
+    def _words_of(self, z: str) -> bytes:
+        return b"".join([self.words[w[1:]] if w[0] == SPACE != w[1:2] else pack(self.word(w)) for w in _WORD.findall(z) if w])
+
+    def pieces(self, z: str) -> list[int]:
+        """Ids of what lies between two hard cuts in front of spaces."""
+        return np.frombuffer(self._words_of(z), np.int32).tolist()
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text."""
         return np.frombuffer(self.packed(text), np.int32).tolist()
@@ -323,8 +343,7 @@ def trace_chunk(m: Model, z: str, c0: int, c1: int, left: tuple[int, int], right
     entry = {(cut[1], cut[1]): np.zeros(1)}
     _, back = m.scan(z, entry, c1)
     ids = [i for s, t in head for i in m.name(z[s:t])]
-    for w in _WORD.findall(z[cut[0] : cut[1]]):
-        ids += m.word(w) if w else []
+    ids += m.pieces(z[cut[0] : cut[1]])
     return ids + [i for s, t in m.trace(back, last, 0, entry) for i in m.name(z[s:t])]
 
 

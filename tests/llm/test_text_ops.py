@@ -415,3 +415,16 @@ def test_added_tokens_are_looked_for_once_a_text():
     marked = [f"some wo{enc.added[0]}rds here", f"{enc.added[0]} first", f"last {enc.added[0]}"]
     for text, ids in zip(marked, enc.batch(marked)):
         assert ids.tolist() == enc.model.encode(text, add_special_tokens=False).ids
+
+
+def test_words_are_cut_where_no_piece_holds_both_characters(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m, ref = pieces.Model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    scanned = []
+    one = m.word
+    monkeypatch.setattr(m, "word", lambda w: scanned.append(w) or one(w))
+    texts = ["the reading,\nThe reading.", "the\nreading\tThe reading!\nthe 日本\nreading"]
+    assert [m.encode(t) for t in texts] == [ref.encode(t) for t in texts]
+    assert len(scanned) == len(set(scanned)) and scanned.count("▁reading") == 1 and not any("\n" in w and len(w) > 1 for w in scanned)
+    assert m.pieces("▁the▁reading,▁▁The\n") == ref.encode("the reading,  The\n")
+    assert len(scanned) == len(set(scanned))  # a chunk of a giant text uses what is remembered
