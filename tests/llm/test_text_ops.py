@@ -7,12 +7,14 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from echotable.llm import bpe, chat, jaccard, langid, lines, packing, pieces, pii, storage, suffix
@@ -428,3 +430,50 @@ def test_words_are_cut_where_no_piece_holds_both_characters(monkeypatch):
     assert len(scanned) == len(set(scanned)) and scanned.count("▁reading") == 1 and not any("\n" in w and len(w) > 1 for w in scanned)
     assert m.pieces("▁the▁reading,▁▁The\n") == ref.encode("the reading,  The\n")
     assert len(scanned) == len(set(scanned))  # a chunk of a giant text uses what is remembered
+
+
+def test_line_dedup_offers_no_pair_whose_letters_differ_too_much(spark):
+    """What a line has to spare is counted right, and is never more than the edit distance."""
+    rng = random.Random(23)
+    texts = ["".join(rng.choice("abcdefghijklmnop qrstuvwxyz.é") for _ in range(rng.randint(1, 300))) for _ in range(300)]
+    close = []
+    for t in texts:
+        for _ in range(rng.randint(0, len(t) // 5)):
+            at = rng.randrange(len(t))
+            t = t[:at] + rng.choice(["", rng.choice("eéz"), t[at : at + 1] + "x"]) + t[at + 1 :]
+        close.append(t)
+    other = close[1:] + close[:1]
+    rows = spark.createDataFrame([(a, b, c) for a, b, c in zip(texts, close, other)], "a string, b string, c string")
+    held = rows.select("a", "b", "c", *[F.struct(*lines._bags(F.col(x))).alias(f"m{x}") for x in "abc"])
+    got = held.select("a", "b", "c", lines._to_spare("ma", "mb").alias("ab"), lines._to_spare("mb", "ma").alias("ba"), lines._to_spare("ma", "mc").alias("ac")).collect()
+
+    def spare(a, b):
+        kind = lambda t: Counter(c if c in lines.LETTERS else "rest" for c in t)
+        return sum((kind(a) - kind(b)).values())
+
+    assert all(r.ab == spare(r.a, r.b) and r.ba == spare(r.b, r.a) and r.ac == spare(r.a, r.c) for r in got)
+    assert all(max(r.ab, r.ba) <= levenshtein(r.a, r.b) for r in got)
+
+
+def test_line_dedup_bounds_the_distance_of_lengthy_lines_by_pieces(spark):
+    """A passage put in, taken out or repeated must not make a sum of pieces that is below the distance."""
+    rng = random.Random(29)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for n in (90, 160, 300):
+        for kind in range(4):
+            a = [word() for _ in range(n)]
+            b = [word() if rng.random() < 0.05 else w for w in a]
+            if kind == 1:
+                b[n // 2 : n // 2] = [word() for _ in range(n // 9)]
+            elif kind == 2:
+                del b[n // 3 : n // 3 + n // 9]
+            elif kind == 3:
+                a, b = a[: n // 2] + ["edon,"] * (n // 2), b[: n // 2] + ["edon,"] * (n // 2 + 9)
+            rows.append((" ".join(a), " ".join(b)))
+    df = spark.createDataFrame(rows, "ta string, tb string").select("*", F.char_length("ta").alias("la"), F.char_length("tb").alias("lb"))
+    df = df.withColumn("n", F.greatest("la", "lb")).withColumn("most", F.expr("cast(floor(0.2 * n) as int)"))
+    got = df.select("ta", "n", "most", F.expr(lines._pieces_apart()).alias("sum"), F.expr("levenshtein(ta, tb)").alias("d")).collect()
+    assert all(r.d <= r["sum"] or r["sum"] > r.most for r in got)
+    varied = [r for r in got if "edon" not in r.ta]  # a repeated word has too many places
+    assert len(varied) == 9 and all(r["sum"] <= r.most for r in varied)
