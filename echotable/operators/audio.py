@@ -4,35 +4,42 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echotable.functions import audio as A
 from echotable.functions.config import THRESHOLDS
 from echotable.operators.dataset import covering_bounds
+from echotable.sources.scratch import bounded_bytes
 
+#: Rows of which waveforms are made at once.
+TOGETHER = 64
 _MEASURES = ("duration_sec", "peak_dbfs", "rms_dbfs", "loudest_dbfs", "clipping_ratio", "snr_db")
 
 
 def decode_wav(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """``(path, rate, channels, bits, duration_sec, samples, error)`` of WAV bytes; unreadable ones carry an error."""
+    bounded_bytes(files.sparkSession)
 
     def run(pdfs):
         for pdf in pdfs:
-            rows = []
-            for p, data in zip(pdf[path], pdf[content]):
-                try:
-                    rate, channels, bits, sec, x = A.read_wav(bytes(data))
-                    rows.append((p, rate, channels, bits, sec, x, None))
-                except Exception as e:  # noqa: BLE001  a broken file is a row, not a failed job
-                    rows.append((p, None, None, None, None, None, str(e) or type(e).__name__))
-            yield pd.DataFrame(rows, columns=["path", "rate", "channels", "bits", "duration_sec", "samples", "error"])
+            for at in range(0, len(pdf), TOGETHER):
+                rows = []
+                for p, data in zip(pdf[path].iloc[at : at + TOGETHER], pdf[content].iloc[at : at + TOGETHER]):
+                    try:
+                        rate, channels, bits, sec, x = A.read_wav(bytes(data))
+                        rows.append((p, rate, channels, bits, sec, x, None))
+                    except Exception as e:  # noqa: BLE001  a broken file is a row, not a failed job
+                        rows.append((p, None, None, None, None, None, str(e) or type(e).__name__))
+                yield pd.DataFrame(rows, columns=["path", "rate", "channels", "bits", "duration_sec", "samples", "error"])
 
     return files.select(path, content).mapInPandas(run, "path string, rate long, channels long, bits long, duration_sec double, samples array<float>, error string")
 
 
 def encode_wav(clips: DataFrame, samples: str = "samples", rate: str = "rate") -> DataFrame:
     """``clips`` with ``content``: their samples as 16-bit WAV bytes; null samples give null."""
+    bounded_bytes(clips.sparkSession)
 
     @F.pandas_udf("binary")
     def run(x: pd.Series, r: pd.Series) -> pd.Series:
@@ -106,6 +113,8 @@ def segment_features(clips: DataFrame, key: str, samples: str, rate: str, length
 
 
 def fingerprints(clips: DataFrame, samples: str = "samples", rate: str = "rate") -> DataFrame:
+    bounded_bytes(clips.sparkSession)
+
     @F.pandas_udf("binary")
     def run(x: pd.Series, r: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else A.fingerprint(np.asarray(v, np.float32), int(k)) for v, k in zip(x, r)], dtype=object)
@@ -114,25 +123,48 @@ def fingerprints(clips: DataFrame, samples: str = "samples", rate: str = "rate")
 
 
 def sounds(rows: DataFrame, numbers: str, gain: str, skip: str, rate: int = 16_000) -> DataFrame:
-    """``rows`` with ``samples`` and ``rate``: noise in the bands that each array of numbers states, scaled by ``gain`` and without the first ``skip`` samples."""
+    """``rows`` with ``samples`` and ``rate``: noise in the bands that each array of numbers states, scaled by ``gain`` and without the first ``skip`` samples.
 
-    @F.pandas_udf("array<float>")
-    def run(x: pd.Series, g: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([(A.rustle(v, rate)[int(k) :] * y).round(3) for v, y, k in zip(x, g, n)])
+    A few numbers make a whole recording, so recordings are handed on a few at a time.
+    """
+    bounded_bytes(rows.sparkSession)
+    names = [c for c in rows.columns if c not in ("samples", "rate")]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
+                x, g, k = (part.column(names.index(c)).to_pylist() for c in (numbers, gain, skip))
+                made = [(A.rustle(v, rate)[int(n) :] * y).round(3) for v, y, n in zip(x, g, k)]
+                ends = np.cumsum([0, *(len(v) for v in made)], dtype=np.int32)
+                held = pa.ListArray.from_arrays(ends, np.concatenate(made))
+                yield pa.RecordBatch.from_arrays([*part.columns, held, pa.array([rate] * len(made), pa.int64())], [*names, "samples", "rate"])
+
+    typed = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+    return rows.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, f"{typed}, samples array<float>, rate long")
+
+
+def images(clips: DataFrame, samples: str = "samples", rate: str = "rate") -> DataFrame:
+    """``clips`` with ``image``: the log-mel image of their samples as packed doubles, which is what correlations are taken of."""
+    bounded_bytes(clips.sparkSession)
+
+    @F.pandas_udf("binary")
+    def run(x: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None else A.log_mel(np.asarray(v, np.float32), int(k)).tobytes() for v, k in zip(x, r)], dtype=object)
 
-    # a few numbers make a whole recording: every core gets its share of the rows
-    spread = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *rows.columns)
-    return spread.withColumn("samples", run(numbers, gain, skip)).withColumn("rate", F.lit(rate).cast("long"))
+    return clips.withColumn("image", run(samples, rate))
 
 
-def confirm_pairs(pairs: DataFrame, a: str, b: str, rate: str, least: float = THRESHOLDS["duplicate_detection"]["spectral_match_min"]) -> DataFrame:
-    """Shortlisted pairs with ``match``; those of at least ``least`` are confirmed."""
+def confirm_pairs(pairs: DataFrame, a: str, b: str, least: float = THRESHOLDS["duplicate_detection"]["spectral_match_min"]) -> DataFrame:
+    """Shortlisted pairs with ``match``, the correlation of their two images; those of at least ``least`` are confirmed."""
+    bounded_bytes(pairs.sparkSession)
 
     @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series, r: pd.Series) -> pd.Series:
-        return pd.Series([A.aligned_correlation(np.asarray(u, np.float32), np.asarray(v, np.float32), int(k)) for u, v, k in zip(x, y, r)])
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([A.best_correlation(A.unpacked(u), A.unpacked(v)) for u, v in zip(x, y)], dtype=float)
 
-    return pairs.withColumn("match", run(a, b, rate)).withColumn("confirmed", F.col("match") >= least)
+    return pairs.withColumn("match", run(a, b)).withColumn("confirmed", F.col("match") >= least)
 
 
 def augmented(plan: DataFrame, samples: str = "samples", rate: str = "rate", under: str | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from echotable.functions.config import THRESHOLDS
 from echotable.functions.scores import let
-from echotable.operators.audio import confirm_pairs
+from echotable.operators.audio import confirm_pairs, images
 from echotable.sources.scratch import Tables
 
 
@@ -173,18 +173,32 @@ def near_prints(prints: DataFrame, key: str, print_col: str, least: float = THRE
     return found.withColumn("place", place).where(F.col("place") <= shortlist).withColumnRenamed("clip", key)
 
 
-def confirmed_duplicates(clips: DataFrame, shortlisted: DataFrame, key: str, samples: str = "samples", rate: str = "rate", least: float = THRESHOLDS["duplicate_detection"]["spectral_match_min"]) -> DataFrame:
+def confirmed_duplicates(clips: DataFrame, shortlisted: DataFrame, key: str, samples: str = "samples", rate: str = "rate", least: float = THRESHOLDS["duplicate_detection"]["spectral_match_min"], load=None) -> DataFrame:
     """``shortlisted`` with ``match``, ``confirmed`` and ``best``: the aligned correlation of each pair's log-mel images.
 
-    Only clips on the shortlist are fetched from ``clips``. ``best`` marks a clip's confirmed pair of highest
-    match, the first placed of equals. A clip that ``clips`` lacks leaves its pairs out.
+    Only clips on the shortlist are fetched from ``clips``, and only their images are stored. Where ``clips`` hold what
+    samples are made or read from, ``load`` (rows to rows with ``samples`` and ``rate``) gives them: then pairs are
+    loaded where they are compared, and neither samples nor images are stored or shuffled. ``best`` marks a clip's
+    confirmed pair of highest match, the first placed of equals. A clip that ``clips`` lacks leaves its pairs out.
     """
+    spark = clips.sparkSession
     named = shortlisted.select(F.col(key).alias("_clip"), "near_key", "similarity", "place")
-    needed = named.select(F.col("_clip").alias(key)).union(named.select("near_key")).distinct()
-    audio = Tables(clips.sparkSession, "shortlist").save(clips.select(key, samples, rate).join(needed, key, "left_semi"))
-    a = audio.select(F.col(key).alias("_clip"), F.col(samples).alias("_a"), F.col(rate).alias("_rate"))
-    b = audio.select(F.col(key).alias("near_key"), F.col(samples).alias("_b"))
-    out = confirm_pairs(named.join(a, "_clip").join(b, "near_key"), "_a", "_b", "_rate", least).drop("_a", "_b", "_rate")
+    sides = (("_clip", "_a"), ("near_key", "_b"))
+    if load is None:
+        needed = named.select(F.col("_clip").alias(key)).union(named.select("near_key")).distinct()
+        shown = images(clips.select(key, samples, rate), samples, rate).select(key, "image").join(needed, key, "left_semi")
+        shown = Tables(spark, "shortlist").save(shown.where("image is not null"), long_rows=True)
+        for name, side in sides:
+            named = named.join(shown.select(F.col(key).alias(name), F.col("image").alias(side)), name)
+    else:
+        for name, side in sides:
+            named = named.join(clips.select(F.col(key).alias(name), F.struct(*[F.col(f"`{c}`") for c in clips.columns]).alias(side)), name)
+        # a few bytes make a whole recording: every core gets its share of the pairs
+        named = named.repartition(4 * spark.sparkContext.defaultParallelism, "_clip", "near_key")
+        for _, side in sides:
+            others = [c for c in named.columns if c != side]
+            named = images(load(named.select(*others, f"{side}.*")), samples, rate).select(*others, F.col("image").alias(side))
+    out = Tables(spark, "matches").save(confirm_pairs(named, "_a", "_b", least).drop("_a", "_b"))
     first = F.row_number().over(Window.partitionBy("_clip").orderBy(F.desc("confirmed"), F.desc("match"), "place"))
     return out.withColumn("best", F.col("confirmed") & (first == 1)).withColumnRenamed("_clip", key)
 

@@ -189,11 +189,19 @@ def v7(spark, d):
     return W.fingerprints(_clips(spark, d)).select("clip_id", F.hex("fingerprint").alias("fingerprint"))
 
 
-def _recordings(spark, d):
-    """A sound of each vector (even ids), and of each a copy (odd ids): half as loud and 5 ms shorter at the start."""
+def _sources(spark, d):
+    """What recordings are made of: a sound of each vector (even ids), and of each a copy (odd ids), half as loud and 5 ms shorter at the start."""
     v = D.table(spark, d, "embeddings").where("size(embedding) = 64").select("vec_id", "embedding", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
-    v = v.select((2 * F.col("vec_id") + F.col("copy")).alias("clip_id"), "embedding", F.when(F.col("copy") == 1, 0.5).otherwise(1.0).alias("gain"), (80 * F.col("copy")).alias("skip"))
-    return W.sounds(v, "embedding", "gain", "skip").select("clip_id", "samples", "rate")
+    return v.select((2 * F.col("vec_id") + F.col("copy")).alias("clip_id"), "embedding", F.when(F.col("copy") == 1, 0.5).otherwise(1.0).alias("gain"), (80 * F.col("copy")).alias("skip"))
+
+
+def _sounds(rows):
+    return W.sounds(rows, "embedding", "gain", "skip")
+
+
+def _recordings(spark, d):
+    # a few numbers make a whole recording: every core gets its share of the rows
+    return _sounds(_sources(spark, d).repartition(4 * spark.sparkContext.defaultParallelism, "clip_id")).select("clip_id", "samples", "rate")
 
 
 def _shortlist(spark, clips):
@@ -202,9 +210,9 @@ def _shortlist(spark, clips):
 
 @query("j11_audio_duplicates")
 def j11_audio(spark, d):
-    """Print matches of recordings, confirmed by the aligned correlation of what they hold."""
-    clips = Tables(spark, "clips").save(_recordings(spark, d))
-    out = U.confirmed_duplicates(clips, _shortlist(spark, clips), "clip_id")
+    """Print matches of recordings, confirmed by the aligned correlation of what they hold; recordings are made where they are read."""
+    near = Tables(spark, "near").save(_shortlist(spark, _recordings(spark, d)))
+    out = U.confirmed_duplicates(_sources(spark, d), near, "clip_id", load=_sounds)
     return out.select("clip_id", "near_key", "place", F.round("similarity", 6).alias("similarity"), F.round("match", 4).alias("match"), "confirmed", "best")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from echotable.functions import audio as A
@@ -60,3 +61,26 @@ def test_copies_are_confirmed_and_their_clips_fetched(spark):
         assert r.match == pytest.approx(A.aligned_correlation(np.array(data[a], np.float32), np.array(data[b], np.float32), 16_000), abs=1e-6)
         assert r.confirmed == (r.match >= 0.9)
     assert sum(r.best for r in got.values()) == len({a for (a, b), r in got.items() if r.confirmed})
+
+
+def test_loaded_clips_match_as_those_that_hold_samples(spark):
+    rng = np.random.default_rng(9)
+    rows = [(2 * i + k, v, 1.0 - 0.5 * k, 80 * k) for i, v in enumerate((rng.normal(size=(4, 64)) / 8).tolist()) for k in (0, 1)]
+    sources = spark.createDataFrame(rows, "clip_id long, numbers array<double>, gain double, skip int")
+    load = lambda x: W.sounds(x, "numbers", "gain", "skip")
+    short = U.near_prints(W.fingerprints(load(sources)).select("clip_id", "fingerprint"), "clip_id", "fingerprint", 0.9)
+    got = U.confirmed_duplicates(sources, short, "clip_id", load=load)
+    want = U.confirmed_duplicates(load(sources), short, "clip_id")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect()) and got.where("best").count() == 4
+
+
+def test_waveforms_are_handed_on_a_few_at_a_time(spark):
+    sources = spark.range(0, 300, 1, 1).selectExpr("id", "array(0.1d, 0.2d, 0.3d, 0.4d) as numbers", "1.0d as gain", "0 as skip")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "mb": [b.nbytes / 1e6]})
+
+    clips = W.encode_wav(W.sounds(sources, "numbers", "gain", "skip"))
+    made = clips.select("samples", "content").mapInArrow(sizes, "rows long, mb double").collect()
+    assert sum(r.rows for r in made) == 300 and max(r.mb for r in made) < 10
