@@ -57,9 +57,26 @@ def outages(probes: DataFrame, by: str, at: str, up: str) -> DataFrame:
 
 
 def repeats_within(rows: DataFrame, by: list[str], at: str, seconds: int = REPEAT_RATE_SECONDS) -> DataFrame:
-    """``rows`` with ``repeats``: events of the group in the last ``seconds``, this one included."""
-    frame = Window.partitionBy(*by).orderBy(F.floor(_seconds(at))).rangeBetween(-seconds, 0)
-    return rows.withColumn("repeats", F.count("*").over(frame))
+    """``rows`` with ``repeats``: events of the group in the last ``seconds``, this one included; those without a time are counted among themselves.
+
+    Seconds are counted, not rows. Time is cut into buckets as long as the window, so that a window is the first part of its
+    own bucket and the rest of the one before: two running sums within a bucket, each a task's bounded work.
+    """
+    keys = [F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate(by)]
+    names, length = [f"_by{i}" for i in range(len(by))], F.lit(seconds + 1)
+    counted = rows.groupBy(*keys, F.floor(_seconds(at)).alias("_sec")).agg(F.count("*").alias("_n"))
+    placed = counted.select(*names, "_sec", "_n", F.floor(F.col("_sec") / length).alias("_bucket"), F.pmod("_sec", length).alias("_place"))
+    later = placed.select(*names, F.lit(None).cast("long").alias("_sec"), F.col("_n"), (F.col("_bucket") + 1).alias("_bucket"), "_place").where("_bucket is not null")
+    told = placed.withColumn("_own", F.lit(True)).unionByName(later.withColumn("_own", F.lit(False)))
+    part = Window.partitionBy(*names, "_bucket")
+    sofar = part.orderBy("_place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.coalesce(F.sum(F.when(~F.col("_own"), F.col("_n"))).over(part), F.lit(0))
+    repeats = before + F.sum(F.when(F.col("_own"), F.col("_n")).otherwise(-F.col("_n"))).over(sofar)
+    sums = told.withColumn("repeats", repeats).where("_own").select(*names, "_sec", "repeats")
+    same = F.floor(_seconds(at)).eqNullSafe(F.col("_sec"))
+    for name, c in zip(names, by):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(name))
+    return rows.join(sums, same, "left").drop(*names, "_sec")
 
 
 def collapse_repeats(alerts: DataFrame, key: str, at: str, tie: str, seconds: int = DEDUP_SECONDS) -> DataFrame:

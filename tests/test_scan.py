@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -132,3 +133,21 @@ def test_lifecycle(spark):
     df = spark.createDataFrame([(a, i, i, x) for a, i, x in rows], "alert long, at long, tie long, action string")
     got = {r.alert: (r.status, r.n_refused) for r in O.replay_lifecycle(df, "alert", "at", "tie", "action").collect()}
     assert got == {1: ("Escalated", 0), 2: ("Resolved", 2), 3: ("New", 0), 4: ("Dismissed", 0), 5: ("Acknowledged", 0)}
+
+
+@pytest.mark.parametrize("seconds", [0, 5, 60])
+def test_trailing_counts_equal_brute_force(spark, seconds):
+    rng = random.Random(seconds)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *[rng.uniform(-150, 150) for _ in range(9)]])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, c string, t double").withColumn("t", F.col("t").cast("timestamp"))
+    floor = lambda t: None if t is None else math.floor(t)
+    inside = lambda s, t: s == t if s is None or t is None else t - seconds <= s <= t
+    want = {i: sum(d == c and inside(floor(s), floor(t)) for _, d, s in rows) for i, c, t in rows}
+    assert {r.i: r.repeats for r in O.repeats_within(df, ["c"], "t", seconds).collect()} == want
+
+
+def test_no_frame_slides_over_rows(spark):
+    df = spark.createDataFrame([(1, "a", 5)], "i long, c string, t long").withColumn("t", F.timestamp_seconds("t"))
+    out = O.capped(df, "c", "t", 21_600)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()  # a sliding frame adds up all its rows again for each row
+    assert out.columns == ["i", "c", "t", "within_cap"] and "-21600" not in plan
