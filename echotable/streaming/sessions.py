@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -15,72 +16,93 @@ _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 COUNTERS = ("windows", "detections", "alerts")
 
 
+#: Groups of keys that are handled together: a call for each key would cost far more than its few rows.
+GROUPS = 128
+
+
 class LiveSessions(StatefulProcessor):
-    """Open sessions of one key: (first, last time in ms, counters) each; those whose idle time the watermark has passed are handed out."""
+    """Open sessions of a group of keys: (key, first, last time in ms, counters) each; those whose idle time the watermark has passed are handed out."""
 
     def __init__(self, idle_ms: int):
         self.idle = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, windows long, detections long, alerts long")
+        self.open = handle.getValueState("open", "rows binary")
+
+    def _out(self, kind: str, rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.assign(kind=kind)[["session", "kind", "first", "last", *COUNTERS]]
 
-    def _out(self, key, kind: str, rows: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"session": key[0], "kind": kind, "first": rows[:, 0], "last": rows[:, 1], **{c: rows[:, 2 + i] for i, c in enumerate(COUNTERS)}})
+    def _known(self) -> pd.DataFrame:
+        held = self.open.get()
+        return pa.ipc.open_stream(held[0]).read_pandas() if held else pd.DataFrame({c: [] for c in ("session", "first", "last", *COUNTERS)})
 
-    def _keep(self, rows: np.ndarray) -> None:
+    def _keep(self, rows: pd.DataFrame) -> None:
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         if len(rows):
-            self.open.put([tuple(map(int, r)) for r in rows])
-            for t in {int(r[1]) + self.idle for r in rows}:
-                self.handle.registerTimer(t)
+            batch, held = pa.RecordBatch.from_pandas(rows, preserve_index=False), pa.BufferOutputStream()
+            with pa.ipc.new_stream(held, batch.schema) as out:
+                out.write_batch(batch)
+            self.open.update((held.getvalue().to_pybytes(),))
+            self.handle.registerTimer(int(rows["last"].min()) + self.idle)  # the next to end
         else:
             self.open.clear()
 
     def handleInputRows(self, key, rows, timerValues):
         mark = timerValues.getCurrentWatermarkInMs()
         pdf = pd.concat(list(rows))
-        new = np.column_stack([pdf["ms"], pdf["ms"], np.ones(len(pdf), np.int64), pdf["detected"], pdf["alerted"]]).astype(np.int64)
-        late = new[:, 0] < mark
+        new = pd.DataFrame({"session": pdf["session"], "first": pdf["ms"], "last": pdf["ms"], "windows": 1, "detections": pdf["detected"], "alerts": pdf["alerted"]})
+        late = new["first"] < mark
         if late.any():
-            yield self._out(key, "late", np.append([new[late, 0].min(), new[late, 0].max()], new[late, 2:].sum(0))[None])
+            behind = new[late].groupby("session", sort=False, dropna=False)
+            yield self._out("late", behind.agg({"first": "min", "last": "max", **dict.fromkeys(COUNTERS, "sum")}).reset_index())
         new = new[~late]
         if not len(new):
             return
-        # open sessions and single windows are spans; those less than the idle time apart are one
-        spans = np.concatenate([np.array(list(self.open.get()), np.int64).reshape(-1, 5), new])
-        spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
-        reach = np.maximum.accumulate(spans[:, 1])
-        first = np.flatnonzero(np.append(True, spans[1:, 0] - reach[:-1] >= self.idle))
-        self._keep(np.column_stack([spans[first, 0], np.maximum.reduceat(spans[:, 1], first), np.add.reduceat(spans[:, 2:], first, axis=0)]))
+        # open sessions and single windows are spans; those of a key less than the idle time apart are one
+        known = self._known()
+        spans = pd.concat([known, new]) if len(known) else new
+        code, _ = pd.factorize(spans["session"], use_na_sentinel=False)
+        times = spans[["first", "last", *COUNTERS]].to_numpy(np.int64)
+        order = np.lexsort((times[:, 1], times[:, 0], code))
+        code, times = code[order], times[order]
+        head = np.append(True, code[1:] != code[:-1])
+        reach = pd.Series(times[:, 1]).groupby(code).cummax().to_numpy()
+        first = np.flatnonzero(head | np.append(True, times[1:, 0] - reach[:-1] >= self.idle))
+        joined = np.column_stack([times[first, 0], np.maximum.reduceat(times[:, 1], first), np.add.reduceat(times[:, 2:], first, axis=0)])
+        out = pd.DataFrame(joined, columns=["first", "last", *COUNTERS])
+        out.insert(0, "session", spans["session"].to_numpy()[order[first]])
+        self._keep(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        spans = np.array(list(self.open.get()), np.int64).reshape(-1, 5)
-        over = spans[:, 1] + self.idle <= timerValues.getCurrentWatermarkInMs()
+        spans = self._known()
+        over = spans["last"] + self.idle <= timerValues.getCurrentWatermarkInMs()
         if over.any():
-            yield self._out(key, "session", spans[over])
+            yield self._out("session", spans[over])
             self._keep(spans[~over])
 
     def close(self) -> None:
         pass
 
 
-def live_sessions(windows: DataFrame, session: str, at: str, detected: str, alerted: str, idle_seconds: int = 600, late_seconds: int = 600) -> DataFrame:
+def live_sessions(windows: DataFrame, session: str, at: str, detected: str, alerted: str, idle_seconds: int = 600, late_seconds: int = 600, groups: int = GROUPS) -> DataFrame:
     """``(session, kind, started_at, ended_at, windows, detections, alerts)``: closed sessions, and late windows by key and batch.
 
     A session ends ``idle_seconds`` after its last window, once the watermark (the latest time of earlier batches, less
     ``late_seconds``) has passed that. A window behind the watermark changes no session; it is counted in a row of kind
     'late'. State and counts come from the query's checkpoint after a restart. The watermark's own column is left out of
-    what the processor reads, as Spark would drop late rows before it.
+    what the processor reads, as Spark would drop late rows before it. Keys are handled in ``groups`` groups by hash, which
+    a checkpoint fixes; a task holds a group's windows of one batch and its open sessions. A null key is a group of its own.
     """
     ms = F.unix_millis(F.col(at).cast("timestamp"))
     flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False)).cast("long")
     rows = windows.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, f"{late_seconds} seconds")
     rows = rows.select(F.col(session).alias("session"), ms.alias("ms"), flag(detected).alias("detected"), flag(alerted).alias("alerted"))
+    rows = rows.withColumn("of", F.when(F.col("session").isNull(), -1).otherwise(F.pmod(F.xxhash64("session"), F.lit(groups))))
     kind = windows.schema[session].dataType.simpleString()
     typed = f"session {kind}, kind string, first long, last long, {', '.join(f'{c} long' for c in COUNTERS)}"
-    out = rows.groupBy("session").transformWithStateInPandas(LiveSessions(1000 * idle_seconds), typed, "Append", "EventTime")
+    out = rows.groupBy("of").transformWithStateInPandas(LiveSessions(1000 * idle_seconds), typed, "Append", "EventTime")
     return out.select("session", "kind", F.timestamp_millis("first").alias("started_at"), F.timestamp_millis("last").alias("ended_at"), *COUNTERS)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -59,6 +60,38 @@ def test_sessions_with_late_rows_and_restarts(spark, tmp_path):
     assert counted == late and late
 
 
+def test_keys_are_handled_in_groups(spark, tmp_path):
+    n, calls = 300, []
+
+    class Told:
+        """State and timers of one group, and how often it is asked."""
+
+        def getValueState(self, name, schema):
+            return self
+
+        held, at = None, []
+        get = lambda self: self.held
+        update = lambda self, v: (calls.append("put"), setattr(self, "held", v))
+        clear = lambda self: setattr(self, "held", None)
+        listTimers = lambda self: list(self.at)
+        deleteTimer = lambda self, t: setattr(self, "at", [])
+        registerTimer = lambda self, t: setattr(self, "at", [t])
+        getCurrentWatermarkInMs = lambda self: self.mark
+
+    told, sessions = Told(), N.LiveSessions(60)
+    told.mark = 0
+    sessions.init(told)
+    rows = pd.DataFrame({"session": [f"s{i % n}" for i in range(2 * n)], "ms": [(i % n) + 1000 * (i // n) for i in range(2 * n)], "detected": 1, "alerted": 0})
+    assert not list(sessions.handleInputRows((0,), iter([rows]), told)) and calls == ["put"] and told.at == [60]
+    told.mark = 1000
+    out = pd.concat(sessions.handleExpiredTimer((0,), told, None))
+    assert len(out) == n and (out.windows == 1).all() and out.session.nunique() == n and told.at == [1060]
+    late = pd.concat(sessions.handleInputRows((0,), iter([rows]), told))
+    assert (late.kind == "late").all() and late.windows.sum() == n
+    told.mark = 5000
+    assert (pd.concat(sessions.handleExpiredTimer((0,), told, None)).windows == 2).all() and told.held is None
+
+
 def record(i, content, agree=True):
     scores = [("A", 0.7), ("B", 0.3)]
     return (i, f"F{i}", content, "upload", "A", "High", agree, not agree, "normal", "x", scores, scores)
