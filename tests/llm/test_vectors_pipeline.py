@@ -51,6 +51,22 @@ def test_near_duplicates_equal_brute_force(vectors, block, monkeypatch):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_meet_at_midpoints_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 40)
+    monkeypatch.setattr(neardup, "DEALT", 1)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(60, 16))
+    x = np.repeat(base, 6, axis=0) + rng.normal(size=(360, 16)) * 0.1
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v, i % 2) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r.id: r.n_links for r in neardup.near_duplicates(df, cell_rows=20).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    label = np.arange(360) % 2
+    link = (u @ u.T >= 0.98) & (label[:, None] == label)
+    np.fill_diagonal(link, False)
+    assert got == dict(enumerate(link.sum(1).tolist())) and link.sum() > 100
+
+
 def test_nearest_neighbours_recall(vectors):
     df, rows = vectors
     got = ann.nearest(df, df.where("vec_id % 10 = 0")).toPandas()
