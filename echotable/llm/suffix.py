@@ -19,7 +19,8 @@ the next: 3, 6, 12 and 24 bytes, then 48, then ``length`` by an overlapping poin
    rows and deals only the smallest document of each stretch, so that a passage that very many
    documents hold reaches its bucket once for each batch.
 4. Only the smallest document of each stretch, in buckets of several stretches, still lacks an answer
-   for part of it: those stretches are fetched and their strings sorted one by one, by identifier.
+   for part of it: those stretches are fetched and their strings sorted one by one, by identifier. A bitmap of
+   their places tells where they are; where it would be so full that many others pass, each text is joined with its places.
 
 The result is exact up to 64-bit hashes.
 """
@@ -37,8 +38,11 @@ from echotable.llm.storage import Scratch
 
 #: Bytes of a q-gram; entries of one bucket; bytes handled at once; bits of the bitmap of stretches.
 Q, BUCKET, BLOCK, BITS = 24, 2_000_000, 1 << 20, 27
+#: One in so many bits of the bitmap may be set; each other stretch that passes costs several times the text it stands for.
+FILL = 32
 _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = np.dtype([("id", "<i8"), ("key", "<i8"), ("at", "<u4")])
 _ENTRY = np.dtype([("h", "<u4"), ("r", "<u2"), ("l", "<u2"), ("c", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("back", "u1"), ("n", "u1")])
 
 
@@ -254,13 +258,13 @@ def _refine(length: int):
         done = [(int.from_bytes(i, "little", signed=True), int.from_bytes(k, "little", signed=True), spans, None) for i, k, spans in zip(done.ids, done["keys"], done.spans)]
         pdf = pdf[pdf.planes.notna()]
         if not len(pdf):
-            return pd.DataFrame(done, columns=["id", "key", "spans", "slots"])
+            return pd.DataFrame(done, columns=["id", "key", "spans", "places"])
         e, ids, keys = _unpack(pdf)
         rank = np.unique(ids, return_inverse=True)[1][e["doc"]]  # documents of one id are one
         h = e["h"].astype(np.uint64)
         keep = _shared(h, rank)
         e, rank, h = e[keep], rank[keep], h[keep]
-        out, slots = [], np.zeros(0, np.uint64)
+        out, places = [], np.zeros(0, _PLACE)
         if len(e):
             right = _shared((h << np.uint64(16)) | e["r"], rank) & (e["r"] > 0)
             left = _shared((h << np.uint64(16)) | e["l"], rank) & (e["l"] > 0)
@@ -272,16 +276,35 @@ def _refine(length: int):
             least_c, _ = _lowest((e["h"],), e["c"])
             most_c, _ = _lowest((e["h"],), ~e["c"])
             open_ = ~gone & (least_c != ~most_c)
-            slots = np.unique(_slot(ids[e["doc"][open_]], e["at"][open_]))
-        part = (slots >> np.uint64(BITS - 7)).astype(np.int64)
-        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            places = np.zeros(int(open_.sum()), _PLACE)
+            places["id"], places["key"], places["at"] = ids[e["doc"][open_]], keys[e["doc"][open_]], e["at"][open_]
         rows = done + [(i, k, s, None) for i, k, s in out]
-        rows += [(None, int(part[i]), None, slots[i:j].astype("<u4").tobytes()) for i, j in zip(cut, np.append(cut[1:], len(slots)))]
-        return pd.DataFrame(rows, columns=["id", "key", "spans", "slots"])
+        rows += [(0, 0, None, places.tobytes())] * (len(places) > 0)  # a null among ids would make doubles of them
+        return pd.DataFrame(rows, columns=["id", "key", "spans", "places"])
 
     return run
 
 
+def _slots(pdfs):
+    """Slots of packed places, by part of the bitmap."""
+    for pdf in pdfs:
+        for blob in pdf.places:
+            p = np.frombuffer(blob, _PLACE)
+            slots = np.unique(_slot(p["id"], p["at"]))
+            part = (slots >> np.uint64(BITS - 7)).astype(np.int64)
+            cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            yield pd.DataFrame({"key": part[cut], "slots": [slots[i:j].astype("<u4").tobytes() for i, j in zip(cut, np.append(cut[1:], len(slots)))]})
+
+
+def _by_text(pdfs):
+    """Packed places, by text."""
+    for pdf in pdfs:
+        p = np.frombuffer(b"".join(pdf.places), _PLACE)
+        p = p[np.lexsort((p["key"], p["id"]))]
+        cut = np.flatnonzero(np.append(True, (p["id"][1:] != p["id"][:-1]) | (p["key"][1:] != p["key"][:-1]))) if len(p) else np.zeros(0, np.int64)
+        yield pd.DataFrame({"id": p["id"][cut], "key": p["key"][cut], "places": [p["at"][i:j].tobytes() for i, j in zip(cut, np.append(cut[1:], len(p)))]})
+
+
 def _bitmap(pdf: pd.DataFrame) -> pd.DataFrame:
     size = 1 << (BITS - 7)
     bits = np.zeros(size, np.uint8)
@@ -290,12 +313,19 @@ def _bitmap(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": pdf.key.iloc[:1], "bits": [np.packbits(bits).tobytes()]})
 
 
+def _asked(column: pa.Array) -> np.ndarray:
+    """Row and place of all that is wanted of a batch's texts, in one number."""
+    held = [np.frombuffer(b"".join(x or ()), "<u4").astype(np.int64) | (row << 32) for row, x in enumerate(column.to_pylist())]
+    return np.concatenate(held) if held else np.zeros(0, np.int64)
+
+
 def _fetch(wanted, buckets: int, length: int):
-    """Stretches whose (document, place) is in the bitmap, packed by bucket: lengths, then bytes."""
+    """Stretches whose (document, place) is in the bitmap, or without one among the places beside each text, packed by bucket: lengths, then bytes."""
 
     def run(batches):
-        bitmap = np.frombuffer(wanted.value, np.uint8)
+        bitmap = np.frombuffer(wanted.value, np.uint8) if wanted else None
         for batch in batches:
+            asked = None if wanted else _asked(batch.column(3))
             ids, keys = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
             out = []
             for data, cuts, rows, first in _pieces(batch.column(2), length):
@@ -303,8 +333,11 @@ def _fetch(wanted, buckets: int, length: int):
                 if not len(s.p):
                     continue
                 at = s.p - cuts[s.text] + first[s.text]
-                slot = _slot(ids[rows[s.text]], at)
-                hit = np.flatnonzero((bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8))) & 1)
+                if wanted:
+                    slot = _slot(ids[rows[s.text]], at)
+                    hit = np.flatnonzero((bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (7 - (slot & np.uint64(7)).astype(np.uint8))) & 1)
+                else:
+                    hit = np.flatnonzero(np.isin((rows[s.text].astype(np.int64) << 32) | at, asked))
                 bucket = ((s.gram[hit] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
                 hit = hit[np.argsort(bucket, kind="stable")]
                 bucket = np.sort(bucket)
@@ -366,15 +399,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(max(16, -(-total * 2 // ((length - Q + 2) * BUCKET))))
     packed = rows.mapInArrow(_anchors(buckets, length), "bucket int, ids binary, keys binary, planes binary, spans binary")
-    first = scratch.save(packed.groupBy("bucket").applyInPandas(_refine(length), "id long, key long, spans binary, slots binary"))
-
-    # 2 ** BITS bits at most, whatever the input: others than those wanted may pass, none is missed
-    bitmap = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in first.where("slots is not null").select("key", "slots").groupBy("key").applyInPandas(_bitmap, "key long, bits binary").collect():
-        part = np.frombuffer(r.bits, np.uint8)
-        bitmap[r.key * len(part) : (r.key + 1) * len(part)] = part
-    wanted = spark.sparkContext.broadcast(bitmap.tobytes())
-    fetched = rows.mapInArrow(_fetch(wanted, buckets, length), "bucket int, ids binary, keys binary, at binary, size binary, bytes binary")
+    first = scratch.save(packed.groupBy("bucket").applyInPandas(_refine(length), "id long, key long, spans binary, places binary"))
+
+    places = first.where("places is not null").select("places")
+    open_ = (places.agg(F.sum(F.octet_length("places"))).first()[0] or 0) // _PLACE.itemsize
+    kind = "bucket int, ids binary, keys binary, at binary, size binary, bytes binary"
+    if open_ * FILL <= 1 << BITS:
+        # 2 ** BITS bits at most, whatever the input: others than those wanted may pass, none is missed
+        bitmap = np.zeros(1 << (BITS - 3), np.uint8)
+        for r in places.mapInPandas(_slots, "key long, slots binary").groupBy("key").applyInPandas(_bitmap, "key long, bits binary").collect():
+            part = np.frombuffer(r.bits, np.uint8)
+            bitmap[r.key * len(part) : (r.key + 1) * len(part)] = part
+        fetched = rows.mapInArrow(_fetch(spark.sparkContext.broadcast(bitmap.tobytes()), buckets, length), kind)
+    else:
+        asked = places.mapInPandas(_by_text, "id long, key long, places binary").groupBy("id", "key").agg(F.collect_list("places").alias("places"))
+        fetched = rows.join(asked, ["id", "key"]).select("id", "key", "text", "places").mapInArrow(_fetch(None, buckets, length), kind)
     more = fetched.groupBy("bucket").applyInPandas(_strings(length), "id long, key long, spans binary")
     return first.where("spans is not null").select("id", "key", "spans").union(scratch.save(more))
 

@@ -243,6 +243,17 @@ def brute_repeats(rows, length=50):
     return sorted(out)
 
 
+def test_suffix_dedup_joins_places_where_a_bitmap_would_be_too_full(spark, corpus, monkeypatch):
+    monkeypatch.setattr(suffix, "FILL", 1 << 40)
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abé \n") for _ in range(300)) for _ in range(4)]
+    cut = lambda b, i: b[i : i + rng.randint(50, 200)]
+    rows = [*corpus, *((d if d % 7 else d // 2, "".join(cut(b, rng.randint(0, 200)) for b in rng.choices(base, k=3))) for d in range(200, 260))]
+    rows += [(2**60 + d, rows[-d][1]) for d in range(1, 20)]  # ids that a double can't hold
+    got = sorted((r.id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix.remove_repeats(frame(spark, rows)).collect())
+    assert got == brute_repeats(rows)
+
+
 @pytest.mark.parametrize("block", [700, 1 << 20])
 def test_suffix_dedup_equals_brute_force(spark, corpus, block, monkeypatch):
     monkeypatch.setattr(suffix, "BLOCK", block)
