@@ -75,6 +75,15 @@ def test_jaccard_equals_brute_force(spark, corpus, hot, monkeypatch):
     assert got == brute_classes(corpus)
 
 
+def test_jaccard_verifies_in_rounds(spark, corpus, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHIPPED", 0.3)
+    wanted, sets = [], jaccard._sets_pass
+    monkeypatch.setattr(jaccard, "_sets_pass", lambda *a: wanted.append(a) or sets(*a))
+    rows = [*corpus, *((900 + d, t + " more") for d, t in corpus if t)]
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(frame(spark, rows), sketch_bits=16).collect()}
+    assert got == brute_classes(rows) and len(wanted) > 2
+
+
 def test_jaccard_without_rows_and_ids(spark):
     assert jaccard.jaccard_classes(frame(spark, [])).count() == 0
     assert [r.id for r in jaccard.jaccard_classes(frame(spark, [(None, "a b"), (1, "a b")])).collect()] == [1]
